@@ -52,7 +52,7 @@ class Scratch:
 
 def plan_bytes(df: DataFrame) -> int:
     """Bytes that the plan is estimated to read: the size of its files for a scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def shuffle_parts(spark: SparkSession) -> int:

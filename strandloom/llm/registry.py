@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pii, sharding
+from . import minhash, pii, sharding
 
-MODULES = (sharding, pii)
+MODULES = (sharding, minhash, pii)
 
 
 def queries() -> dict:
