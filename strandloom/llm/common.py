@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +40,8 @@ class Scratch:
         """df as a Parquet table; the result keeps its path for drop()."""
         path = self.path(name)
         df.write.option("compression", codec).parquet(path)
+        gc.collect()
+        self.spark._jvm.System.gc()  # so that Spark's cleaner drops the shuffle files of steps that are over
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import minhash, pii, sharding
+from . import minhash, pii, sharding, suffixes
 
-MODULES = (sharding, minhash, pii)
+MODULES = (sharding, minhash, pii, suffixes)
 
 
 def queries() -> dict:
