@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import minhash, pii, sharding, suffixes
+from . import decontamination, minhash, pii, sharding, suffixes
 
-MODULES = (sharding, minhash, pii, suffixes)
+MODULES = (sharding, minhash, decontamination, pii, suffixes)
 
 
 def queries() -> dict:
