@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, minhash, pii, sharding, suffixes
+from ..shipping import shipped
+from . import decontamination, minhash, perplexity, pii, sharding, suffixes
 
-MODULES = (sharding, minhash, decontamination, pii, suffixes)
+MODULES = (sharding, minhash, decontamination, perplexity, pii, suffixes)
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    return {k: shipped(f) for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,21 +13,19 @@ whole strings instead.
 from __future__ import annotations
 
 import hashlib
-import json
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blobs import CHUNK_SCHEMA, chunks, gaps, pack, unpack
 from .common import Scratch, plan_bytes
 from .shingles import mix
 
 GRAM = 24
-#: Bytes of text in a chunk, and that are hashed at once.
-CHUNK, TILE = 4 << 20, 1 << 20
+#: Bytes of text that are hashed at once.
+TILE = 1 << 20
 #: Bits of a gram's hash that decide; the rest of a word holds the place within a tile.
 PLACE = 21
 #: Distinct grams in a bucket of hashes, and contexts in a bucket of suffixes, on average.
@@ -41,29 +39,6 @@ _BASE = 0xD1342543DE82EF95
 _powers: list[np.ndarray] = []
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value, bytes of equal weight together."""
-    head = json.dumps([[a.dtype.str, a.shape] for a in arrays]).encode()
-    planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(a.size, -1).T if a.itemsize > 1 and a.size else a).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=3).compress(len(head).to_bytes(4, "little") + head + b"".join(planes))
-
-
-def unpack(value: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(value)
-    n = int.from_bytes(raw[:4], "little")
-    at, out = 4 + n, []
-    for dtype, shape in json.loads(raw[4:at]):
-        d, size = np.dtype(dtype), int(np.prod(shape))
-        flat = np.frombuffer(raw, np.uint8, size * d.itemsize, at)
-        at += size * d.itemsize
-        out.append((np.ascontiguousarray(flat.reshape(d.itemsize, size).T).view(d).reshape(shape) if d.itemsize > 1 and size else flat.view(d).reshape(shape)))
-    return out
-
-
-def gaps(x: np.ndarray) -> np.ndarray:
-    return np.diff(x, prepend=x.dtype.type(0))
-
-
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A mixed hash of each GRAM bytes of a tile."""
     if not _powers:
@@ -148,30 +123,6 @@ def least_of(rows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return group, np.minimum.reduceat(docs[order], np.flatnonzero(new))[group]
 
 
-def _chunks(batches):
-    """Rows of documents to chunks: number, documents' ids, their lengths and bytes, compressed."""
-    base, n = TaskContext.get().partitionId() << 32, 0
-    ids, texts, size = [], [], 0
-
-    def made():
-        lengths = np.array([len(t) for t in texts], np.int64)
-        known = np.array([i is not None for i in ids], np.uint8)
-        blob = pack(np.array([i or 0 for i in ids], np.int64), known, lengths, np.frombuffer(b"".join(texts), np.uint8))
-        return pa.record_batch([pa.array([base + n]), pa.array([blob], pa.binary())], names=["chunk", "blob"])
-
-    for batch in batches:
-        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            raw = t.as_buffer().to_pybytes() if t.is_valid else b""
-            if texts and size + len(raw) > CHUNK:
-                yield made()
-                ids, texts, size, n = [], [], 0, n + 1
-            ids.append(i)
-            texts.append(raw)
-            size += len(raw)
-    if texts:
-        yield made()
-
-
 def _hashes(span: int, buckets: int, rate: int):
     """Each chunk's distinct grams by range of hash, with the number of its documents (255 at most), and sampled grams."""
 
@@ -199,7 +150,7 @@ def _hashes(span: int, buckets: int, rate: int):
                 for a, b in zip(cut[:-1], cut[1:], strict=True):
                     g = grams[a:b]
                     pick = np.flatnonzero(mix(g) % np.uint64(rate) == 0)
-                    text = data[first[a:b][pick][:, None] + np.arange(GRAM)] if len(pick) else np.zeros((0, GRAM), np.uint8)
+                    text = np.lib.stride_tricks.sliding_window_view(data, GRAM)[first[a:b][pick]]
                     rows.append((int(bucket[a]), chunk, pack(gaps(g), n_docs[a:b], pick.astype(np.int64), text)))
                 if rows:
                     yield pa.record_batch([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "chunk", "value"])
@@ -211,7 +162,7 @@ def _shared(hot: int):
     """Of a range of hashes: to each chunk those of its grams that two documents have, and how many grams these are."""
 
     def run(key, table):
-        chunks = table.column("chunk").to_pylist()
+        owners = table.column("chunk").to_pylist()
         parts = [unpack(v) for v in table.column("value").to_pylist()]
         grams = [np.cumsum(x[0], dtype=np.uint64) for x in parts]
         every = np.concatenate(grams)
@@ -222,7 +173,7 @@ def _shared(hot: int):
         total = np.empty(len(s), np.int64)
         total[order] = np.repeat(count, np.diff(np.append(starts, len(s))))
         out, at = [], 0
-        for chunk, g, (_, _, pick, text) in zip(chunks, grams, parts, strict=True):
+        for chunk, g, (_, _, pick, text) in zip(owners, grams, parts, strict=True):
             own = total[at : at + len(g)]
             at += len(g)
             if (keep := own > 1).any():
@@ -256,7 +207,7 @@ def _suffixes(span: int, splitters: list[bytes], hot_buckets: int):
             p, lo, hi = p[keep], lo[keep], hi[keep]
             doc = np.searchsorted(bounds, p, side="right")
             ids_of = ids[doc]
-            wide = np.concatenate((np.zeros(back, np.uint8), data, np.zeros(span, np.uint8)))
+            views = np.lib.stride_tricks.sliding_window_view(np.concatenate((np.zeros(back, np.uint8), data, np.zeros(span, np.uint8))), back + span)
 
             def sent(kind, bucket, rows, lens, who, where):
                 order = np.argsort(bucket, kind="stable")
@@ -272,9 +223,10 @@ def _suffixes(span: int, splitters: list[bytes], hot_buckets: int):
                     out.append((f"{kind}{bucket[own[0]]}", key[0].as_py(), pack(both[o[new]], back_[by].astype(np.uint32), gaps(where[own][by]), who[own][by])))
 
             cold = np.flatnonzero(~hot)
-            for a in range(0, len(cold), 200_000):
-                c = cold[a : a + 200_000]
-                rows = wide[p[c][:, None] + np.concatenate((np.arange(back, back + span), np.arange(back - 1, -1, -1)))]
+            for a in range(0, len(cold), 100_000):
+                c = cold[a : a + 100_000]
+                near = views[p[c]]
+                rows = np.concatenate((near[:, back:], near[:, :back][:, ::-1]), axis=1)
                 lens = np.stack((p[c] - lo[c], p[c] - hi[c] + back), axis=1).astype(np.uint8)  # the owned strings start so far back
                 lead = symbols(rows[:, :GRAM])
                 bucket = np.searchsorted(cuts[:, 0], lead[:, 0])
@@ -288,7 +240,7 @@ def _suffixes(span: int, splitters: list[bytes], hot_buckets: int):
                 c = warm[a : a + 20_000]
                 n = hi[c] - lo[c] + 1
                 start = np.repeat(lo[c], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                rows = data[start[:, None] + np.arange(span)]
+                rows = np.lib.stride_tricks.sliding_window_view(data, span)[start]
                 mixed = np.zeros(len(rows), np.uint64)
                 for s in symbols(rows).T:
                     mixed = mix(mixed + s)
@@ -311,17 +263,17 @@ def _compare(span: int):
         member = np.concatenate([x[1].astype(np.int64) + s for x, s in zip(parts, shift, strict=True)])
         where = np.concatenate([np.cumsum(x[2]) for x in parts])
         who = np.concatenate([x[3] for x in parts])
-        chunks = np.repeat(np.arange(len(parts)), [len(x[1]) for x in parts])
+        owner = np.repeat(np.arange(len(parts)), [len(x[1]) for x in parts])
         first = np.full(len(rows), np.iinfo(np.int64).max)
         np.minimum.at(first, member, who)
         group, least = least_of(rows, first)
         later = who > least[member]
         if whole:
-            found = [(chunks[later], where[later], np.full(later.sum(), span))]
+            found = [(owner[later], where[later], np.full(later.sum(), span))]
         else:
             far, near = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64) - back
             longest, nearest = far[member], near[member]
-            found = [(chunks[later], (where - longest)[later], (longest - nearest)[later] + span)]
+            found = [(owner[later], (where - longest)[later], (longest - nearest)[later] + span)]
             # of the first document of each distinct context, single strings may have an earlier one
             order, new = multikey_sort(symbols(rows[:, :GRAM]))
             gram = np.empty(len(rows), np.int64)
@@ -352,7 +304,7 @@ def _compare(span: int):
                     for i in range(j, -1, -1):
                         alive &= h[end, i]
                         run_ += alive
-                    found.append((chunks[own], where[own] - j, run_ - 1 + span))
+                    found.append((owner[own], where[own] - j, run_ - 1 + span))
         c, start, size = [np.concatenate(x) for x in zip(*found, strict=True)]
         order = np.lexsort((start, c))
         c, start, size = c[order], start[order], size[order]
@@ -407,12 +359,12 @@ def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = False, hot
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chunks = scratch.table(given.mapInArrow(_chunks, "chunk long, blob binary"), "chunks", "uncompressed")
+    stored = scratch.table(given.mapInArrow(chunks(), CHUNK_SCHEMA).drop("ids"), "chunks", "uncompressed")
     size = 3 * plan_bytes(docs)
     grams = size * 2 // (span - GRAM + 2)
     buckets = int(max(12, grams // BUCKET_GRAMS))
     rate = int(max(1, grams // SAMPLE))
-    hashes = chunks.mapInArrow(_hashes(span, buckets, rate), "bucket long, chunk long, value binary")
+    hashes = stored.mapInArrow(_hashes(span, buckets, rate), "bucket long, chunk long, value binary")
     shared = scratch.table(hashes.groupBy("bucket").applyInArrow(_shared(hot), "chunk long, n long, value binary, sample binary"), "shared", "uncompressed")
     found = shared.agg(F.sum("n")).first()[0] or 0
     # bounded: about SAMPLE grams of all chunks, fewer as only shared ones are kept
@@ -420,7 +372,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = False, hot
     sample.sort()
     parts = int(max(12, found // BUCKET_SUFFIXES))
     splitters = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
-    blobs = chunks.select("chunk", F.lit(0).alias("kind"), F.col("blob").alias("value"))
+    blobs = stored.select("chunk", F.lit(0).alias("kind"), F.col("blob").alias("value"))
     asked = blobs.unionByName(shared.select("chunk", F.lit(1).alias("kind"), "value"))
     suffixes = asked.groupBy("chunk").applyInArrow(_suffixes(span, splitters, parts), "bucket string, chunk long, value binary")
     spans = scratch.table(suffixes.groupBy("bucket").applyInArrow(_compare(span), "chunk long, value binary"), "spans", "uncompressed")
