@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..shipping import shipped
-from . import decontamination, minhash, perplexity, pii, sharding, suffixes
+from . import decontamination, minhash, perplexity, pii, sentencepiece, sharding, suffixes
 
-MODULES = (sharding, minhash, decontamination, perplexity, pii, suffixes)
+MODULES = (sharding, minhash, decontamination, sentencepiece, perplexity, pii, suffixes)
 
 
 def queries() -> dict:
