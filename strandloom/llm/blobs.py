@@ -13,11 +13,11 @@ from pyspark import TaskContext
 CHUNK = 4 << 20
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 3) -> bytes:
     """Arrays as one compressed value, bytes of equal weight together."""
     head = json.dumps([[a.dtype.str, a.shape] for a in arrays]).encode()
     planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(a.size, -1).T if a.itemsize > 1 and a.size else a).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=3).compress(len(head).to_bytes(4, "little") + head + b"".join(planes))
+    return zstandard.ZstdCompressor(level=level).compress(len(head).to_bytes(4, "little") + head + b"".join(planes))
 
 
 def unpack(value: bytes) -> list[np.ndarray]:
@@ -56,7 +56,7 @@ def chunks(with_lang: bool = False):
         def made():
             known = np.array([i is not None for i in ids], np.uint8)
             extra = pack_bytes(langs) if with_lang else ()
-            blob = pack(np.array([i or 0 for i in ids], np.int64), known, *pack_bytes(texts), *extra)
+            blob = pack(np.array([i or 0 for i in ids], np.int64), known, *pack_bytes(texts), *extra, level=9)
             return pa.record_batch([pa.array([base + n]), pa.array([ids], pa.list_(pa.int64())), pa.array([blob], pa.binary())], names=["chunk", "ids", "blob"])
 
         for batch in batches:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Spark's switch that drops a query's shuffle files as soon as the query is over.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows that one sub-group of a salted rank holds on average.
 ROWS_PER_SALT = 20_000
 
@@ -39,9 +40,12 @@ class Scratch:
     def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """df as a Parquet table; the result keeps its path for drop()."""
         path = self.path(name)
-        df.write.option("compression", codec).parquet(path)
-        gc.collect()
-        self.spark._jvm.System.gc()  # so that Spark's cleaner drops the shuffle files of steps that are over
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

@@ -11,7 +11,8 @@ from .common import Scratch, plan_bytes
 from .graph import components
 from .shingles import mix, shingle_sets
 
-#: A pair at similarity 0.85 shares no band with probability (1 - 0.85 ** 6) ** 32, under 3e-7.
+#: A pair at similarity s shares no band of r minima with probability (1 - s ** r) ** 32: under 3e-7 for
+#: 0.85 and 6, 4e-6 for 0.8 and 5.
 BANDS, ROWS = 32, 6
 #: Share of equal minima under which a pair's full sets are not compared; five standard deviations under 0.85.
 SLACK = 0.15
@@ -25,9 +26,14 @@ _A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + n
 _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
+def rows_for(percent: int) -> int:
+    """Minima in a band: fewer for lower similarities, so that pairs at the bound still meet."""
+    return next((r for r in range(ROWS, 1, -1) if (1 - (percent / 100) ** r) ** BANDS < 5e-6), 1)
+
+
+def minima(sets: list[np.ndarray], rows: int = ROWS) -> np.ndarray:
     """The least value of each universal hash over each non-empty set: one row for each set."""
-    out = np.empty((len(sets), BANDS * ROWS), np.uint32)
+    out = np.empty((len(sets), BANDS * rows), np.uint32)
     at = 0
     while at < len(sets):
         end, size = at, 0
@@ -36,7 +42,7 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
             end += 1
         starts = np.cumsum([0, *[len(s) for s in sets[at : end - 1]]])
         x = (np.concatenate(sets[at:end]) >> np.uint64(32)).astype(np.uint32)
-        for k in range(BANDS * ROWS):
+        for k in range(BANDS * rows):
             out[at:end, k] = np.minimum.reduceat(x * _A[k] + _B[k], starts)
         at = end
     return out
@@ -44,13 +50,13 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 def band_keys(m: np.ndarray) -> np.ndarray:
     keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(m), BANDS)).copy()
-    by = m.reshape(len(m), BANDS, ROWS)
-    for r in range(ROWS):
+    by = m.reshape(len(m), BANDS, -1)
+    for r in range(by.shape[2]):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + by[:, :, r])
     return keys.view(np.int64)
 
 
-def _describe(width: int):
+def _describe(width: int, rows: int):
     def run(batches):
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
@@ -59,7 +65,7 @@ def _describe(width: int):
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys = np.zeros((len(sets), BANDS), np.int64)
                 if full:
-                    keys[full] = band_keys(minima([sets[i] for i in full]))
+                    keys[full] = band_keys(minima([sets[i] for i in full], rows))
                 k1 = [int(np.bitwise_xor.reduce(mix(s))) if len(s) else None for s in sets]
                 k2 = [int(mix(s + np.uint64(77)).sum()) if len(s) else None for s in sets]
                 bands = [keys[i].tobytes() if len(s) else None for i, s in enumerate(sets)]
@@ -174,7 +180,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = scratch.table(given.mapInArrow(_describe(width), "doc_id long, n_shingles long, n_bytes long, k1 long, k2 long, bands binary"), "described")
+    described = scratch.table(given.mapInArrow(_describe(width, rows_for(percent)), "doc_id long, n_shingles long, n_bytes long, k1 long, k2 long, bands binary"), "described")
     named = described.where("doc_id is not null and k1 is not null")
     classes = scratch.table(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.max("n_bytes").alias("n_bytes")), "classes")
 

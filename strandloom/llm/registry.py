@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..shipping import shipped
-from . import decontamination, html, media, minhash, perplexity, pii, sentencepiece, sharding, suffixes
+from . import decontamination, html, media, minhash, perplexity, pii, sentencepiece, sharding, suffixes, warc
 
-MODULES = (sharding, html, minhash, media, decontamination, sentencepiece, perplexity, pii, suffixes)
+MODULES = (sharding, html, minhash, media, decontamination, sentencepiece, perplexity, pii, suffixes, warc)
 
 
 def queries() -> dict:
