@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from ..shipping import shipped
 
-MODULES = ()
+from . import queries as _queries
+
+MODULES = (_queries,)
 
 
 def queries() -> dict:
