@@ -43,8 +43,8 @@ def pack_bytes(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 CHUNK_SCHEMA = "chunk long, ids array<bigint>, blob binary"
 
 
-def chunks(with_lang: bool = False):
-    """mapInArrow: rows (doc_id, text[, lang]) to chunks of about CHUNK bytes.
+def chunks(with_lang: bool = False, most: int = CHUNK):
+    """mapInArrow: rows (doc_id, text[, lang]) to chunks of about `most` bytes.
 
     blob packs ids, a flag for ids that are known, lengths, bytes[, lengths and bytes of languages].
     """
@@ -63,7 +63,7 @@ def chunks(with_lang: bool = False):
             lang = batch.column("lang").to_pylist() if with_lang else [None] * batch.num_rows
             for i, t, g in zip(batch.column("doc_id").to_pylist(), batch.column("text"), lang, strict=True):
                 raw = t.as_buffer().to_pybytes() if t.is_valid else b""
-                if texts and size + len(raw) > CHUNK:
+                if texts and size + len(raw) > most:
                     yield made()
                     ids, texts, langs, size, n = [], [], [], 0, n + 1
                 ids.append(i)

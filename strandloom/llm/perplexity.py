@@ -19,6 +19,10 @@ from .common import Scratch, plan_bytes
 ORDER = 5
 #: Languages that get a model, the most frequent first; rows of others are kept without a score.
 MAX_LANGUAGES = 64
+#: Bytes of text whose n-grams are looked at together.
+TILE = 1 << 18
+#: Bytes of text in a chunk, which asks for each n-gram once.
+CHUNK_BYTES = 8 << 20
 #: Bytes of text for each shard of n-grams.
 SHARD_BYTES = 32 << 20
 #: One trusted row in HELD_OUT sets thresholds and trains nothing.
@@ -26,7 +30,7 @@ HELD_OUT = 5
 #: Shares of held-out rows outside the thresholds, the room beyond these (nats), and the bytes of average
 #: text that every row is smoothed with, as short texts scatter.
 TAILS, ROOM, SMOOTH = (0.002, 0.998), 0.1, 200
-UNIT = 2000  # steps of a nat in stored log-probabilities
+UNIT = 32  # steps of a nat in stored log-probabilities; a text's sum is rounded that finely at each byte
 _LOW = [np.uint64((1 << 8 * k) - 1) for k in range(ORDER + 1)]
 _LANG = ~_LOW[ORDER]
 
@@ -40,19 +44,27 @@ def _held(col):
     return F.pmod(F.floor(col / 20), F.lit(HELD_OUT)) == 0
 
 
-def keys_of(data: np.ndarray, lengths: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each byte, as language and five bytes; each byte's document. Texts start after line feeds."""
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    starts = np.cumsum(lengths) - lengths
-    inside = np.arange(len(data)) - starts[doc]
-    key = lang.astype(np.uint64)[doc] << np.uint64(8 * ORDER)
-    for back in range(ORDER):
-        before = np.full(len(data), 10, np.uint8)
-        ok = inside >= back
-        before[back:] = data[: len(data) - back]
-        before[~ok] = 10
-        key |= before.astype(np.uint64) << np.uint64(8 * back)
-    return key, doc
+def key_tiles(data: np.ndarray, lengths: np.ndarray, lang: np.ndarray):
+    """For tiles of the texts' bytes: the n-gram that ends at each byte, as language and five bytes, and its text.
+
+    Texts start after line feeds. Those without a language (-1) are left out. A tile is bounded, whatever
+    the length of a text.
+    """
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    for a in range(0, len(data), TILE):
+        b = min(a + TILE, len(data))
+        doc = np.searchsorted(ends, np.arange(a, b), side="right")
+        inside = np.arange(a, b) - starts[doc]
+        near = np.concatenate((np.full(max(0, ORDER - 1 - a), 10, np.uint8), data[max(0, a - ORDER + 1) : b]))
+        key = lang[doc].astype(np.uint64) << np.uint64(8 * ORDER)
+        for back in range(ORDER):
+            before = near[ORDER - 1 - back : ORDER - 1 - back + b - a]
+            if back:
+                before = np.where(inside >= back, before, np.uint8(10))
+            key |= before.astype(np.uint64) << np.uint64(8 * back)
+        use = lang[doc] >= 0
+        yield (key, doc) if use.all() else (key[use], doc[use])
 
 
 def suffix(keys: np.ndarray, n: int) -> np.ndarray:
@@ -78,12 +90,16 @@ def _grams(names: dict[bytes, int], shards: int):
             good = [x for x in table.column("good").to_pylist() if x is not None]
             lang = _languages(a, b, names)
             trusted = np.isin(ids, np.array(good[0], np.int64)) & (known > 0) & ~held_out(ids) if good else np.zeros(len(ids), bool)
-            use = lang >= 0
-            keys, doc = keys_of(data[np.repeat(use, lengths)], lengths[use], lang[use])
-            distinct = np.unique(keys)
-            train, n = np.unique(keys[trusted[use][doc]], return_counts=True)
+            asked, train, counted = [], [], []
+            for keys, doc in key_tiles(data, lengths, lang):
+                asked.append(np.unique(keys))
+                k, n = np.unique(keys[trusted[doc]], return_counts=True)
+                train.append(k)
+                counted.append(n)
+            distinct = np.unique(np.concatenate(asked)) if asked else np.zeros(0, np.uint64)
             count = np.zeros(len(distinct), np.uint32)
-            count[np.searchsorted(distinct, train)] = n
+            for k, n in zip(train, counted, strict=True):
+                count[np.searchsorted(distinct, k)] += n.astype(np.uint32)
             shard = (_spread(distinct) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             cut = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
@@ -131,7 +147,7 @@ def _merge(key, table):
     k, c = np.unique(suffix(levels[3][0], 2), return_counts=True)  # bytes seen before each pair
     ks.append(((k >> np.uint64(8 * ORDER)) << np.uint64(16) | (k & _LOW[2])).astype(np.int64) + (1 << 40))
     ns.append(c)
-    value = pack(gaps(distinct), counts.astype(np.uint32), np.array(table.column("chunk").to_pylist(), np.int64), np.array([len(x) for x in asked], np.int64), back.astype(np.uint32))
+    value = pack(gaps(distinct), counts.astype(np.uint32), np.array(table.column("chunk").to_pylist(), np.int64), np.array([len(x) for x in asked], np.int64), gaps(back.astype(np.uint32)))
     return pa.table({"value": pa.array([value], pa.binary()), "shared": pa.array([pack(np.concatenate(ks), np.concatenate(ns).astype(np.int64))], pa.binary())})
 
 
@@ -204,7 +220,7 @@ def _answer(p2: np.ndarray, d: np.ndarray):
         for batch in batches:
             for v in batch.column("value").to_pylist():
                 keys, counts, owner, sizes, index = unpack(v)
-                keys = np.cumsum(keys, dtype=np.uint64)
+                keys, index = np.cumsum(keys, dtype=np.uint64), np.cumsum(index, dtype=np.uint32)
                 cost = np.minimum(np.round(-np.log(probabilities(keys, counts, p2, d)) * UNIT), 65535).astype(np.uint16)
                 at, out = 0, []
                 for n in sizes:
@@ -230,13 +246,10 @@ def _score(names: dict[bytes, int]):
             cost = np.concatenate([v[1] for v in values])
             o = np.argsort(asked)
             asked, cost = asked[o], cost[o]
-            whole = np.flatnonzero(use)
-            for x in range(0, len(whole), 256):  # some texts at a time, for less memory
-                part = whole[x : x + 256]
-                pick = np.zeros(len(ids), bool)
-                pick[part] = True
-                keys, doc = keys_of(data[np.repeat(pick, lengths)], lengths[part], lang[part])
-                total[part] = np.bincount(doc, cost[np.searchsorted(asked, keys)] / UNIT, minlength=len(part))
+            for keys, doc in key_tiles(data, lengths, lang):
+                if len(doc):
+                    part = np.bincount(doc - doc[0], cost[np.searchsorted(asked, keys)])
+                    total[doc[0] : doc[0] + len(part)] += part / UNIT
         return pa.table({
             "doc_id": pa.array([int(i) if k else None for i, k in zip(ids, known, strict=True)], pa.int64()),
             "model": pa.array([order[g].decode() if g >= 0 else None for g in lang], pa.string()),
@@ -267,7 +280,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     names = {r["lang"].encode(): i for i, r in enumerate(ranked.collect())}
     shards = int(max(12, 3 * plan_bytes(docs) // SHARD_BYTES))
 
-    stored = scratch.table(given.mapInArrow(chunks(True), CHUNK_SCHEMA), "chunks", "uncompressed")
+    stored = scratch.table(given.mapInArrow(chunks(True, CHUNK_BYTES), CHUNK_SCHEMA), "chunks", "uncompressed")
     trusted = stored.select("chunk", F.explode("ids").alias("doc_id")).join(good, "doc_id", "left_semi").groupBy("chunk").agg(F.collect_list("doc_id").alias("good"))
     blobs = stored.select("chunk", "blob", F.lit(None).cast("array<bigint>").alias("good"))
     work = blobs.unionByName(trusted.select("chunk", F.lit(None).cast("binary").alias("blob"), "good"))
