@@ -362,7 +362,13 @@ def table_lines(table: Node) -> list[str]:
 
     def gather(node: Node, into: list[list[Node]]) -> None:
         for k in node.kids:
-            if type(k) is str or not visible(k):
+            if type(k) is str:
+                if k.strip():  # a table's own text, where it stands in another table
+                    holder = Node("td")
+                    holder.kids = [k]
+                    into.append([holder])
+                continue
+            if not visible(k):
                 continue
             if k.tag == "caption":
                 captions.extend(_cell(k))

@@ -5,6 +5,8 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +64,8 @@ def mod97(match: Column) -> Column:
     """True if country and check digits, moved behind the rest and read with A as 10, leave 1 by 97."""
     moved = F.concat(F.substr(match, F.lit(5)), F.substring(match, 1, 4))
     value = lambda c: F.when(c >= "A", F.ascii(c) - 55).otherwise(F.ascii(c) - 48)
-    return F.aggregate(F.split(moved, "(?!^)"), F.lit(0), lambda acc, c: (acc * F.when(c >= "A", 100).otherwise(10) + value(c)) % 97) == 1
+    letters = F.transform(F.sequence(F.lit(1), F.length(moved)), lambda i: F.substring(moved, i, F.lit(1)))
+    return F.aggregate(letters, F.lit(0), lambda acc, c: (acc * F.when(c >= "A", 100).otherwise(10) + value(c)) % 97) == 1
 
 
 def valid(kind: str, match: Column) -> Column:
@@ -107,19 +110,19 @@ def found(kind: str, text: Column) -> Column:
     return F.when(looks & text.rlike("@" if kind == "email" else "[0-9]"), spans).otherwise(empty)
 
 
-def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds pii_<kind> for each kind and keeps all other columns: arrays of (kind, start, end, score).
+def find_pii(docs: DataFrame, text_col: str = "text", prefix: str = "pii_") -> DataFrame:
+    """Adds <prefix><kind> for each kind and keeps all other columns: arrays of (kind, start, end, score).
 
     Base kinds keep every confirmed match, whatever its score. IBANs must pass mod 97; social security
     numbers need a context word. Null text: empty arrays. Offsets are code points, end exclusive.
     Names of the added columns must be free; a column of such a name is replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns({f"pii_{k}": found(k, text) for k in PATTERNS})
+    return docs.withColumns({f"{prefix}{k}": found(k, text) for k in PATTERNS})
 
 
-def spans_of(kinds) -> Column:
-    return F.concat(*[F.col(f"pii_{k}") for k in kinds])
+def spans_of(kinds, prefix: str = "pii_") -> Column:
+    return F.concat(*[F.col(f"{prefix}{k}") for k in kinds])
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -127,10 +130,10 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Null text stays null. Rows and all other columns are kept.
     """
-    names = docs.columns
-    found_ = find_pii(docs, text_col)
+    names, own = docs.columns, f"_{uuid.uuid4().hex}_"
+    found_ = find_pii(docs, text_col, own)
     text = F.col(text_col)
-    spans = F.array_sort(F.transform(F.col("_all"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    spans = F.array_sort(F.transform(spans_of(PATTERNS, own), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -138,9 +141,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         fresh = F.concat(acc["out"], F.array(F.concat(before, F.lit("["), F.upper(s["kind"]), F.lit("]"))))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate(F.col("_sorted"), state, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
-    out = found_.withColumn("_all", spans_of(PATTERNS)).withColumn("_sorted", spans)
-    return out.withColumn(text_col, F.when(F.size("_sorted") > 0, done).otherwise(text)).select(*names)
+    done = F.aggregate(F.col(own), state, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
+    out = found_.withColumn(own, spans)
+    return out.withColumn(text_col, F.when(F.size(own) > 0, done).otherwise(text)).select(*names)
 
 
 def joined(spans: Column) -> Column:

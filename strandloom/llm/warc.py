@@ -229,7 +229,7 @@ def _write(folder: str):
         place.create_dir(base, recursive=True)
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.warc.gz"
         n = size = 0
-        with place.open_output_stream(f"{base}/{name}") as sink:
+        with place.open_output_stream(f"{base}/{name}", compression=None) as sink:
             for batch in batches:
                 for r in batch.column("record").to_pylist():
                     member = gzip.compress(r, 6, mtime=0)
