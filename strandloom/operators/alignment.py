@@ -6,6 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.bases import reverse_complement
 
 MATCH, MISMATCH, GAP = 1, -2, -3
 #: Half a band beyond the chain's diagonals; wider bands than BAND are not aligned.
@@ -124,63 +127,64 @@ def stretches(refs: DataFrame) -> DataFrame:
     return parts.select("ref_idx", "stretch", F.upper(F.col("seq").substr(F.col("stretch") * STRETCH + 1, F.lit(STRETCH + OVERLAP))).alias("template"))
 
 
-def with_templates(chains: DataFrame, refs: DataFrame, reads: DataFrame) -> DataFrame:
-    """Candidates with the read as it was matched (revcomp for strand 1) and the reference below its band, @ beyond its ends."""
-    from ..functions.bases import reverse_complement
+def with_templates(chains: DataFrame, refs: DataFrame, reads: DataFrame, everything: bool = False) -> DataFrame:
+    """Candidates with the read as it was matched (revcomp for strand 1) and the reference below its band, @ beyond its ends.
 
+    everything: chains that are not aligned, for want of a second pair or for too wide a band, stay with nulls.
+    """
     begin = F.greatest(F.col("a_start"), F.lit(0))
-    some = chains.where(f"run >= 0 and band < {BAND}").withColumn("stretch", F.floor(begin / STRETCH).cast("int"))
+    good = (F.col("run") >= 0) & (F.col("band") < BAND)
+    some = chains.withColumn("stretch", F.when(good, F.floor(begin / STRETCH).cast("int")))
     own = reads.select(F.col("read_id").cast("long").alias("read_id"), F.upper("seq").alias("seq"))
-    got = some.join(own, "read_id").join(stretches(refs), ["ref_idx", "stretch"])
+    pieces = stretches(refs)
+    got = some.join(own, "read_id").join(pieces, ["ref_idx", "stretch"], "left") if everything else some.where(good).join(own, "read_id").join(pieces, ["ref_idx", "stretch"])
     cut = F.col("template").substr((begin - F.col("stretch") * STRETCH + 1).cast("int"), (F.length("seq") + F.col("band") + F.least(F.col("a_start"), F.lit(0))).cast("int"))
     lead = F.repeat(F.lit("@"), F.greatest(-F.col("a_start"), F.lit(0)).cast("int"))
     query = F.when(F.col("strand") == 1, reverse_complement("seq")).otherwise(F.col("seq"))
-    return got.withColumn("template", F.concat(lead, cut)).withColumn("query", query).drop("seq", "stretch")
-
-
-_OUT = ["read_id", "strand", "ref_idx", "window", "run"]
-_BLOCKS = "array<struct<v:int,h:int,size:int>>"
-SCHEMA = f"read_id long, strand int, ref_idx long, window long, run int, anchor_match int, anchor_mismatch int, sw_score int, n_match int, n_mismatch int, n_gap int, av_start int, av_stop int, ah_start int, ah_stop int, ablocks {_BLOCKS}"
-
-
-def _align(bisulfite: bool, d: int):
-    block = pa.list_(pa.struct([("v", pa.int32()), ("h", pa.int32()), ("size", pa.int32())]))
+    return got.withColumn("template", F.concat(lead, cut)).withColumn("query", query).select(*chains.columns, "query", "template")
+
+
+_FOUND = ["anchor_match", "anchor_mismatch", "sw_score", "n_match", "n_mismatch", "n_gap", "av_start", "av_stop", "ah_start", "ah_stop"]
+_BLOCK = pa.list_(pa.struct([("v", pa.int32()), ("h", pa.int32()), ("size", pa.int32())]))
+
+
+def _align(bisulfite: bool, d: int, columns: list[str]):
+    def results(rows: list[dict]) -> list[tuple]:
+        out: list[tuple] = [(None,) * (len(_FOUND) + 1)] * len(rows)
+        by: dict[int, list[int]] = {}
+        for i, r in enumerate(rows):
+            if r["template"] is not None:
+                by.setdefault(r["band"], []).append(i)
+        for band, own in by.items():
+            own.sort(key=lambda i: len(rows[i]["query"]))
+            reads, refs = ([rows[i][c].encode("ascii", "replace") for i in own] for c in ("query", "template"))
+            for i, q, t, (score, found) in zip(own, reads, refs, aligned(reads, refs, band, bisulfite), strict=True):
+                r, f = rows[i], found or {}
+                q, t = np.frombuffer(q, np.uint8), np.frombuffer(t.ljust(len(q) + band, b"@"), np.uint8)
+                shift = r["window"] * d - r["a_start"]  # the template's place of the window's start
+                hits = [equal(q[b["v"] : b["v"] + b["size"]], t[shift + b["h"] : shift + b["h"] + b["size"]], bisulfite) for b in r["blocks"]]
+                good, all_ = sum(int(h.sum()) for h in hits), sum(map(len, hits))
+                blocks = [{"v": v, "h": h, "size": n} for v, h, n in f["blocks"]] if f else None
+                out[i] = (good, all_ - good, score, *[f.get(c) for c in ("n_match", "n_mismatch", "n_gap", "v_start", "v_stop", "h_start", "h_stop")], blocks)
+        return out
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
-                rows = batch.slice(a, 2000).to_pylist()
-                out: list[tuple | None] = [None] * len(rows)
-                by: dict[int, list[int]] = {}
-                for i, r in enumerate(rows):
-                    by.setdefault(r["band"], []).append(i)
-                for band, own in by.items():
-                    own.sort(key=lambda i, rows=rows: len(rows[i]["query"]))
-                    results = aligned([rows[i]["query"].encode("ascii", "replace") for i in own], [rows[i]["template"].encode("ascii", "replace") for i in own], band, bisulfite)
-                    for i, (score, found) in zip(own, results, strict=True):
-                        r = rows[i]
-                        q = np.frombuffer(r["query"].encode("ascii", "replace"), np.uint8)
-                        t = np.frombuffer(r["template"].encode("ascii", "replace").ljust(len(q) + band, b"@"), np.uint8)
-                        shift = r["window"] * d - r["a_start"]  # the template's place of the window's start
-                        good = bad = 0
-                        for b in r["blocks"]:
-                            hit = equal(q[b["v"] : b["v"] + b["size"]], t[shift + b["h"] : shift + b["h"] + b["size"]], bisulfite)
-                            good += int(hit.sum())
-                            bad += len(hit) - int(hit.sum())
-                        f = found or {}
-                        blocks = [{"v": v, "h": h, "size": n} for v, h, n in f["blocks"]] if f else None
-                        out[i] = (*[r[c] for c in _OUT], good, bad, score, *[f.get(c) for c in ("n_match", "n_mismatch", "n_gap", "v_start", "v_stop", "h_start", "h_stop")], blocks)
-                cols = list(zip(*out, strict=True))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 11, block]
-                names = [*_OUT, "anchor_match", "anchor_mismatch", "sw_score", "n_match", "n_mismatch", "n_gap", "av_start", "av_stop", "ah_start", "ah_stop", "ablocks"]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+                part = batch.slice(a, 2000)
+                cols = list(zip(*results(part.to_pylist()), strict=True))
+                made = [pa.array(c, t) for c, t in zip(cols, [*[pa.int32()] * len(_FOUND), _BLOCK], strict=True)]
+                yield pa.record_batch([*[part.column(c) for c in columns], *made], names=[*columns, *_FOUND, "ablocks"])
 
     return run
 
 
 def align(candidates: DataFrame, d: int, bisulfite: bool = False) -> DataFrame:
-    """Each candidate's matches and mismatches within its chain's blocks, and its banded alignment.
+    """Candidates, without their sequences, with matches and mismatches within the chain's blocks and the banded alignment.
 
-    bisulfite: T in the read over C in the reference is a match, and identity is not asked for.
+    bisulfite: T in the read over C in the reference is a match, and identity is not asked for. Rows
+    without a template get nulls.
     """
-    return candidates.mapInArrow(_align(bisulfite, d), SCHEMA)
+    kept = candidates.drop("query", "template")
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(c, T.IntegerType()) for c in _FOUND], T.StructField("ablocks", kept.schema["blocks"].dataType)])
+    return candidates.mapInArrow(_align(bisulfite, d, kept.columns), schema)

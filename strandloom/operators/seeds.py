@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bases import bisulfite_keys
@@ -124,8 +124,13 @@ def presence_map(keys: DataFrame, mask: Mask) -> bytes | None:
     return bytes(out)
 
 
+def seed_order() -> Column:
+    return F.struct(F.col("read_id"), F.col("strand"), F.col("voff"))
+
+
 def seed_counts(seeds: DataFrame) -> DataFrame:
-    return seeds.groupBy("key").agg(F.count("*").alias("n"))
+    """(key, n, least): each key's seeds, and the first of them in order of read, strand and offset."""
+    return seeds.groupBy("key").agg(F.count("*").alias("n"), F.min(seed_order()).alias("least"))
 
 
 def frequency_threshold(counts: DataFrame, keep_percent: int = 99) -> DataFrame:
@@ -142,9 +147,12 @@ def frequency_threshold(counts: DataFrame, keep_percent: int = 99) -> DataFrame:
     return ranked.where(F.col("c") >= F.col("total") * F.lit(share)).groupBy("distinct_keys", "total", "max_count").agg((2 * F.min("r") + 1).alias("threshold"))
 
 
-def prune_seeds(seeds: DataFrame, counts: DataFrame, threshold: DataFrame) -> DataFrame:
-    """Seeds whose key is no more frequent than the threshold, with first: whether no other seed of the key comes before."""
-    kept = counts.join(F.broadcast(threshold.select("threshold")), F.col("n") <= F.col("threshold")).select("key")  # one row
-    order = F.struct(F.col("read_id"), F.col("strand"), F.col("voff"))
-    firsts = seeds.groupBy("key").agg(F.min(order).alias("least"))
-    return seeds.join(kept, "key").join(firsts, "key").withColumn("first", order == F.col("least")).drop("least")
+def kept_keys(counts: DataFrame, threshold: DataFrame) -> DataFrame:
+    """Rows of counts that are no more frequent than the threshold."""
+    return counts.join(F.broadcast(threshold.select("threshold")), F.col("n") <= F.col("threshold")).drop("threshold")  # one row
+
+
+def prune_seeds(seeds: DataFrame, kept: DataFrame) -> DataFrame:
+    """Seeds of kept keys, with first: whether no other seed of the key comes before."""
+    joined = seeds.join(kept.select("key", "least"), "key")
+    return joined.withColumn("first", seed_order() == F.col("least")).drop("least")

@@ -57,24 +57,22 @@ def replay(rows: list[dict], size: int, span: int, d: int, most: int, share: flo
 
 
 def select_in_order(candidates: DataFrame, sizes: DataFrame, span: int, d: int, most: int = 1, top_percent: float = 1.0) -> DataFrame:
-    """Candidates that the scan would write, read by read. candidates: chains left-joined with alignments; sizes: read_id, size.
+    """Candidates that the scan would write, read by read. candidates: chains with alignments; sizes: read_id, size.
 
     A read's candidates are sorted by reference, window and strand within its group; their number is
     bounded by the windows it is chained in.
     """
     share = 1 - top_percent / 100
-    keys = ["read_id", "ref_idx", "window", "strand", "run"]
-    used = ["chain_score", "h_start", "h_stop", "anchor_match", "anchor_mismatch", "sw_score"]
+    order = [(c, "ascending") for c in ("ref_idx", "window", "strand", "run")]
+    used = ["ref_idx", "window", "strand", "run", "chain_score", "h_start", "h_stop", "anchor_match", "anchor_mismatch", "sw_score"]
 
     def run(key, table):
-        rows = table.sort_by([(c, "ascending") for c in keys[1:]]).to_pylist()
-        kept = [r for r, w in zip(rows, replay(rows, rows[0]["size"], span, d, most, share), strict=True) if w]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.table({c: pa.array([r[c] for r in kept], t) for c, t in zip(keys, types, strict=True)})
-
-    given = candidates.select(*keys, *used).join(sizes.select("read_id", "size"), "read_id")
-    written = given.groupBy("read_id").applyInArrow(run, "read_id long, ref_idx long, window long, strand int, run int")
-    return candidates.join(written, keys)
+        table = table.sort_by(order)
+        rows = table.select(used).to_pylist()
+        kept = replay(rows, table.column("size")[0].as_py(), span, d, most, share)
+        return table.filter(pa.array(kept)).drop_columns(["size"])
+
+    return candidates.join(sizes.select("read_id", "size"), "read_id").select(*candidates.columns, "size").groupBy("read_id").applyInArrow(run, candidates.schema)
 
 
 def final_filter(written: DataFrame, most: int = 1, top_percent: float = 1.0) -> DataFrame:

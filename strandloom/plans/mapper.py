@@ -45,29 +45,29 @@ class Mapping:
         self.ignore = ignore
         self.d = int(pairs.diagonals(self.reads).first()["d"])
 
-    def seeds(self) -> DataFrame:
-        """Seeds whose keys are neither ignored nor too frequent."""
+    def _seeds(self) -> tuple[DataFrame, DataFrame]:
         own = seeds.read_seeds(self.reads, self.mask, self.options.sensitivity, self.options.bisulfite, self.ignore)
         counts = seeds.seed_counts(own)
-        return seeds.prune_seeds(own, counts, seeds.frequency_threshold(counts, self.options.kept))
+        return own, seeds.kept_keys(counts, seeds.frequency_threshold(counts, self.options.kept))
+
+    def seeds(self) -> DataFrame:
+        """Seeds whose keys are neither ignored nor too frequent."""
+        return seeds.prune_seeds(*self._seeds())
 
     def pairs(self) -> DataFrame:
-        kept = self.seeds()
-        places = seeds.position_keys(self.refs, self.mask, presence=seeds.presence_map(kept.select("key"), self.mask))
+        own, kept = self._seeds()
+        places = seeds.position_keys(self.refs, self.mask, presence=seeds.presence_map(kept, self.mask))
         if self.ignore is not None and self.options.bisulfite:  # expanded keys may be ignored ones
             places = places.join(self.ignore.select("key"), "key", "left_anti")
         lengths = self.refs.select("ref_idx", F.length("seq").cast("long").alias("len"))
-        return pairs.window_pairs(pairs.seed_matches(kept, places), lengths, self.d, self.mask)
+        return pairs.window_pairs(pairs.seed_matches(seeds.prune_seeds(own, kept), places), lengths, self.d, self.mask)
 
     def chains(self) -> DataFrame:
         return alignment.placed(chains.chain_pairs(pairs.candidate_pairs(self.pairs(), self.d), self.mask), self.d)
 
     def candidates(self) -> DataFrame:
         """Chains with the alignment of those whose band is narrow enough."""
-        all_chains = self.chains()
-        cut = alignment.with_templates(all_chains, self.refs, self.reads)
-        done = alignment.align(cut, self.d, self.options.bisulfite)
-        return all_chains.join(done, ["read_id", "strand", "ref_idx", "window", "run"], "left")
+        return alignment.align(alignment.with_templates(self.chains(), self.refs, self.reads, everything=True), self.d, self.options.bisulfite)
 
     def mappings(self, candidates: DataFrame | None = None) -> DataFrame:
         """The alignments that stay."""

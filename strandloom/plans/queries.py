@@ -59,7 +59,7 @@ def seed_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pruned_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = read_seeds(spark, sf_dir)
     counts = seeds.seed_counts(own)
-    return seeds.prune_seeds(own, counts, seeds.frequency_threshold(counts, 99)).select("read_id", "strand", "voff", "key", F.col("first").cast("int").alias("is_first"))
+    return seeds.prune_seeds(own, seeds.kept_keys(counts, seeds.frequency_threshold(counts, 99))).select("read_id", "strand", "voff", "key", F.col("first").cast("int").alias("is_first"))
 
 
 def kmer_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
