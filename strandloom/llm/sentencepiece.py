@@ -7,6 +7,7 @@ filtered once for each distinct word and sampled for all of its occurrences toge
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ ALPHA = 0.5
 BLOCK_CHARS, KEPT_WORDS = 1 << 20, 400_000
 #: Characters of a lattice that is built in one go; more words take more goes.
 BUILD_CHARS = 1 << 20
+#: Values that a draw may take; probabilities are rounded to that many parts.
+DRAWS = 1 << 24
 _WORD = re.compile(" *[^ ]+| +")
 
 
@@ -48,6 +51,8 @@ class Vocabulary:
                 plain.append((own, i))
         if any(re.search("[^ ] ", p) for p, _ in plain):
             raise ValueError("a piece crosses a word's bounds")
+        if max(len(p) for p, _ in plain) > 255:
+            raise ValueError("a piece is too long")
         if (self.byte_id < 0).any():
             raise ValueError("the model has no bytes to fall back on")
         # a merge's rank is all that such a model knows; probabilities fall with the rank as words' do
@@ -66,6 +71,10 @@ class Vocabulary:
         edge = np.array([s << 21 | c for s, c in kids], np.int64)
         order = np.argsort(edge)
         self.edge, self.kid = edge[order], np.array(list(kids.values()), np.int64)[order]
+        self.begin = np.zeros(0x110000, np.int32)  # the state after a first character, 0 if no piece has it
+        for (state, c), kid in kids.items():
+            if state == 0:
+                self.begin[c] = kid
         self.piece = np.full(len(kids) + 1, -1, np.int64)
         self.piece[list(piece_at)] = list(piece_at.values())
 
@@ -74,13 +83,16 @@ class Vocabulary:
 
         A character that is no piece has an edge of its own, with piece -1.
         """
-        at, state, out = np.arange(len(chars)), np.zeros(len(chars), np.int64), []
+        first = self.begin[chars].astype(np.int64)
+        at = np.flatnonzero(first)
+        state, out = first[at], []
         single = np.zeros(len(chars), bool)
         for n in range(1, self.depth + 1):
-            ask = state << 21 | chars[at + n - 1]
-            k = np.minimum(np.searchsorted(self.edge, ask), len(self.edge) - 1)
-            ok = self.edge[k] == ask
-            at, state = at[ok], self.kid[k[ok]]
+            if n > 1:
+                ask = state << 21 | chars[at + n - 1]
+                k = np.minimum(np.searchsorted(self.edge, ask), len(self.edge) - 1)
+                ok = self.edge[k] == ask
+                at, state = at[ok], self.kid[k[ok]]
             piece = self.piece[state]
             has = piece >= 0
             out.append((at[has], np.full(has.sum(), n), piece[has]))
@@ -107,7 +119,7 @@ class Sampler:
         self.first = np.zeros(1024, np.int64)  # node of each word's start
         self.last = np.zeros(1024, np.int64)
         self.enter = np.zeros(1 << 16, np.int32)  # each node's first edge, the likeliest
-        self.upto = np.zeros(1 << 16, np.float32)  # an edge's probability and that of its node's edges before it
+        self.upto = np.zeros(1 << 16, np.int32)  # an edge's share of DRAWS and that of its node's edges before it
         self.back = np.zeros(1 << 16, np.int32)  # where the edge comes from
         self.what = np.zeros(1 << 16, np.int32)  # its piece, or -1 - character
         self.n_edges = self.n_nodes = 0
@@ -135,7 +147,7 @@ class Sampler:
             weight[bare] = self.v.byte_logp * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
             piece[bare] = -1 - c
         depth = node - (ends - sizes + np.arange(len(words)))[word]
-        by = np.argsort(depth << 40 | node)
+        by = np.argsort((depth << 32 | node) << 8 | size)  # one order for a word, wherever it stands
         start, size, piece, node, weight, depth = (x[by] for x in (start, size, piece, node, weight, depth))
         source = node - size
         alpha = np.zeros(len(chars) + len(words))
@@ -150,13 +162,13 @@ class Sampler:
             total = np.add.reduceat(e, first)
             alpha[node[a:b][first]] = top[first] + np.log(total)
             share[a:b] = e / np.repeat(total, count)
-        by = np.argsort(node + (1 - share) / 2)
+        by = np.argsort(node + (1 - share) / 2 + (node - source) * 1e-9)  # of equal shares the shorter piece first
         node, source, piece, share = node[by], source[by], piece[by], share[by]
         fresh = np.flatnonzero(np.diff(node, prepend=-1))
-        run = np.cumsum(share)
-        base = np.repeat(run[fresh] - share[fresh], np.diff(np.append(fresh, len(node))))
-        upto = (run - base).astype(np.float32)
-        upto[np.append(fresh[1:], len(node)) - 1] = 2
+        part = np.round(share * DRAWS).astype(np.int64)
+        run = np.cumsum(part)
+        upto = (run - np.repeat(run[fresh] - part[fresh], np.diff(np.append(fresh, len(node))))).astype(np.int32)
+        upto[np.append(fresh[1:], len(node)) - 1] = DRAWS
         n, w = self.n_edges, len(self.words)
         for name in ("upto", "back", "what"):
             self._grow(name, n + len(node))
@@ -179,7 +191,8 @@ class Sampler:
         if len(self.words) > KEPT_WORDS:
             self.clear()
         split = [_WORD.findall(" " + t) if t else [] for t in texts]
-        fresh = list(dict.fromkeys(w for ws in split for w in ws if w not in self.words))
+        flat = list(chain.from_iterable(split))
+        fresh = list(set(flat).difference(self.words))
         at = 0
         while at < len(fresh):
             end, size = at, 0
@@ -189,7 +202,7 @@ class Sampler:
             self.build(fresh[at:end])
             at = end
         counts = np.array([len(ws) for ws in split])
-        which = np.array([self.words[w] for ws in split for w in ws], np.int64)
+        which = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
         row = np.repeat(np.arange(len(texts)), counts)
         first, node = self.first[which], self.last[which]
         chars = node - first
@@ -201,7 +214,7 @@ class Sampler:
         used = np.zeros(len(which), np.int64)
         while len(own):  # backward sampling, one piece of all words at a time
             place = (begin[own] + node - first[own]).astype(np.uint64)
-            u = (mix(seeds[own] ^ (place * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(12)) * (1.0 / (1 << 52))
+            u = (mix(seeds[own] ^ (place * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(40)).astype(np.int32)
             e = self.enter[node]
             on = np.flatnonzero(u >= self.upto[e])
             while len(on):
