@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 
 import numpy as np
@@ -13,6 +14,15 @@ from pyspark import TaskContext
 CHUNK = 4 << 20
 
 
+def lean_memory() -> None:
+    """In a worker: large arrays go back to the system when they are freed, so that it holds what it uses now, not its peak."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD, which would grow by itself
+    except (OSError, AttributeError):
+        pass  # another C library
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def pack(*arrays: np.ndarray, level: int = 3) -> bytes:
     """Arrays as one compressed value, bytes of equal weight together."""
     head = json.dumps([[a.dtype.str, a.shape] for a in arrays]).encode()
@@ -50,6 +60,7 @@ def chunks(with_lang: bool = False, most: int = CHUNK):
     """
 
     def run(batches):
+        lean_memory()
         base, n = TaskContext.get().partitionId() << 32, 0
         ids, texts, langs, size = [], [], [], 0
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blobs import CHUNK_SCHEMA, chunks, gaps, pack, unpack
+from .blobs import CHUNK_SCHEMA, chunks, gaps, lean_memory, pack, unpack
 from .common import Scratch, plan_bytes
 
 ORDER = 5
@@ -83,6 +83,7 @@ def _grams(names: dict[bytes, int], shards: int):
     """Of a chunk, for each shard: its distinct n-grams with counts over trusted training rows."""
 
     def run(key, table):
+        lean_memory()
         out = []
         blobs = [b for b in table.column("blob").to_pylist() if b is not None]
         if blobs:
@@ -131,6 +132,7 @@ def adjusted(keys: np.ndarray, counts: np.ndarray):
 
 def _merge(key, table):
     """Of a shard: all n-grams with summed counts, what each chunk asks for, and what shards have to share."""
+    lean_memory()
     parts = [unpack(v) for v in table.column("value").to_pylist()]
     asked = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
     every = np.concatenate(asked)
@@ -236,6 +238,7 @@ def _score(names: dict[bytes, int]):
     order = sorted(names, key=names.get)
 
     def run(key, table):
+        lean_memory()
         values = [unpack(v) for v in table.column("value").to_pylist() if v is not None]
         ids, known, lengths, data, a, b = unpack(next(x for x in table.column("blob").to_pylist() if x is not None))
         lang = _languages(a, b, names)

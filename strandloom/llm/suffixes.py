@@ -19,17 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blobs import CHUNK_SCHEMA, chunks, gaps, pack, unpack
+from .blobs import CHUNK_SCHEMA, chunks, gaps, lean_memory, pack, unpack
 from .common import Scratch, plan_bytes
 from .shingles import mix
 
 GRAM = 24
-#: Bytes of text that are hashed at once.
-TILE = 1 << 20
+#: Bytes of text in a chunk, and that are hashed at once.
+CHUNK_BYTES, TILE = 2 << 20, 1 << 18
 #: Bits of a gram's hash that decide; the rest of a word holds the place within a tile.
 PLACE = 21
 #: Distinct grams in a bucket of hashes, and contexts in a bucket of suffixes, on average.
-BUCKET_GRAMS, BUCKET_SUFFIXES = 1_500_000, 300_000
+BUCKET_GRAMS, BUCKET_SUFFIXES = 1_000_000, 100_000
 #: Grams that splitters are taken from, at most about.
 SAMPLE = 100_000
 
@@ -127,6 +127,7 @@ def _hashes(span: int, buckets: int, rate: int):
     """Each chunk's distinct grams by range of hash, with the number of its documents (255 at most), and sampled grams."""
 
     def run(batches):
+        lean_memory()
         for batch in batches:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 ids, known, lengths, data = unpack(blob)
@@ -162,6 +163,7 @@ def _shared(hot: int):
     """Of a range of hashes: to each chunk those of its grams that two documents have, and how many grams these are."""
 
     def run(key, table):
+        lean_memory()
         owners = table.column("chunk").to_pylist()
         parts = [unpack(v) for v in table.column("value").to_pylist()]
         grams = [np.cumsum(x[0], dtype=np.uint64) for x in parts]
@@ -190,6 +192,7 @@ def _suffixes(span: int, splitters: list[bytes], hot_buckets: int):
     cuts = symbols(np.frombuffer(b"".join(splitters), np.uint8).reshape(-1, GRAM))
 
     def run(key, table):
+        lean_memory()
         kinds, values = table.column("kind").to_pylist(), table.column("value").to_pylist()
         ids, _, lengths, data = unpack(values[kinds.index(0)])
         replies = [unpack(v) for k, v in zip(kinds, values, strict=True) if k == 1]
@@ -255,6 +258,7 @@ def _compare(span: int):
     back = span - GRAM
 
     def run(key, table):
+        lean_memory()
         whole = key[0].as_py()[0] == "w"
         names = table.column("chunk").to_pylist()
         parts = [unpack(v) for v in table.column("value").to_pylist()]
@@ -319,6 +323,7 @@ def _remove(with_text: bool):
     """Of a chunk: each document without the bytes that were found."""
 
     def run(key, table):
+        lean_memory()
         kinds, values = table.column("kind").to_pylist(), table.column("value").to_pylist()
         ids, known, lengths, data = unpack(values[kinds.index(0)])
         mark = np.zeros(len(data) + 1, np.int32)
@@ -328,7 +333,7 @@ def _remove(with_text: bool):
                 start = np.cumsum(start)
                 np.add.at(mark, start, 1)
                 np.add.at(mark, start + size, -1)
-        gone = np.cumsum(mark[:-1]) > 0
+        gone = np.cumsum(mark[:-1], dtype=np.int32) > 0
         ends = np.cumsum(lengths)
         out = []
         for i, (a, b) in enumerate(zip(ends - lengths, ends, strict=True)):
@@ -359,7 +364,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = False, hot
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    stored = scratch.table(given.mapInArrow(chunks(), CHUNK_SCHEMA).drop("ids"), "chunks", "uncompressed")
+    stored = scratch.table(given.mapInArrow(chunks(most=CHUNK_BYTES), CHUNK_SCHEMA).drop("ids"), "chunks", "uncompressed")
     size = 3 * plan_bytes(docs)
     grams = size * 2 // (span - GRAM + 2)
     buckets = int(max(12, grams // BUCKET_GRAMS))
