@@ -12,6 +12,7 @@ BASES = "ATGC"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Letters to bases, for data that is no sequence.
 PROJECTION = "".join("ACGT"[i % 4] for i in range(26))
+# Fixed value of the file format: how the name of a reverse-complemented contig begins.
 RC_PREFIX = "#RC.pash."
 
 
@@ -123,4 +124,5 @@ def bisulfite_keys(key: Column | str, weight: int, most: int = 512) -> Column:
 
 def plain_name(name: Column | str) -> Column:
     """A contig's name without the mark of a reverse-complemented one."""
-    return F.regexp_replace(_col(name), "^#RC\\.pash\\.", "")
+    n = _col(name)
+    return F.when(n.startswith(RC_PREFIX), F.substr(n, F.lit(len(RC_PREFIX) + 1))).otherwise(n)

@@ -88,6 +88,6 @@ def test_bisulfite_expansion(spark):
 
 
 def test_projection_and_names(spark):
-    df = spark.createDataFrame([("Aé bE ß?", "#RC.pash.chr1")], "t string, n string")
+    df = spark.createDataFrame([("Aé bE ß?", B.RC_PREFIX + "chr1")], "t string, n string")
     r = df.select(B.dna("t").alias("d"), B.plain_name("n").alias("n"), B.base_number(F.lit("N")).alias("a"), B.base_number(F.lit("x")).alias("b"), B.is_base(F.lit("G")).alias("g")).first()
     assert (r["d"], r["n"], r["a"], r["b"], r["g"]) == ("ACA", "chr1", 4, 5, True)

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 
+from strandloom.functions.bases import RC_PREFIX
 from strandloom.functions.masks import parse_mask
 from strandloom.operators import alignment, frequency, seeds
 from strandloom.operators.chains import Chains
@@ -261,7 +262,7 @@ def test_variants_of_a_regular_read(spark):
 
 def test_doubled_reference(spark):
     out = doubled(refs_df(spark, {"x y": "AACGn-", "z": "T"})).orderBy("ref_idx").collect()
-    assert [(r["name"], r["seq"]) for r in out] == [("x", "AACGn-"), ("#RC.pash.x", "-NCGTT"), ("z", "T"), ("#RC.pash.z", "A")]
+    assert [(r["name"], r["seq"]) for r in out] == [("x", "AACGn-"), (RC_PREFIX + "x", "-NCGTT"), ("z", "T"), (RC_PREFIX + "z", "A")]
 
 
 def test_replay_and_final_filter(spark):

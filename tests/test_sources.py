@@ -5,6 +5,7 @@ import struct
 
 import pytest
 
+from strandloom.functions.bases import RC_PREFIX
 from strandloom.functions.masks import parse_mask
 from strandloom.operators import frequency
 from strandloom.plans.mapper import map_reads
@@ -92,7 +93,7 @@ def test_kmer_tables_and_ignore_lists(spark, tmp_path):
 def test_sam_files(spark, tmp_path):
     rng = random.Random(3)
     contig = "".join(rng.choice("ACGT") for _ in range(1500))
-    refs = spark.createDataFrame([(1, "c one", contig), (2, "#RC.pash.c", contig)], "ref_idx long, name string, seq string")
+    refs = spark.createDataFrame([(1, "c one", contig), (2, RC_PREFIX + "c", contig)], "ref_idx long, name string, seq string")
     reads = spark.createDataFrame([(1, "q", contig[100:180], "I" * 80), (2, "p", contig[50:120], "J" * 70)], "read_id long, name string, seq string, qual string")
     sam = map_reads(reads, refs.where("ref_idx = 1")).cache()
     tables.write_sam(sam, refs, str(tmp_path / "one"), one_file=True)
