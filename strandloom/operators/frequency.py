@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bases import key_kmer
 from ..functions.masks import Mask
+from .layout import spread
 from .seeds import TILE, _CODE, keys_at
 
 LARGEST = 4294967295
@@ -68,7 +69,7 @@ def kmer_frequencies(seqs: DataFrame, mask: Mask, fold_a: bool = True) -> DataFr
     Windows with other letters than bases count nothing, and none crosses sequences. Counts stop at
     2^32 - 1. fold_a False: a lower-case a is no base, all other lower-case letters are.
     """
-    counted = seqs.select("seq").mapInArrow(_count(mask, fold_a), "key long, n long")
+    counted = spread(seqs.select("seq")).mapInArrow(_count(mask, fold_a), "key long, n long")
     freq = counted.groupBy("key").agg(F.least(F.sum("n"), F.lit(LARGEST)).alias("freq"))
     return freq.select("key", key_kmer("key", mask.weight).alias("kmer"), "freq")
 

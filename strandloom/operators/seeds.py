@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bases import bisulfite_keys
 from ..functions.masks import Mask, stride
+from .layout import spread
 
 MAX_READ = 2000
 #: Bits of the presence map that a scan may hold: 4^12 keys take 2 MB.
@@ -97,7 +98,7 @@ def position_keys(seqs: DataFrame, mask: Mask, id_col: str = "ref_idx", presence
 
     presence: a bit for each key that is looked for; other places are dropped inside the scan.
     """
-    given = seqs.select(F.col(id_col).cast("long").alias(id_col), "seq")
+    given = spread(seqs.select(F.col(id_col).cast("long").alias(id_col), "seq"))
     return given.mapInArrow(_scan(mask, id_col, step, presence, skip_zero), f"{id_col} long, pos long, key long")
 
 
