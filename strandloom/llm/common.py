@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.layout import plan_bytes, spread
+
+__all__ = ["CLEANUP", "ROWS_PER_SALT", "Scratch", "plan_bytes", "prefix_sums", "salted_rank", "shared_dir", "spread"]
+
 #: Spark's switch that drops a query's shuffle files as soon as the query is over.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows that one sub-group of a salted rank holds on average.
@@ -56,15 +60,6 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Bytes that the plan is estimated to read: the size of its files for a scan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def prefix_sums(values: Column, block: int = 256) -> Column:
     """Exclusive prefix sums of an array of long, in work near its length."""
     zero = F.array(F.lit(0).cast("long"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import spread
+
 #: Edits allowed for each byte of an item, after both sides are normalised.
 ERROR_RATE = 0.08
 #: Bytes of items that one pass over the documents looks for; more items take more passes.
@@ -175,7 +177,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, bl
     rows and items each give rows. Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    given = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     schema = "doc_id long, item_id long, distance int, item_bytes int, start long, end long"
     out, block, size = [], [], 0
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import spread
+
 # Elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
@@ -467,7 +469,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     display none or visibility hidden, closed details and dialogs. Null html gives null, empty html empty
     text. Repeated rows and null ids are kept. Other columns are ignored. An empty table gives an empty result.
     """
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html")).mapInArrow(_extract, "page_id long, text string")
+    return spread(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))).mapInArrow(_extract, "page_id long, text string")
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:

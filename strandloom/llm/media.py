@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, spread
 
 #: An image has rows of WIDTH pixels of three 8-bit samples, so a payload is a multiple of 192 bytes.
 WIDTH, CHANNELS = 64, 3
@@ -194,7 +194,7 @@ class MediaTable:
         self.scratch = Scratch(docs.sparkSession, "media")
         self.folder = self.scratch.path("shards")
         given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        self.stored = self.scratch.table(given.mapInArrow(_store(self.folder), "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"), "rows")
+        self.stored = self.scratch.table(spread(given).mapInArrow(_store(self.folder), "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"), "rows")
         place = F.min(F.struct("shard", "offset", "length")).alias("p")
         self.places = self.scratch.table(self.stored.groupBy("digest").agg(place).select("digest", "p.*"), "places")
 

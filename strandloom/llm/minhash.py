@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, plan_bytes
+from .common import Scratch, plan_bytes, spread
 from .graph import components
 from .shingles import mix, shingle_sets
 
@@ -153,8 +153,11 @@ def _verify(width: int, percent: int):
         bounds = np.concatenate(([0], np.flatnonzero(np.diff(family[order])) + 1, [len(order)]))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             rows = order[a:b]
-            if len(rows) > 1:
-                for i, j in linked(shingle_sets([texts[r].encode() for r in rows], width), side[rows], percent):
+            sets = shingle_sets([(texts[r] or "").encode() for r in rows], width) if len(rows) > 1 else []
+            full = [k for k, s in enumerate(sets) if len(s)]  # another row of a member's id may have no words
+            if len(full) > 1:
+                rows = rows[full]
+                for i, j in linked([sets[k] for k in full], side[rows], percent):
                     u.append(ids[rows[i]])
                     v.append(ids[rows[j]])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
@@ -179,7 +182,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    given = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     described = scratch.table(given.mapInArrow(_describe(width, rows_for(percent)), "doc_id long, n_shingles long, n_bytes long, k1 long, k2 long, bands binary"), "described")
     named = described.where("doc_id is not null and k1 is not null")
     classes = scratch.table(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.max("n_bytes").alias("n_bytes")), "classes")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import CHUNK_SCHEMA, chunks, gaps, lean_memory, pack, unpack
-from .common import Scratch, plan_bytes
+from .common import Scratch, plan_bytes, spread
 
 ORDER = 5
 #: Languages that get a model, the most frequent first; rows of others are kept without a score.
@@ -283,7 +283,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     names = {r["lang"].encode(): i for i, r in enumerate(ranked.collect())}
     shards = int(max(12, 3 * plan_bytes(docs) // SHARD_BYTES))
 
-    stored = scratch.table(given.mapInArrow(chunks(True, CHUNK_BYTES), CHUNK_SCHEMA), "chunks", "uncompressed")
+    stored = scratch.table(spread(given).mapInArrow(chunks(True, CHUNK_BYTES), CHUNK_SCHEMA), "chunks", "uncompressed")
     trusted = stored.select("chunk", F.explode("ids").alias("doc_id")).join(good, "doc_id", "left_semi").groupBy("chunk").agg(F.collect_list("doc_id").alias("good"))
     blobs = stored.select("chunk", "blob", F.lit(None).cast("array<bigint>").alias("good"))
     work = blobs.unionByName(trusted.select("chunk", F.lit(None).cast("binary").alias("blob"), "good"))

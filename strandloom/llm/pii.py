@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prefix_sums
+from .common import prefix_sums, spread
 
 # The patterns of the base kinds. Those in FAST match the same spans, as a run of a class
 # is entered at its start only and is not given back, so that their work stays near the text's length.
@@ -152,7 +152,7 @@ def joined(spans: Column) -> Column:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of personal data in every document."""
-    out = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text")
+    out = find_pii(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))).drop("text")
     return out.select(
         "doc_id",
         *[F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in BASE],

@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import spread
 from .shingles import mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -283,7 +284,7 @@ def encode(docs: DataFrame, model: str = MODEL, alpha: float = ALPHA, seed: int
     segmentation; null ids draw as id 0. Other columns are ignored. An empty table gives an empty result.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return given.mapInArrow(_encode(model, alpha, seed), "doc_id long, n_pieces long, ids array<int>, lossless boolean")
+    return spread(given).mapInArrow(_encode(model, alpha, seed), "doc_id long, n_pieces long, ids array<int>, lossless boolean")
 
 
 def _decode(path: str):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROWS_PER_SALT, Scratch, salted_rank
+from .common import ROWS_PER_SALT, Scratch, salted_rank, spread
 
 LAW = "rows"
 
@@ -45,7 +45,7 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 6, id_col: str = "doc
     scratch = Scratch(spark, "sharding")
     text = F.col(text_col)
     slim = scratch.table(
-        docs.select(
+        spread(docs.select(F.col(id_col), text)).select(
             F.col(id_col).alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
             F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),

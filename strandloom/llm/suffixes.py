@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import CHUNK_SCHEMA, chunks, gaps, lean_memory, pack, unpack
-from .common import Scratch, plan_bytes
+from .common import Scratch, plan_bytes, spread
 from .shingles import mix
 
 GRAM = 24
@@ -363,7 +363,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = False, hot
         raise ValueError("span must be 26 to 200")
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    given = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     stored = scratch.table(given.mapInArrow(chunks(most=CHUNK_BYTES), CHUNK_SCHEMA).drop("ids"), "chunks", "uncompressed")
     size = 3 * plan_bytes(docs)
     grams = size * 2 // (span - GRAM + 2)

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, spread
 from .html import render, title_of
 
 VERSION = "WARC/1.1"
@@ -207,7 +207,7 @@ def _derive(with_record: bool):
 
 def responses(pages: DataFrame) -> DataFrame:
     """page_id and record, a response record of each page (url, html). Null html is an empty body, null url an empty address."""
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_responses, "page_id long, record binary")
+    return spread(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")).mapInArrow(_responses, "page_id long, record binary")
 
 
 def derivatives(records: DataFrame, with_record: bool = True) -> DataFrame:
