@@ -56,6 +56,11 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def set_key(s: np.ndarray) -> int:
+    """Half of what names a set."""
+    return int(np.bitwise_xor.reduce(mix(s))) - (1 << 63)
+
+
 def _describe(width: int, rows: int):
     def run(batches):
         for batch in batches:
@@ -66,12 +71,12 @@ def _describe(width: int, rows: int):
                 keys = np.zeros((len(sets), BANDS), np.int64)
                 if full:
                     keys[full] = band_keys(minima([sets[i] for i in full], rows))
-                k1 = [int(np.bitwise_xor.reduce(mix(s))) if len(s) else None for s in sets]
+                k1 = [set_key(s) if len(s) else None for s in sets]
                 k2 = [int(mix(s + np.uint64(77)).sum()) if len(s) else None for s in sets]
                 bands = [keys[i].tobytes() if len(s) else None for i, s in enumerate(sets)]
                 n = len(sets)
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(a, n), pa.array([len(s) for s in sets], pa.int64()), pa.array([len(t) for t in texts[a : a + 1000]], pa.int64()), pa.array([None if x is None else x - (1 << 63) for x in k1], pa.int64()), pa.array([None if x is None else x - (1 << 63) for x in k2], pa.int64()), pa.array(bands, pa.binary())],
+                    [batch.column("doc_id").slice(a, n), pa.array([len(s) for s in sets], pa.int64()), pa.array([len(t) for t in texts[a : a + 1000]], pa.int64()), pa.array(k1, pa.int64()), pa.array([None if x is None else x - (1 << 63) for x in k2], pa.int64()), pa.array(bands, pa.binary())],
                     names=["doc_id", "n_shingles", "n_bytes", "k1", "k2", "bands"],
                 )
 
@@ -147,14 +152,15 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple
 def _verify(width: int, percent: int):
     def run(key, table):
         ids, texts = table.column("doc_id").to_numpy(), table.column("text").to_pylist()
-        family, side = table.column("family").to_numpy(), table.column("side").to_numpy()
+        family, side, named = (table.column(c).to_numpy() for c in ("family", "side", "k1"))
         order = np.argsort(family, kind="stable")
         u, v = [], []
         bounds = np.concatenate(([0], np.flatnonzero(np.diff(family[order])) + 1, [len(order)]))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             rows = order[a:b]
             sets = shingle_sets([(texts[r] or "").encode() for r in rows], width) if len(rows) > 1 else []
-            full = [k for k, s in enumerate(sets) if len(s)]  # another row of a member's id may have no words
+            # a row of a member's id may have another text, and then is no member
+            full = [k for k, s in enumerate(sets) if len(s) and set_key(s) == named[rows[k]]]
             if len(full) > 1:
                 rows = rows[full]
                 for i, j in linked([sets[k] for k in full], side[rows], percent):
@@ -177,8 +183,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     each two meet in a unit: work and memory of a task stay bounded and no link is left out. Verified
     links go to large-star and small-star again.
 
-    Null or wordless text: no shingles, linked with nothing. Rows of one id are one node; a row with null
-    id links nothing and has null component_id. Other columns are ignored. An empty table gives an empty result.
+    Null or wordless text: no shingles, linked with nothing. Rows are nodes: those of one id may lie
+    in different components. A row with null id links nothing and has null component_id. Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -194,11 +200,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     families = scratch.table(components(stars, scratch), "families")
     scratch.drop(keyed)
 
-    sized = families.join(classes.select(F.col("rep").alias("id"), "n_bytes"), "id")
+    sized = families.join(classes.select(F.col("rep").alias("id"), "n_bytes", "k1"), "id")
     totals = sized.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n_bytes").alias("bytes"))
     parts = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     units = max(16, plan_bytes(docs) // UNIT_BYTES)
-    dealt = families.join(totals.withColumn("parts", parts), "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = sized.join(totals.withColumn("parts", parts), "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     small = F.array(F.struct(F.concat(F.lit("f"), F.pmod(F.xxhash64("component"), F.lit(units)).cast("string")).alias("unit"), F.lit(2).alias("side")))
     meets = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
@@ -207,9 +213,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             F.when(F.col("own") == o, 2).when(F.col("own") < o, 0).otherwise(1).alias("side"),
         ),
     )
-    members = dealt.select(F.col("id").alias("doc_id"), F.col("component").alias("family"), F.when(F.col("parts") == 1, small).otherwise(meets).alias("in"))
+    members = dealt.select(F.col("id").alias("doc_id"), F.col("component").alias("family"), "k1", F.when(F.col("parts") == 1, small).otherwise(meets).alias("in"))
     texts = scratch.table(given.join(members, "doc_id"), "members")
-    work = texts.select("doc_id", "family", "text", F.explode("in").alias("m")).select("doc_id", "family", "text", "m.unit", "m.side")
+    work = texts.select("doc_id", "family", "k1", "text", F.explode("in").alias("m")).select("doc_id", "family", "k1", "text", "m.unit", "m.side")
     links = work.groupBy("unit").applyInArrow(_verify(width, percent), "u long, v long")
     joined = scratch.table(components(scratch.table(links, "links"), scratch), "components")
 

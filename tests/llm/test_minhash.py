@@ -72,11 +72,11 @@ def test_families_beyond_a_unit_are_dealt_in_blocks(spark, monkeypatch):
     assert got == brute(rows, 3, 85)
 
 
-def test_rows_of_one_id_are_one_node(spark):
+def test_rows_of_one_id_are_nodes_of_their_own(spark):
     a, b = family(8, 1, 60)[0][1], family(9, 1, 60)[0][1]
     rows = [(1, a, "en", "a", 1), (2, a, "en", "a", 1), (2, None, "en", "a", 1), (2, b, "en", "a", 1), (3, b + " more", "en", "a", 1), (3, "", "en", "a", 1), (4, "else", "en", "a", 1)]
     got = near_duplicates(documents(spark, rows), 3, 85).collect()
-    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4)} and len(got) == len(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (2, 2), (3, 2), (3, 3), (4, 4)} and len(got) == len(rows)
 
 
 def test_empty(spark):
