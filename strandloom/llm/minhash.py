@@ -18,6 +18,8 @@ BANDS, ROWS = 32, 6
 SLACK = 0.15
 #: Texts and bytes that a unit of verification holds at most, on each of its two sides.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 12 << 20
+#: Bytes of a table of bits that full sets of a block are compared by.
+BITS_BYTES = 48 << 20
 #: Bytes of small families that are verified in one go.
 UNIT_BYTES = 4 << 20
 
@@ -113,6 +115,34 @@ class Forest:
             self.up = up
 
 
+def overlaps(sets: list[np.ndarray]):
+    """A function (i, some) to the sizes of set i's intersections with some sets.
+
+    Sets become rows of bits over the members that two sets have, where such a table is no larger than
+    BITS_BYTES; else members are looked up.
+    """
+    sizes = np.array([len(s) for s in sets])
+    flat, starts = np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)))
+    _, back, times = np.unique(flat, return_inverse=True, return_counts=True)
+    common = times > 1
+    words = int(common.sum()) // 64 + 1
+    if len(sets) > 8 and len(sets) * words * 8 <= BITS_BYTES:
+        place = np.cumsum(common) - 1
+        use = common[back]
+        row, at = np.repeat(np.arange(len(sets)), sizes)[use], place[back[use]]
+        bits = np.zeros((len(sets), words), np.uint64)
+        np.bitwise_or.at(bits, (row, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        return lambda i, some: np.bitwise_count(bits[some] & bits[i]).sum(1, dtype=np.int64)
+
+    def looked_up(i, some):
+        cat = np.concatenate([flat[starts[j] : starts[j + 1]] for j in some])
+        at = np.searchsorted(sets[i], cat)
+        hit = sets[i][np.minimum(at, sizes[i] - 1)] == cat
+        return np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *sizes[some[:-1]]]))
+
+    return looked_up
+
+
 def linked(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that join what the sets' full links join, found without listing all pairs.
 
@@ -121,7 +151,7 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     sig = (minima(sets) & np.uint32(255)).astype(np.uint8)
-    flat, starts = np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)))
+    shared = overlaps(sets)
     forest, out = Forest(n), []
     least = (percent / 100 - SLACK) * BANDS * ROWS
     for i in range(n - 1):
@@ -138,11 +168,7 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple
             some = [j for j in js[a : a + 64] if forest.root(j) != forest.root(i)]
             if not some:
                 continue
-            cat = np.concatenate([flat[starts[j] : starts[j + 1]] for j in some])
-            at = np.searchsorted(sets[i], cat)
-            hit = sets[i][np.minimum(at, sizes[i] - 1)] == cat
-            both = np.add.reduceat(hit, np.cumsum([0, *sizes[some[:-1]]]))
-            for j, x in zip(some, both, strict=True):
+            for j, x in zip(some, shared(i, some).tolist(), strict=True):
                 if 100 * x >= percent * (sizes[i] + sizes[j] - x) and (r := forest.root(j)) != (s := forest.root(i)):
                     forest.up[max(r, s)] = min(r, s)
                     out.append((i, j))

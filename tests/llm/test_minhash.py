@@ -100,6 +100,17 @@ def test_shingle_sets_match_their_definition():
                 assert len(np.intersect1d(hashes[i], hashes[j])) == len(real[i] & real[j])
 
 
+@pytest.mark.parametrize("most", [0, 1 << 30])
+def test_overlaps_by_bits_and_by_lookup(monkeypatch, most):
+    monkeypatch.setattr(minhash, "BITS_BYTES", most)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in rng.integers(1, 200, 40)]
+    shared = minhash.overlaps(sets)
+    for i in (0, 7, 39):
+        some = [j for j in range(40) if j != i]
+        assert shared(i, some).tolist() == [len(np.intersect1d(sets[i], sets[j])) for j in some]
+
+
 def test_minima_estimate_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
