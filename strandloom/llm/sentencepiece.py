@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blobs import lean_memory
 from .common import spread
 from .shingles import mix
 
@@ -22,9 +23,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Exponent of piece probabilities: 1 samples by the model, more comes nearer to the best segmentation.
 ALPHA = 0.5
 #: Characters of text that are sampled at once, and distinct words that a worker keeps.
-BLOCK_CHARS, KEPT_WORDS = 1 << 20, 400_000
+BLOCK_CHARS, KEPT_WORDS = 1 << 20, 250_000
 #: Characters of a lattice that is built in one go; more words take more goes.
-BUILD_CHARS = 1 << 20
+BUILD_CHARS = 1 << 17
 #: Values that a draw may take; probabilities are rounded to that many parts.
 DRAWS = 1 << 24
 _WORD = re.compile(" *[^ ]+| +")
@@ -128,7 +129,7 @@ class Sampler:
     def _grow(self, name: str, size: int) -> None:
         old = getattr(self, name)
         if size > len(old):
-            new = np.zeros(max(size, 2 * len(old)), old.dtype)
+            new = np.zeros(max(size, len(old) * 5 // 4), old.dtype)
             new[: len(old)] = old
             setattr(self, name, new)
 
@@ -253,6 +254,7 @@ class Sampler:
 
 def _encode(path: str, alpha: float, seed: int):
     def run(batches):
+        lean_memory()
         sampler = Sampler(path, alpha, seed)
         for batch in batches:
             keys, texts = batch.column("doc_id"), batch.column("text")
