@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.layout import plan_bytes, spread
 
-__all__ = ["CLEANUP", "ROWS_PER_SALT", "Scratch", "plan_bytes", "prefix_sums", "salted_rank", "shared_dir", "spread"]
+__all__ = ["CLEANUP", "ROWS_PER_SALT", "Scratch", "let", "plan_bytes", "prefix_sums", "salted_rank", "shared_dir", "spread"]
 
 #: Spark's switch that drops a query's shuffle files as soon as the query is over.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -60,21 +60,27 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once however often then names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def prefix_sums(values: Column, block: int = 256) -> Column:
     """Exclusive prefix sums of an array of long, in work near its length."""
     zero = F.array(F.lit(0).cast("long"))
     step = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
-    starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int"))
-    blocks = F.transform(starts, lambda b: F.slice(values, b * block + 1, F.lit(block)))
-    inner = F.transform(blocks, lambda v: F.aggregate(v, zero, step))
-    offsets = F.aggregate(F.transform(inner, lambda p: F.element_at(p, -1)), zero, step)
-    full = F.flatten(
-        F.transform(
-            F.arrays_zip(inner.alias("p"), F.slice(offsets, F.lit(1), F.size(inner)).alias("o")),
-            lambda z: F.transform(F.slice(z["p"], F.lit(1), F.size(z["p"]) - 1), lambda v: v + z["o"]),
-        )
-    )
-    return F.when(F.size(values) > 0, full).otherwise(F.array().cast("array<bigint>"))
+
+    def joined(parts: Column) -> Column:
+        offsets = F.aggregate(F.transform(parts, lambda p: F.element_at(p, -1)), zero, step)
+        pairs = F.arrays_zip(parts.alias("p"), F.slice(offsets, F.lit(1), F.size(parts)).alias("o"))
+        return F.flatten(F.transform(pairs, lambda z: F.transform(F.slice(z["p"], F.lit(1), F.size(z["p"]) - 1), lambda v: v + z["o"])))
+
+    def sums(v: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int"))
+        parts = F.transform(starts, lambda b: F.aggregate(F.slice(v, b * block + 1, F.lit(block)), zero, step))
+        return F.when(F.size(v) > 0, let(parts, joined)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(values, sums)
 
 
 def salted_rank(df: DataFrame, group: list[str], salts: Column, key: list[str], out: str) -> DataFrame:

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, spread
+from .common import let, prefix_sums, spread
 
 # The patterns of the base kinds. Those in FAST match the same spans, as a run of a class
 # is entered at its start only and is not given back, so that their work stays near the text's length.
@@ -83,28 +83,33 @@ def valid(kind: str, match: Column) -> Column:
 def found(kind: str, text: Column) -> Column:
     """Spans of a kind: kind, start, end (code points), score, in order of start."""
     pattern = FAST.get(kind, PATTERNS[kind])
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    both = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("gap"), matches.alias("hit"))
-    ends = prefix_sums(F.transform(both, lambda z: (F.length(z["gap"]) + F.length(z["hit"])).cast("long")))
-    placed = F.transform(
-        F.arrays_zip(both.alias("z"), ends.alias("at")),
-        lambda x: F.struct((x["at"] + F.length(x["z"]["gap"])).alias("start"), x["z"]["hit"].alias("hit")),
-    )
-    kept = F.filter(placed, lambda m: valid(kind, m["hit"]))
-
     def scored(m: Column) -> Column:
         near = F.lower(F.substring(text, F.greatest(m["start"] - CONTEXT, F.lit(0)) + 1, F.least(m["start"], F.lit(CONTEXT))))
-        helped = F.lit(False)
-        for w in WORDS[kind]:
-            helped = helped | near.contains(w)
-        score = F.lit(SCORES[kind]) + F.when(helped, BONUS).otherwise(0.0)
         end = m["start"] + F.length(m["hit"])
-        return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
 
-    spans = F.transform(kept, scored)
-    if kind not in BASE:
-        spans = F.filter(spans, lambda s: s["score"] >= LEAST)
+        def told(n: Column) -> Column:
+            helped = F.lit(False)
+            for w in WORDS[kind]:
+                helped = helped | n.contains(w)
+            score = F.lit(SCORES[kind]) + F.when(helped, BONUS).otherwise(0.0)
+            return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
+
+        return let(near, told)
+
+    def spans_in(both: Column) -> Column:
+        ends = prefix_sums(F.transform(both, lambda z: (F.length(z["gap"]) + F.length(z["hit"])).cast("long")))
+        placed = F.transform(
+            F.arrays_zip(both.alias("z"), ends.alias("at")),
+            lambda x: F.struct((x["at"] + F.length(x["z"]["gap"])).alias("start"), x["z"]["hit"].alias("hit")),
+        )
+        spans = F.transform(F.filter(placed, lambda m: valid(kind, m["hit"])), scored)
+        return spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= LEAST)
+
+    gaps = F.split(text, pattern, -1)
+    spans = let(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda hits: let(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit")), spans_in),
+    )
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>")
     looks = text.contains(NEEDS[kind]) if kind in NEEDS else F.lit(True)
     return F.when(looks & text.rlike("@" if kind == "email" else "[0-9]"), spans).otherwise(empty)
