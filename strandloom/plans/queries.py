@@ -169,6 +169,32 @@ def reverse_complements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", B.reverse_complement(ascii_only).alias("strict"), B.reverse_complement_loose(ascii_only).alias("loose"))
 
 
+def scalar_functions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As scalar_functions, of each of an item's windows; pos is where it starts."""
+    starts = F.explode(F.sequence(F.lit(0), F.length("seq") - MASK.span)).alias("pos")
+    windows = reads_of(spark, sf_dir).where(f"length(seq) >= {MASK.span}").select("read_id", "seq", starts).withColumn("window", F.substr("seq", F.col("pos") + 1, F.lit(MASK.span)))
+    own = windows.withColumn("kmer", B.sampled("window", MASK)).withColumn("key", B.kmer_key("kmer"))
+    return own.select(
+        F.col("read_id").alias("item_id"),
+        "pos",
+        "kmer",
+        "key",
+        B.key_kmer("key", MASK.weight).alias("decoded"),
+        B.base_at("key", 2).alias("third"),
+        B.with_base_at("key", 2, "C").alias("with_third_c"),
+        B.binary("key", 24).alias("bits"),
+        B.base_number(F.substring("window", 1, 1)).alias("first_number"),
+    )
+
+
+def reverse_complements_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As reverse_complements, of whole texts, and the complement of each item's whole sequence."""
+    ascii_only = F.regexp_replace("text", "[^ -~]", "-")
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
+        "item_id", B.reverse_complement(ascii_only).alias("strict"), B.reverse_complement_loose(ascii_only).alias("loose"), B.complement(B.dna("text")).alias("complement")
+    )
+
+
 def strides(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = reads_of(spark, sf_dir).withColumn("len", F.length("seq"))
     return own.select(F.col("read_id").alias("item_id"), "len", *[B.stride_of(s, "len").alias(s) for s in STRIDES])
@@ -239,6 +265,8 @@ _DECODE = " || ".join(f"substr('ATGC', CAST((key >> {2 * i}) & 3 AS INT) + 1, 1)
 _DECODE_SMALL = " || ".join(f"substr('ATGC', CAST((key >> {2 * i}) & 3 AS INT) + 1, 1)" for i in range(SMALL.weight))
 _SAMPLED = " || ".join(f"substr(seq, {o + 1}, 1)" for o in MASK.offsets)
 _STEPS = "list_filter([" + ", ".join(f"CASE WHEN (key >> {2 * i}) & 3 = 1 THEN {2 << 2 * i} END" for i in range(MASK.weight)) + "], lambda x: x IS NOT NULL)"
+_WINDOW_SAMPLED = " || ".join(f"substr(seq, pos + {o + 1}, 1)" for o in MASK.offsets)
+_WHOLE = "regexp_replace(text, '[^ -~]', '-', 'g')"
 _ASCII = "regexp_replace(substring(text, 1, 60), '[^ -~]', '-', 'g')"
 
 SQL = {
@@ -263,6 +291,10 @@ SELECT read_id, strand, voff, CAST(key + coalesce(list_sum([CASE WHEN (pick >> (
 t AS (SELECT *, CAST({" + ".join(f"(strpos('ATGC', substr(kmer, {i + 1}, 1)) - 1) * {4**i}" for i in range(MASK.weight))} AS BIGINT) key FROM s)
 SELECT item_id, kmer, key, {_DECODE} decoded, substr('ATGC', CAST((key >> 4) & 3 AS INT) + 1, 1) third, key | 48 with_third_c, lpad(bin(key), 24, '0') bits, strpos('ATGC', substr(seq, 1, 1)) - 1 first_number, translate(substr(seq, 1, 4), 'ACGT', 'TGCA') complement4 FROM t""",
     "reverse_complements": f"SELECT item_id, reverse(translate(regexp_replace(upper({_ASCII}), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) strict, reverse(translate({_ASCII}, 'AaCcGgTtn', 'TTGGCCAAN')) loose FROM benchmark",
+    "scalar_functions_whole": f"""WITH {READS}, w AS (SELECT read_id item_id, seq, CAST(unnest(range(length(seq) - {MASK.span - 1})) AS INT) pos FROM r WHERE length(seq) >= {MASK.span}), s AS (SELECT *, {_WINDOW_SAMPLED} kmer FROM w),
+t AS (SELECT *, CAST({" + ".join(f"(strpos('ATGC', substr(kmer, {i + 1}, 1)) - 1) * {4**i}" for i in range(MASK.weight))} AS BIGINT) key FROM s)
+SELECT item_id, pos, kmer, key, {_DECODE} decoded, substr('ATGC', CAST((key >> 4) & 3 AS INT) + 1, 1) third, key | 48 with_third_c, lpad(bin(key), 24, '0') bits, strpos('ATGC', substr(seq, pos + 1, 1)) - 1 first_number FROM t""",
+    "reverse_complements_whole": f"SELECT item_id, reverse(translate(regexp_replace(upper({_WHOLE}), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) strict, reverse(translate({_WHOLE}, 'AaCcGgTtn', 'TTGGCCAAN')) loose, translate({_dna()}, 'ACGT', 'TGCA') complement FROM benchmark",
     "strides": f"WITH {READS} SELECT read_id item_id, length(seq) len, {', '.join(f'{_stride("length(seq)", s)} AS {s}' for s in STRIDES)} FROM r",
     "sequence_windows": f"WITH {READS}, {REFS}, d AS (SELECT greatest(100, max(length(seq))) d FROM r WHERE length(seq) <= 2000) SELECT ref_idx doc_id, length(seq) len, CASE WHEN length(seq) > 0 THEN (length(seq) - 1) // d + 1 ELSE 0 END windows FROM g, d",
     "doubled_reference": f"WITH {REFS}, t AS (SELECT 2 * ref_idx - 1 ref_idx, 'doc' || ref_idx AS name, seq FROM g UNION ALL SELECT 2 * ref_idx, '{B.RC_PREFIX}doc' || ref_idx, reverse(translate(seq, 'AaCcGgTtn', 'TTGGCCAAN')) FROM g) SELECT ref_idx, name, length(seq) len, md5(seq) md5 FROM t",
@@ -274,6 +306,6 @@ QUERIES = {
     for f in (
         seed_hits, unique_hits, read_seeds, bisulfite_seeds, seed_threshold, pruned_seeds, filtered_seeds, kmer_frequencies, kmer_statistics, ignore_keys, ignore_bitmap, unpacked_bitmap, ignore_share,
         window_pairs, candidate_groups, chains, alignments, mappings, bisulfite_mappings, variant_calls, methylation_calls, contig_coverage, run_counters,
-        scalar_functions, reverse_complements, strides, sequence_windows, doubled_reference, split_reads,
+        scalar_functions, scalar_functions_whole, reverse_complements, reverse_complements_whole, strides, sequence_windows, doubled_reference, split_reads,
     )
 }
