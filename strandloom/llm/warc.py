@@ -264,8 +264,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata and conversion records of every page's response."""
-    return derivatives(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")), with_record=False)
+    """Metadata and conversion records of every page's response, as columns and as the records' bytes."""
+    return derivatives(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
 QUERIES = {"op10_warc": op10_warc}

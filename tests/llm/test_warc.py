@@ -3,7 +3,7 @@ import io
 
 import pytest
 
-from strandloom.llm.warc import derivatives, derive, digest, field, http_parts, make, parse_headers, read, read_warc, response, responses, write_warc
+from strandloom.llm.warc import derivatives, derive, digest, field, http_parts, make, op10_warc, parse_headers, read, read_warc, response, responses, write_warc
 
 PAGES = [(1, "http://a/1", "<title>T &amp; x</title><p>One<p>two <a href='/l?a=1&amp;b'>l</a>"), (2, None, None), (3, "http://a/3\r\nX: y", ""), (None, "http://a/4", "é 日本"), (1, "http://a/1", "<title>T &amp; x</title><p>One<p>two <a href='/l?a=1&amp;b'>l</a>"), (5, "http://a/5", "<p>" + "long " * 50_000)]
 
@@ -70,3 +70,14 @@ def test_files(spark, tmp_path):
     back = read_warc(spark, f"{tmp_path}/out/*.warc.gz").collect()
     assert {bytes(r["record"]) for r in back} == {bytes(r["record"]) for r in records.collect()}
     assert {r["record_type"] for r in back} == {"metadata", "conversion"}
+
+
+def test_the_query_returns_records(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES[:4], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = op10_warc(spark, str(tmp_path)).collect()
+    want = [d for p in PAGES[:4] for d in derive(response(*p))]
+    assert sorted(bytes(r["record"]) for r in got) == sorted(d["record"] for d in want)
+    for r in got:
+        ((headers, block),) = read(io.BytesIO(bytes(r["record"])))
+        assert field(headers, "WARC-Record-ID") == r["record_id"] and len(block) == r["content_length"] and digest(block) == r["block_digest"]
