@@ -27,6 +27,9 @@ CHUNK_BYTES = 8 << 20
 SHARD_BYTES = 32 << 20
 #: One trusted row in HELD_OUT sets thresholds and trains nothing.
 HELD_OUT = 5
+#: Held-out rows that are enough to set a language's thresholds. With fewer, all its trusted rows do, each scored by a
+#: model of the other folds'; a language with under LEAST trusted rows has no model.
+ENOUGH, FOLDS, LEAST = 50, 5, 20
 #: Shares of held-out rows outside the thresholds, the room beyond these (nats), and the bytes of average
 #: text that every row is smoothed with, as short texts scatter.
 TAILS, ROOM, SMOOTH = (0.002, 0.998), 0.1, 200
@@ -44,6 +47,38 @@ def _held(col):
     return F.pmod(F.floor(col / 20), F.lit(HELD_OUT)) == 0
 
 
+def folds(ids: np.ndarray) -> np.ndarray:
+    """The fold of each id; not by its place among ids, as a small language's ids may lie close together."""
+    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % FOLDS
+
+
+def slots(languages: list[tuple[str, int, int]]) -> tuple[dict[bytes, int], np.ndarray]:
+    """Of languages with their numbers of trusted and of held-out rows: the models' numbers, and how each is made.
+
+    0: held-out rows set thresholds. 1: folds do; their models follow the language's own. 2: as 1, and held-out rows
+    train too, being over half of all.
+    """
+    names, kinds = {}, []
+    for name, n, held in languages:
+        names[name.encode()] = len(kinds)
+        kinds += [0] if held >= ENOUGH else [1 + (2 * held > n)] * (1 + FOLDS)
+    return names, np.array(kinds, np.int64)
+
+
+def passes(ids, lengths, data, lang, trusted, kinds):
+    """For the languages' models, then for each fold's: the texts, their models, which texts train, and their rows.
+
+    Folds' models get trusted rows of their languages only.
+    """
+    kind = np.append(kinds, 0)[lang]
+    every = np.arange(len(ids))
+    yield data, lengths, lang, trusted & ((kind == 2) | ~held_out(ids)), every
+    if (mine := trusted & (kind > 0)).any():
+        part, rows = data[np.repeat(mine, lengths)], every[mine]
+        for f in range(FOLDS):
+            yield part, lengths[rows], lang[rows] + 1 + f, folds(ids[rows]) != f, rows
+
+
 def key_tiles(data: np.ndarray, lengths: np.ndarray, lang: np.ndarray):
     """For tiles of the texts' bytes: the n-gram that ends at each byte, as language and five bytes, and its text.
 
@@ -79,7 +114,12 @@ def _languages(raw_lengths: np.ndarray, raw: np.ndarray, names: dict[bytes, int]
     return np.array(out, np.int64)
 
 
-def _grams(names: dict[bytes, int], shards: int):
+def _trusted(ids: np.ndarray, known: np.ndarray, table) -> np.ndarray:
+    good = [x for x in table.column("good").to_pylist() if x is not None]
+    return np.isin(ids, np.array(good[0], np.int64)) & (known > 0) if good else np.zeros(len(ids), bool)
+
+
+def _grams(names: dict[bytes, int], kinds: np.ndarray, shards: int):
     """Of a chunk, for each shard: its distinct n-grams with counts over trusted training rows."""
 
     def run(key, table):
@@ -88,15 +128,13 @@ def _grams(names: dict[bytes, int], shards: int):
         blobs = [b for b in table.column("blob").to_pylist() if b is not None]
         if blobs:
             ids, known, lengths, data, a, b = unpack(blobs[0])
-            good = [x for x in table.column("good").to_pylist() if x is not None]
-            lang = _languages(a, b, names)
-            trusted = np.isin(ids, np.array(good[0], np.int64)) & (known > 0) & ~held_out(ids) if good else np.zeros(len(ids), bool)
             asked, train, counted = [], [], []
-            for keys, doc in key_tiles(data, lengths, lang):
-                asked.append(np.unique(keys))
-                k, n = np.unique(keys[trusted[doc]], return_counts=True)
-                train.append(k)
-                counted.append(n)
+            for texts, sizes, lang, trains, _ in passes(ids, lengths, data, _languages(a, b, names), _trusted(ids, known, table), kinds):
+                for keys, doc in key_tiles(texts, sizes, lang):
+                    asked.append(np.unique(keys))
+                    k, n = np.unique(keys[trains[doc]], return_counts=True)
+                    train.append(k)
+                    counted.append(n)
             distinct = np.unique(np.concatenate(asked)) if asked else np.zeros(0, np.uint64)
             count = np.zeros(len(distinct), np.uint32)
             for k, n in zip(train, counted, strict=True):
@@ -234,30 +272,38 @@ def _answer(p2: np.ndarray, d: np.ndarray):
     return run
 
 
-def _score(names: dict[bytes, int]):
-    order = sorted(names, key=names.get)
+def _score(names: dict[bytes, int], kinds: np.ndarray):
+    order = {i: g.decode() for g, i in names.items()}
 
     def run(key, table):
         lean_memory()
         values = [unpack(v) for v in table.column("value").to_pylist() if v is not None]
         ids, known, lengths, data, a, b = unpack(next(x for x in table.column("blob").to_pylist() if x is not None))
         lang = _languages(a, b, names)
-        total = np.zeros(len(ids))
-        use = lang >= 0
+        total, unseen = np.zeros(len(ids)), np.full(len(ids), np.nan)
+        trusted, use = _trusted(ids, known, table), lang >= 0
         if values and use.any():
             asked = np.concatenate([np.cumsum(v[0], dtype=np.uint64) for v in values])
             cost = np.concatenate([v[1] for v in values])
             o = np.argsort(asked)
             asked, cost = asked[o], cost[o]
-            for keys, doc in key_tiles(data, lengths, lang):
-                if len(doc):
-                    part = np.bincount(doc - doc[0], cost[np.searchsorted(asked, keys)])
-                    total[doc[0] : doc[0] + len(part)] += part / UNIT
+            for texts, sizes, models, trains, rows in passes(ids, lengths, data, lang, trusted, kinds):
+                sums = np.zeros(len(sizes))
+                for keys, doc in key_tiles(texts, sizes, models):
+                    if len(doc):
+                        part = np.bincount(doc - doc[0], cost[np.searchsorted(asked, keys)])
+                        sums[doc[0] : doc[0] + len(part)] += part / UNIT
+                if texts is data:
+                    total = sums
+                    unseen = np.where(trusted & use & held_out(ids) & (kinds[lang] == 0), total, np.nan)
+                else:
+                    unseen[rows[~trains]] = sums[~trains]
         return pa.table({
             "doc_id": pa.array([int(i) if k else None for i, k in zip(ids, known, strict=True)], pa.int64()),
-            "model": pa.array([order[g].decode() if g >= 0 else None for g in lang], pa.string()),
+            "model": pa.array([order.get(int(g)) for g in lang], pa.string()),
             "n_bytes": pa.array(lengths, pa.int64()),
             "nll": pa.array(total, pa.float64()),
+            "unseen": pa.array(unseen, pa.float64(), mask=np.isnan(unseen)),
         })
 
     return run
@@ -268,48 +314,46 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Trusted rows are those that labels mark quality 1 and toxic 0. nll is the negative log-likelihood of
     all the text's bytes; perplexity exp(nll / n_bytes); score the smoothed nll of a byte, which must lie
-    between the language's quantiles of held-out trusted rows (of all trusted, with under 50 held out).
+    between the language's quantiles of trusted rows, by scores of models that did not see these: of held-out
+    rows, or (with under ENOUGH held out) of all trusted rows, each by a model of the other folds' rows.
     Counts cover all trusted rows and grow with the input.
 
-    Null or empty text, and rows of a language without trusted rows, have no score and are kept: nothing
-    speaks against them. A null language counts as a language. Several labels of an id: each counts as
+    Null or empty text, and rows of a language with under LEAST trusted ids with text, have no score and are
+    kept: nothing speaks against them, and so few rows give no quantile. A null language counts as a language. Several labels of an id: each counts as
     one. Null ids are scored as others. Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "perplexity")
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"))
     good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    ranked = given.select("doc_id", "lang").join(good, "doc_id", "left_semi").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    names = {r["lang"].encode(): i for i, r in enumerate(ranked.collect())}
+    own = given.where("length(text) > 0").select("doc_id", "lang").join(good, "doc_id", "left_semi").distinct()
+    counts = own.groupBy("lang").agg(F.count("*").alias("n"), F.sum(_held(F.col("doc_id")).cast("long")).alias("held")).where(F.col("n") >= LEAST)
+    names, kinds = slots([tuple(r) for r in counts.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()])
     shards = int(max(12, 3 * plan_bytes(docs) // SHARD_BYTES))
 
     stored = scratch.table(spread(given).mapInArrow(chunks(True, CHUNK_BYTES), CHUNK_SCHEMA), "chunks", "uncompressed")
     trusted = stored.select("chunk", F.explode("ids").alias("doc_id")).join(good, "doc_id", "left_semi").groupBy("chunk").agg(F.collect_list("doc_id").alias("good"))
+    trusted = scratch.table(trusted, "trusted")
     blobs = stored.select("chunk", "blob", F.lit(None).cast("array<bigint>").alias("good"))
     work = blobs.unionByName(trusted.select("chunk", F.lit(None).cast("binary").alias("blob"), "good"))
-    grams = work.groupBy("chunk").applyInArrow(_grams(names, shards), "shard long, chunk long, value binary")
+    grams = work.groupBy("chunk").applyInArrow(_grams(names, kinds, shards), "shard long, chunk long, value binary")
     merged = scratch.table(grams.groupBy("shard").applyInArrow(_merge, "value binary, shared binary"), "shards", "uncompressed")
     # at most 65 536 pairs and 20 counts of counts a language, of MAX_LANGUAGES at most
     shared = merged.select("shared").mapInArrow(_shared_rows, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    p2, d = low_orders([(r["k"], r["n"]) for r in shared.collect()], len(names))
+    p2, d = low_orders([(r["k"], r["n"]) for r in shared.collect()], len(kinds))
     answers = merged.select("value").mapInArrow(_answer(p2, d), "chunk long, value binary")
-    again = stored.select("chunk", "blob", F.lit(None).cast("binary").alias("value")).unionByName(answers.select("chunk", F.lit(None).cast("binary").alias("blob"), "value"))
-    scored = scratch.table(again.groupBy("chunk").applyInArrow(_score(names), "doc_id long, model string, n_bytes long, nll double"), "scored")
+    again = work.withColumn("value", F.lit(None).cast("binary")).unionByName(answers, allowMissingColumns=True)
+    scored = scratch.table(again.groupBy("chunk").applyInArrow(_score(names, kinds), "doc_id long, model string, n_bytes long, nll double, unseen double"), "scored")
     scratch.drop(merged)
 
-    some = scored.where("model is not null and n_bytes > 0")
-    sample = some.join(good, "doc_id", "left_semi").withColumn("held", _held(F.col("doc_id")))
-    held = F.sum(F.col("held").cast("long"))
-    means = sample.groupBy("model").agg(
-        F.when(held >= 50, F.sum(F.when(F.col("held"), F.col("nll"))) / F.sum(F.when(F.col("held"), F.col("n_bytes")))).otherwise(F.sum("nll") / F.sum("n_bytes")).alias("mean"),
-        (held >= 50).alias("enough"),
-    )
-    smooth = (F.col("nll") + SMOOTH * F.col("mean")) / (F.col("n_bytes") + SMOOTH)
-    limits = sample.join(means, "model").where("held or not enough").withColumn("score", smooth).groupBy("model").agg(F.percentile_approx("score", list(TAILS), 100_000).alias("q"), F.first("mean").alias("mean"))
+    smooth = lambda nll: (F.col(nll) + SMOOTH * F.col("mean")) / (F.col("n_bytes") + SMOOTH)
+    sample = scored.where("unseen is not null and n_bytes > 0")
+    means = sample.groupBy("model").agg((F.sum("unseen") / F.sum("n_bytes")).alias("mean"))
+    limits = sample.join(means, "model").withColumn("score", smooth("unseen")).groupBy("model").agg(F.percentile_approx("score", list(TAILS), 100_000).alias("q"), F.first("mean").alias("mean"))
     limits = scratch.table(limits.select("model", "mean", (F.col("q")[0] - ROOM).alias("low"), (F.col("q")[1] + ROOM).alias("high")), "limits")
     out = scored.join(F.broadcast(limits), "model", "left")  # at most MAX_LANGUAGES rows
     told = (F.col("n_bytes") > 0) & F.col("mean").isNotNull()
-    score = F.when(told, smooth)
+    score = F.when(told, smooth("nll"))
     return out.select(
         "doc_id",
         "model",

@@ -81,6 +81,30 @@ def test_scores_against_the_definition(spark):
     assert got[5001]["model"] is None and got[5001]["keep"] and got[5001]["perplexity"] is None
 
 
+@pytest.mark.parametrize("n, first", [(3, 20), (30, 20), (30, 0), (19, 20)])
+def test_thresholds_of_few_trusted_rows(spark, n, first):
+    """Texts that the judged model was trained on set no thresholds; ids of first = 0 are held out, of 20 are not."""
+    ids_ = [first + i % 20 + 100 * (i // 20) for i in range(n)]
+    rows = [(i, text(40, i), "en", "a", 1) for i in ids_] + [(10_000 + i, text(40, 5000 + i), "en", "a", 1) for i in range(100)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in ids_], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in classify(documents(spark, rows), labels).collect()}
+    assert sum(got[10_000 + i]["keep"] for i in range(100)) >= 90
+    if n < perplexity.LEAST:
+        assert all(r["model"] is None and r["score"] is None and r["keep"] for r in got.values())
+        return
+    own, fold = dict(zip(ids_, perplexity.folds(np.array(ids_)), strict=True)), {}
+    for f in set(own.values()):
+        fold[f] = naive_model([text(40, i).encode() for i in ids_ if own[i] != f])
+    nll, size = {}, {}
+    for i in ids_:
+        raw = text(40, i).encode()
+        t, size[i] = b"\n" * (ORDER - 1) + raw, len(raw)
+        nll[i] = sum(-math.log(fold[own[i]](t[k : k + ORDER])) for k in range(len(raw)))
+    mean = sum(nll.values()) / sum(size.values())
+    scores = [(nll[i] + perplexity.SMOOTH * mean) / (size[i] + perplexity.SMOOTH) for i in ids_]
+    assert abs(got[10_000]["low"] - min(scores) + perplexity.ROOM) < 0.02 and abs(got[10_000]["high"] - max(scores) - perplexity.ROOM) < 0.02
+
+
 def test_probabilities_add_up_to_one():
     prob = naive_model([text(50, i).encode() for i in range(20)])
     for context in (b"alph", b"a be", b"zzzz", b"\n\n\n\n"):
