@@ -8,6 +8,8 @@ texts asks for each of its distinct n-grams once, and gets a log-probability bac
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +19,8 @@ from .blobs import CHUNK_SCHEMA, chunks, gaps, lean_memory, pack, unpack
 from .common import Scratch, plan_bytes, spread
 
 ORDER = 5
-#: Languages that get a model, the most frequent first; rows of others are kept without a score.
-MAX_LANGUAGES = 64
+#: Models that are made at a time, as their byte pairs pass through the driver; more languages take more rounds.
+MODELS = 64
 #: Bytes of text whose n-grams are looked at together.
 TILE = 1 << 18
 #: Bytes of text in a chunk, which asks for each n-gram once.
@@ -65,6 +67,19 @@ def slots(languages: list[tuple[str, int, int]]) -> tuple[dict[bytes, int], np.n
     return names, np.array(kinds, np.int64)
 
 
+def rounds(languages: list[tuple[str, int, int]]) -> list[list[tuple[str, int, int]]]:
+    """Languages in groups of at most MODELS models, or of one language."""
+    out, used = [[]], 0
+    for x in languages:
+        n = len(slots([x])[1])
+        if out[-1] and used + n > MODELS:
+            out.append([])
+            used = 0
+        out[-1].append(x)
+        used += n
+    return out
+
+
 def passes(ids, lengths, data, lang, trusted, kinds):
     """For the languages' models, then for each fold's: the texts, their models, which texts train, and their rows.
 
@@ -309,6 +324,26 @@ def _score(names: dict[bytes, int], kinds: np.ndarray):
     return run
 
 
+def _scored(scratch: Scratch, given: DataFrame, good: DataFrame, languages: list[tuple[str, int, int]], shards: int) -> DataFrame:
+    """doc_id, model, n_bytes, nll, and unseen (nll by a model that did not see the row, of rows that set thresholds)."""
+    names, kinds = slots(languages)
+    stored = scratch.table(spread(given).mapInArrow(chunks(True, CHUNK_BYTES), CHUNK_SCHEMA), "chunks", "uncompressed")
+    trusted = stored.select("chunk", F.explode("ids").alias("doc_id")).join(good, "doc_id", "left_semi").groupBy("chunk").agg(F.collect_list("doc_id").alias("good"))
+    trusted = scratch.table(trusted, "trusted")
+    blobs = stored.select("chunk", "blob", F.lit(None).cast("array<bigint>").alias("good"))
+    work = blobs.unionByName(trusted.select("chunk", F.lit(None).cast("binary").alias("blob"), "good"))
+    grams = work.groupBy("chunk").applyInArrow(_grams(names, kinds, shards), "shard long, chunk long, value binary")
+    merged = scratch.table(grams.groupBy("shard").applyInArrow(_merge, "value binary, shared binary"), "shards", "uncompressed")
+    # at most 65 536 pairs and 20 counts of counts a language, of MODELS models at most
+    shared = merged.select("shared").mapInArrow(_shared_rows, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    p2, d = low_orders([(r["k"], r["n"]) for r in shared.collect()], len(kinds))
+    answers = merged.select("value").mapInArrow(_answer(p2, d), "chunk long, value binary")
+    again = work.withColumn("value", F.lit(None).cast("binary")).unionByName(answers, allowMissingColumns=True)
+    out = scratch.table(again.groupBy("chunk").applyInArrow(_score(names, kinds), "doc_id long, model string, n_bytes long, nll double, unseen double"), "scored")
+    scratch.drop(merged)
+    return out
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, model, n_bytes, nll, perplexity, score, low, high, keep for each row.
 
@@ -316,11 +351,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     all the text's bytes; perplexity exp(nll / n_bytes); score the smoothed nll of a byte, which must lie
     between the language's quantiles of trusted rows, by scores of models that did not see these: of held-out
     rows, or (with under ENOUGH held out) of all trusted rows, each by a model of the other folds' rows.
-    Counts cover all trusted rows and grow with the input.
+    Counts cover all trusted rows and grow with the input. However many languages there are, all with LEAST
+    trusted ids get a model; beyond MODELS models these are made in rounds, each over its languages' rows.
 
     Null or empty text, and rows of a language with under LEAST trusted ids with text, have no score and are
-    kept: nothing speaks against them, and so few rows give no quantile. A null language counts as a language. Several labels of an id: each counts as
-    one. Null ids are scored as others. Other columns are ignored. An empty table gives an empty result.
+    kept: nothing speaks against them, and so few rows give no quantile. A null language counts as a language.
+    Several labels of an id: each counts as one. Null ids are scored as others. Other columns are ignored. An
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "perplexity")
@@ -328,30 +365,20 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     own = given.where("length(text) > 0").select("doc_id", "lang").join(good, "doc_id", "left_semi").distinct()
     counts = own.groupBy("lang").agg(F.count("*").alias("n"), F.sum(_held(F.col("doc_id")).cast("long")).alias("held")).where(F.col("n") >= LEAST)
-    names, kinds = slots([tuple(r) for r in counts.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()])
+    groups = rounds([tuple(r) for r in counts.orderBy(F.desc("n"), "lang").collect()])
     shards = int(max(12, 3 * plan_bytes(docs) // SHARD_BYTES))
-
-    stored = scratch.table(spread(given).mapInArrow(chunks(True, CHUNK_BYTES), CHUNK_SCHEMA), "chunks", "uncompressed")
-    trusted = stored.select("chunk", F.explode("ids").alias("doc_id")).join(good, "doc_id", "left_semi").groupBy("chunk").agg(F.collect_list("doc_id").alias("good"))
-    trusted = scratch.table(trusted, "trusted")
-    blobs = stored.select("chunk", "blob", F.lit(None).cast("array<bigint>").alias("good"))
-    work = blobs.unionByName(trusted.select("chunk", F.lit(None).cast("binary").alias("blob"), "good"))
-    grams = work.groupBy("chunk").applyInArrow(_grams(names, kinds, shards), "shard long, chunk long, value binary")
-    merged = scratch.table(grams.groupBy("shard").applyInArrow(_merge, "value binary, shared binary"), "shards", "uncompressed")
-    # at most 65 536 pairs and 20 counts of counts a language, of MAX_LANGUAGES at most
-    shared = merged.select("shared").mapInArrow(_shared_rows, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    p2, d = low_orders([(r["k"], r["n"]) for r in shared.collect()], len(kinds))
-    answers = merged.select("value").mapInArrow(_answer(p2, d), "chunk long, value binary")
-    again = work.withColumn("value", F.lit(None).cast("binary")).unionByName(answers, allowMissingColumns=True)
-    scored = scratch.table(again.groupBy("chunk").applyInArrow(_score(names, kinds), "doc_id long, model string, n_bytes long, nll double, unseen double"), "scored")
-    scratch.drop(merged)
+    if len(groups) > 1:  # one row for each language; languages without a model go with the first group
+        number = spark.createDataFrame([(x[0], i) for i, group in enumerate(groups) for x in group], "lang string, round int")
+        given = given.join(F.broadcast(number), "lang", "left").withColumn("round", F.coalesce("round", F.lit(0)))
+    parts = [_scored(scratch, given.where(F.col("round") == i).drop("round") if len(groups) > 1 else given, good, group, shards) for i, group in enumerate(groups)]
+    scored = reduce(DataFrame.unionByName, parts)
 
     smooth = lambda nll: (F.col(nll) + SMOOTH * F.col("mean")) / (F.col("n_bytes") + SMOOTH)
     sample = scored.where("unseen is not null and n_bytes > 0")
     means = sample.groupBy("model").agg((F.sum("unseen") / F.sum("n_bytes")).alias("mean"))
     limits = sample.join(means, "model").withColumn("score", smooth("unseen")).groupBy("model").agg(F.percentile_approx("score", list(TAILS), 100_000).alias("q"), F.first("mean").alias("mean"))
     limits = scratch.table(limits.select("model", "mean", (F.col("q")[0] - ROOM).alias("low"), (F.col("q")[1] + ROOM).alias("high")), "limits")
-    out = scored.join(F.broadcast(limits), "model", "left")  # at most MAX_LANGUAGES rows
+    out = scored.join(F.broadcast(limits), "model", "left")  # a row for each language that has a model
     told = (F.col("n_bytes") > 0) & F.col("mean").isNotNull()
     score = F.when(told, smooth("nll"))
     return out.select(

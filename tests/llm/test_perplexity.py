@@ -105,6 +105,27 @@ def test_thresholds_of_few_trusted_rows(spark, n, first):
     assert abs(got[10_000]["low"] - min(scores) + perplexity.ROOM) < 0.02 and abs(got[10_000]["high"] - max(scores) - perplexity.ROOM) < 0.02
 
 
+def test_more_languages_than_are_made_at_a_time(spark):
+    """More than 64 languages all get a model, and each rejects its junk."""
+    n = 70
+    rows = [(1000 * g + i, text(25, 1000 * g + i), f"l{g:02d}", "a", 1) for g in range(n) for i in range(20)]
+    rows += [(1000 * g + 500, "%%% ### &&& " * 30, f"l{g:02d}", "a", 1) for g in range(n)] + [(999_999, "other", None, "a", 1)]
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows if r[0] % 1000 < 20], "doc_id long, quality int, toxic int")
+    got = classify(documents(spark, rows).repartition(3), labels).collect()
+    assert ids(got) == ids(rows)
+    by = {r["doc_id"]: r for r in got}
+    assert all(by[r[0]]["model"] == r[2] for r in rows) and by[999_999]["keep"]
+    assert not any(by[1000 * g + 500]["keep"] for g in range(n))
+
+
+def test_rounds_give_the_same_scores(spark, monkeypatch):
+    rows = [(i, text(30, i), "abc"[i % 3], "a", 1) for i in range(120)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    once = sorted(tuple(r) for r in classify(documents(spark, rows), labels).collect())
+    monkeypatch.setattr(perplexity, "MODELS", 6)
+    assert sorted(tuple(r) for r in classify(documents(spark, rows), labels).collect()) == once
+
+
 def test_probabilities_add_up_to_one():
     prob = naive_model([text(50, i).encode() for i in range(20)])
     for context in (b"alph", b"a be", b"zzzz", b"\n\n\n\n"):
