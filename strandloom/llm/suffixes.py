@@ -194,7 +194,7 @@ def _suffixes(span: int, splitters: list[bytes], hot_buckets: int):
     def run(key, table):
         lean_memory()
         kinds, values = table.column("kind").to_pylist(), table.column("value").to_pylist()
-        ids, _, lengths, data = unpack(values[kinds.index(0)])
+        ids, known, lengths, data = unpack(values[kinds.index(0)])
         replies = [unpack(v) for k, v in zip(kinds, values, strict=True) if k == 1]
         out = []
         if replies:
@@ -209,6 +209,8 @@ def _suffixes(span: int, splitters: list[bytes], hot_buckets: int):
             hot = is_hot[at][keep]
             p, lo, hi = p[keep], lo[keep], hi[keep]
             doc = np.searchsorted(bounds, p, side="right")
+            named = known[doc] > 0
+            p, lo, hi, hot, doc = p[named], lo[named], hi[named], hot[named], doc[named]
             ids_of = ids[doc]
             views = np.lib.stride_tricks.sliding_window_view(np.concatenate((np.zeros(back, np.uint8), data, np.zeros(span, np.uint8))), back + span)
 

@@ -64,6 +64,16 @@ def test_many_documents_and_spans(spark):
     assert canon(r[:5] for r in got) == canon(r[:5] for r in brute(rows, 50))
 
 
+@pytest.mark.parametrize("hot", [200_000, 0])
+def test_null_id_that_shares_a_passage(spark, hot):
+    """It counts for no other row: the least known document keeps the passage."""
+    passage = text(20, 1)
+    rows = [(i, f"{text(4, 10 + k)} {passage} {text(4, 20 + k)}", "en", "a", 1) for k, i in enumerate([None, 5, 7])]
+    got = remove_repeats(documents(spark, rows).coalesce(1), 50, True, hot).collect()
+    assert canon((*r[:5], bytes(r[5])) for r in got) == canon(brute(rows, 50))
+    assert {r["doc_id"]: r["n_removed"] > 0 for r in got} == {None: False, 5: False, 7: True}
+
+
 def test_edges_and_empty(spark):
     got = remove_repeats(documents(spark)).collect()
     assert ids(got) == ids(EDGES)
