@@ -232,7 +232,7 @@ def _suffixes(span: int, splitters: list[bytes], hot_buckets: int):
                 c = cold[a : a + 100_000]
                 near = views[p[c]]
                 rows = np.concatenate((near[:, back:], near[:, :back][:, ::-1]), axis=1)
-                lens = np.stack((p[c] - lo[c], p[c] - hi[c] + back), axis=1).astype(np.uint8)  # the owned strings start so far back
+                lens = np.stack((p[c] - lo[c], p[c] - hi[c]), axis=1).astype(np.uint8)  # the owned strings start so far back, 176 at most
                 lead = symbols(rows[:, :GRAM])
                 bucket = np.searchsorted(cuts[:, 0], lead[:, 0])
                 tied = np.flatnonzero(np.searchsorted(cuts[:, 0], lead[:, 0], side="right") > bucket)
@@ -277,7 +277,7 @@ def _compare(span: int):
         if whole:
             found = [(owner[later], where[later], np.full(later.sum(), span))]
         else:
-            far, near = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64) - back
+            far, near = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
             longest, nearest = far[member], near[member]
             found = [(owner[later], (where - longest)[later], (longest - nearest)[later] + span)]
             # of the first document of each distinct context, single strings may have an earlier one

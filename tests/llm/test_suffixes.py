@@ -64,6 +64,15 @@ def test_many_documents_and_spans(spark):
     assert canon(r[:5] for r in got) == canon(r[:5] for r in brute(rows, 50))
 
 
+@pytest.mark.parametrize("span", [151, 176, 200])
+def test_long_spans(spark, span):
+    """Runs of the longest spans that are admitted take no byte of their neighbours."""
+    passages = [text(80, 300 + i) for i in range(4)]
+    rows = [(i, f"{text(9, 400 + i)} {passages[i % 4][i // 4 * 7 :]} {text(60, 500 + i)}", "en", "a", 1) for i in range(24)]
+    got = remove_repeats(documents(spark, rows).coalesce(1), span, True).collect()
+    assert canon((*r[:5], bytes(r[5])) for r in got) == canon(brute(rows, span)) and any(r["n_removed"] for r in got)
+
+
 @pytest.mark.parametrize("hot", [200_000, 0])
 def test_null_id_that_shares_a_passage(spark, hot):
     """It counts for no other row: the least known document keeps the passage."""
