@@ -1,3 +1,4 @@
+import os
 import shutil
 import subprocess
 import sys
@@ -10,15 +11,18 @@ import __spark_entry__ as E
 TOP = Path(E.__file__).resolve().parent
 
 
-def names(folder) -> list[str]:
+def names(folder, path: str | None = None) -> list[str]:
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(*e.queries())"
-    return subprocess.run([sys.executable, "-c", code], cwd=folder, capture_output=True, text=True, check=True).stdout.split()
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | ({"PYTHONPATH": path} if path else {})
+    return subprocess.run([sys.executable, "-c", code], cwd=folder, env=env, capture_output=True, text=True, check=True).stdout.split()
 
 
-def test_queries_without_the_corpus_operators(tmp_path):
-    left_out = shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", ".pytest_cache")
-    shutil.copytree(TOP, tmp_path / "repo", ignore=left_out)
-    got = names(tmp_path / "repo")
+@pytest.mark.parametrize("path", [None, str(TOP)])
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_queries_without_the_corpus_operators(tmp_path, gone, path):
+    shutil.copytree(TOP, tmp_path / "repo", ignore=shutil.ignore_patterns(*gone, ".git", "__pycache__", ".pytest_cache"))
+    assert not (tmp_path / "repo/strandloom/llm").exists() and not (tmp_path / "repo/tests/llm").exists()
+    got = names(tmp_path / "repo", path)
     assert "seed_hits" in got and not any(n.startswith("op") or n == "pipeline" for n in got)
 
 
