@@ -8,6 +8,7 @@ import hashlib
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,12 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, spread
-from .html import render, title_of
+from .html import clean as clean_page
+from .html import parse, render_tree, title_and_links
 
 VERSION = "WARC/1.1"
 #: Records' ids are names in this space, so that a record that is made again has the same id.
 _SPACE = uuid.UUID("8d0ae5c4-4f5b-5d0f-9a37-0f8f6c1a2b7e")
-_LINK = re.compile(r"<a\s[^>]*?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+#: What broken records and codings raise.
+BROKEN = (OSError, EOFError, ValueError, zlib.error)
 
 
 def digest(data: bytes) -> str:
@@ -45,14 +48,14 @@ def make(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 def parse_headers(raw: bytes) -> list[tuple[str, str]]:
     """Named fields, continued lines joined."""
-    out: list[tuple[str, str]] = []
+    out: list[tuple[str, list[str]]] = []
     for line in raw.decode("utf-8", "replace").split("\r\n" if b"\r\n" in raw else "\n"):
         if line[:1] in (" ", "\t") and out:
-            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}")
+            out[-1][1].append(line.strip())
         elif ":" in line:
             k, v = line.split(":", 1)
-            out.append((k.strip(), v.strip()))
-    return out
+            out.append((k.strip(), [v.strip()]))
+    return [(k, " ".join(v)) for k, v in out]
 
 
 def field(headers: list[tuple[str, str]], name: str) -> str | None:
@@ -76,6 +79,8 @@ def read(stream) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
             head.append(line)
         headers = parse_headers(b"".join(head))
         size = int(field(headers, "Content-Length") or 0)
+        if size < 0:
+            raise ValueError("a record of negative length")
         block = stream.read(size)
         if len(block) < size:
             raise ValueError("a record is cut short")
@@ -111,7 +116,7 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
                 size = int(body[at:end].split(b";")[0], 16)
             except ValueError:
                 break
-            if not size:
+            if size <= 0:
                 break
             out.append(body[end + 2 : end + 2 + size])
             at = end + 4 + size
@@ -119,8 +124,8 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     if (field(headers, "Content-Encoding") or "").lower() in ("gzip", "x-gzip"):
         try:
             body = gzip.decompress(body)
-        except (OSError, EOFError):
-            pass
+        except BROKEN:
+            pass  # damaged: as it stands
     return status.decode("latin-1"), headers, body
 
 
@@ -131,8 +136,10 @@ def decoded(body: bytes, headers: list[tuple[str, str]]) -> tuple[str, str]:
     for name in [said and said[1], inside and inside[1].decode(), "utf-8"]:
         try:
             if name:
-                return body.decode(name), name.lower()
-        except (LookupError, UnicodeDecodeError):
+                text = body.decode(name)
+                text.encode()  # some codings make halves of characters
+                return text, name.lower()
+        except (LookupError, ValueError):
             continue
     return body.decode("utf-8", "replace"), "utf-8"
 
@@ -141,22 +148,32 @@ def derive(record: bytes) -> list[dict]:
     """A response record's metadata and conversion records, each with its columns.
 
     Both refer to the response by id, address and date. The metadata keeps the source's HTTP headers and
-    digests, the title and the links; the conversion holds the visible text. Other types give nothing.
+    digests, the title and the links; the conversion holds the visible text. Other types give nothing. What
+    no record can be read from gives a last entry with `problem` alone.
     """
-    out = []
-    for headers, block in read(io.BytesIO(record)):
+    out: list[dict] = []
+    records = read(io.BytesIO(record))
+    while True:
+        try:
+            headers, block = next(records)
+        except StopIteration:
+            break
+        except BROKEN as e:
+            out.append({"problem": f"{type(e).__name__}: {e}"})
+            break
         if field(headers, "WARC-Type") != "response":
             continue
         status, http, body = http_parts(block)
         text, charset = decoded(body, http)
         source, uri, date = (field(headers, n) or "" for n in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date"))
         payload = field(headers, "WARC-Payload-Digest") or digest(body)
-        links = [next(x for x in m.groups() if x is not None) for m in _LINK.finditer(text)]
+        tree = parse(clean_page(text))
+        title, links = title_and_links(tree)
         about = [("http-status", status), *[(f"http-header-{k.lower()}", v) for k, v in http]]
-        about += [("source-record-id", source), ("source-payload-digest", payload), ("source-block-digest", field(headers, "WARC-Block-Digest") or digest(block)), ("charset-detected", charset), ("title", title_of(text)), ("outlinks", str(len(links)))]
+        about += [("source-record-id", source), ("source-payload-digest", payload), ("source-block-digest", field(headers, "WARC-Block-Digest") or digest(block)), ("charset-detected", charset), ("title", title), ("outlinks", str(len(links)))]
         about += [("outlink", x) for x in links]
         fields = "".join(f"{k}: {clean(v)}\r\n" for k, v in about).encode()
-        plain = (render(text) or "").encode()
+        plain = render_tree(tree).encode()
         for kind, content, made in (("metadata", "application/warc-fields", fields), ("conversion", "text/plain; charset=utf-8", plain)):
             own = record_id(kind, source)
             other = record_id("conversion" if kind == "metadata" else "metadata", source)
@@ -182,7 +199,7 @@ def derive(record: bytes) -> list[dict]:
 
 
 _COLUMNS = ["record_type", "record_id", "refers_to", "target_uri", "date", "source_payload_digest", "block_digest", "content_type"]
-SCHEMA = "page_id long, " + ", ".join(f"{c} string" for c in _COLUMNS) + ", content_length long, record binary"
+SCHEMA = "page_id long, " + ", ".join(f"{c} string" for c in _COLUMNS) + ", content_length long, problem string, record binary"
 
 
 def _responses(batches):
@@ -198,15 +215,20 @@ def _derive(with_record: bool):
             ids, records = batch.column("page_id").to_pylist(), batch.column("record").to_pylist()
             for a in range(0, len(ids), 500):
                 rows = [(i, d) for i, r in zip(ids[a : a + 500], records[a : a + 500], strict=True) if r is not None for d in derive(r)]
-                cols = [pa.array([i for i, _ in rows], pa.int64()), *[pa.array([d[c] for _, d in rows], pa.string()) for c in _COLUMNS]]
-                cols += [pa.array([d["content_length"] for _, d in rows], pa.int64())] + [pa.array([d["record"] for _, d in rows], pa.binary())] * with_record
-                yield pa.record_batch(cols, names=["page_id", *_COLUMNS, "content_length"] + ["record"] * with_record)
+                cols = [pa.array([i for i, _ in rows], pa.int64()), *[pa.array([d.get(c) for _, d in rows], pa.string()) for c in _COLUMNS]]
+                cols += [pa.array([d.get("content_length") for _, d in rows], pa.int64()), pa.array([d.get("problem") for _, d in rows], pa.string())]
+                cols += [pa.array([d.get("record") for _, d in rows], pa.binary())] * with_record
+                yield pa.record_batch(cols, names=["page_id", *_COLUMNS, "content_length", "problem"] + ["record"] * with_record)
 
     return run
 
 
 def responses(pages: DataFrame) -> DataFrame:
-    """page_id and record, a response record of each page (url, html). Null html is an empty body, null url an empty address."""
+    """page_id and record, a response record of each page (page_id, url, html).
+
+    Null html is an empty body, null url an empty address, a null id stays null. Equal rows give equal records. Other
+    columns, whatever their names, are ignored. An empty table gives an empty result.
+    """
     return spread(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")).mapInArrow(_responses, "page_id long, record binary")
 
 
@@ -214,8 +236,10 @@ def derivatives(records: DataFrame, with_record: bool = True) -> DataFrame:
     """Two rows for each response record: metadata and conversion, as columns and (with_record) as a record's bytes.
 
     records has page_id and record (one or more WARC records; those of other types give no rows). Null
-    records give no rows; broken ones fail. Equal responses give equal records of equal ids. Other columns
-    are ignored. An empty table gives an empty result.
+    records give no rows. What is broken gives the rows of the records before the damage and a row with
+    problem, else null, and nothing more; damaged codings of a body leave it as it stands, and a charset that is unknown
+    or wrong is passed over. Equal responses give equal records of equal ids. Other columns are ignored. An empty
+    table gives an empty result.
     """
     schema = SCHEMA if with_record else SCHEMA.removesuffix(", record binary")
     return records.select("page_id", "record").mapInArrow(_derive(with_record), schema)
@@ -232,6 +256,8 @@ def _write(folder: str):
         with place.open_output_stream(f"{base}/{name}", compression=None) as sink:
             for batch in batches:
                 for r in batch.column("record").to_pylist():
+                    if r is None:
+                        continue
                     member = gzip.compress(r, 6, mtime=0)
                     sink.write(member)
                     n, size = n + 1, size + len(member)
@@ -244,23 +270,43 @@ def write_warc(records: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes records to .warc.gz files of a shared folder, a gzip member each; file, records and bytes of each.
 
     The result lists the files that count; it has to be computed once (written or collected), as each
-    computing writes files of new names.
+    computing writes files of new names. Null records are passed over; repeated ones are written each time. Other
+    columns are ignored. An empty table writes files without records.
     """
     folder = folder or f"{shared_dir(records.sparkSession)}/warc-{uuid.uuid4().hex}"
     return records.select("record").mapInArrow(_write(folder), "file string, records long, bytes long")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """file, n, record_type, record_id, record for each record of WARC files; a file is read by one task."""
+    """file, n, record_type, record_id, record, problem for each record of WARC files; a file is read by one task.
+
+    Repeated records are rows each. A file that is damaged gives the records before the damage and a row with problem,
+    else null. An empty file gives no rows.
+    """
+    names = ["file", "n", "record_type", "record_id", "record", "problem"]
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
+
+    def rows(content: bytes):
+        n, records = 0, read(io.BytesIO(content))
+        while True:
+            try:
+                headers, block = next(records)
+            except StopIteration:
+                return
+            except BROKEN as e:
+                yield n, None, None, None, f"{type(e).__name__}: {e}"
+                return
+            record = make([(k, v) for k, v in headers if k.lower() != "content-length"], block)
+            yield n, field(headers, "WARC-Type"), field(headers, "WARC-Record-ID"), record, None
+            n += 1
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                for n, (headers, block) in enumerate(read(io.BytesIO(content))):
-                    record = make([(k, v) for k, v in headers if k.lower() != "content-length"], block)
-                    yield pa.record_batch([pa.array([name]), pa.array([n], pa.int64()), pa.array([field(headers, "WARC-Type")], pa.string()), pa.array([field(headers, "WARC-Record-ID")], pa.string()), pa.array([record], pa.binary())], names=["file", "n", "record_type", "record_id", "record"])
+                for r in rows(content):
+                    yield pa.record_batch([pa.array([x], t) for x, t in zip((name, *r), types, strict=True)], names=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, n long, record_type string, record_id string, record binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, n long, record_type string, record_id string, record binary, problem string")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -75,3 +76,56 @@ def test_rows(spark):
     got = extract_text(df).collect()
     assert sorted((r["page_id"] or 0, r["text"] if r["text"] is None else r["text"][:5]) for r in got)[:3] == [(0, "y"), (1, "x"), (2, None)]
     assert len(got) == 6 and extract_text(df.where("false")).collect() == []
+
+
+DEEP = 3000
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div>" * 205 + "<div hidden>SECRET</div>", ""),
+        ("<div>" * DEEP + "a<div style='display:none'>SECRET</div>b", "ab"),
+        ('<span style="visibility:hidden">a<b style="visibility:visible">b</b></span>', "b"),
+        ("<div style='visibility:hidden'>no<br><ul><li>no<li style='visibility:visible'>yes</ul></div>", "- yes"),
+        ("<table><tr style='visibility:collapse'><td>no<td style='visibility:visible'>b<tr><td>c<td>d</table>", "   b\nc  d"),
+        ("<style>.x{display:none}</style><p class='a x'>no<p class=a>yes", "yes"),
+        ("<style>#i, b.y { color: red; visibility : hidden } @media print { p { display:none } } /* i{display:none} */</style><p id=i>no</p><b class=y>no</b><b>yes</b> <i>too</i>", "yes too"),
+        ("<style>p{display:none}p.k{display:block}</style><p>no<p class=k>yes<p style='display:block'>too", "yes\n\ntoo"),
+        ("<style>p{display:none!important}</style><p style='display:block'>no</p>yes", "yes"),
+        ("<style>p{display:none", ""),
+        ("<details><summary hidden>no</summary>no</details>yes", "yes"),
+        ("<ul><li>" * DEEP + "deep", None),
+        ("<table><tr><td>" * DEEP + "deep", "deep"),
+    ],
+)
+def test_visibility_at_any_depth(page, want):
+    got = render(page)
+    assert "SECRET" not in got and (got == want or (want is None and got.strip().endswith("deep")))
+
+
+def took(make, n: int) -> float:
+    page, best = make(n), 9.0
+    for _ in range(3):
+        start = time.perf_counter()
+        render(page)
+        best = min(best, time.perf_counter() - start)
+    return best
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda n: "<div>" * n + "deep",
+        lambda n: "<x>" * n + "</y>" * n,
+        lambda n: "<y><table>" + "<x>" * n + "</y>" * n,
+        lambda n: "<ul><li>" * n + "t",
+        lambda n: "<b><p>" * n + "z",
+        lambda n: "<title" * n,
+        lambda n: "<a " * n,
+        lambda n: "<td colspan=1000 rowspan=9>" * (n // 10),
+        lambda n: "<div style='" + "display:block;" * n + "'>x",
+    ],
+)
+def test_twice_the_page_takes_no_more_than_about_twice_the_time(make):
+    assert took(make, 40_000) < 2.5 * took(make, 20_000) + 0.05

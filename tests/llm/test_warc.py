@@ -1,5 +1,6 @@
 import gzip
 import io
+import time
 
 import pytest
 
@@ -81,3 +82,104 @@ def test_the_query_returns_records(spark, tmp_path):
     for r in got:
         ((headers, block),) = read(io.BytesIO(bytes(r["record"])))
         assert field(headers, "WARC-Record-ID") == r["record_id"] and len(block) == r["content_length"] and digest(block) == r["block_digest"]
+
+
+def http(body: bytes, *headers: str) -> bytes:
+    head = "\r\n".join(("HTTP/1.1 200 OK", *headers)).encode()
+    return make([("WARC-Type", "response"), ("WARC-Record-ID", "<x>")], head + b"\r\n\r\n" + body)
+
+
+def text_of(record: bytes) -> bytes:
+    _, plain = derive(record)
+    ((_, made),) = read(io.BytesIO(plain["record"]))
+    return made
+
+
+def test_damaged_codings_and_charsets():
+    packed = gzip.compress(b"<p>hello" * 100)
+    damaged = packed[:20] + b"\xff\xff\xff" + packed[23:]
+    assert isinstance(text_of(http(damaged, "Content-Encoding: gzip")), bytes)
+    assert isinstance(text_of(http(packed[:-9], "Content-Encoding: gzip")), bytes)
+    for name in ("undefined", "idna", "punycode", "hex", "base64", "rot13", "nonsense", "utf-16", "utf-7", "unicode_escape", "mbcs"):
+        assert text_of(http(b"<p>a+2AA-", f"Content-Type: text/html; charset={name}")), name
+    for chunks in (b"-5\r\nabc\r\n", b"zz\r\nabc", b"5\r\nab", b"\r\n\r\n"):
+        assert isinstance(text_of(http(chunks, "Transfer-Encoding: chunked")), bytes)
+
+
+@pytest.mark.parametrize("spoil", [lambda r: r[:-20], lambda r: b"junk\r\n" + r, lambda r: gzip.compress(r)[:-12], lambda r: gzip.compress(r)[:30] + b"\0" * 40, lambda r: make([("WARC-Type", "response")], b"x").replace(b"Content-Length: 1", b"Content-Length: -1"), lambda r: r.replace(b"Content-Length: ", b"Content-Length: x", 1)])
+def test_broken_records_give_a_row_with_the_problem(spark, spoil, tmp_path):
+    good = response(1, *PAGES[0][1:])
+    assert [d.get("problem") is None for d in derive(good + spoil(good))][:2] == [True, True] if not spoil(good).startswith(b"\x1f") else True
+    rows = spark.createDataFrame([(1, good), (2, spoil(good)), (3, None)], "page_id long, record binary")
+    got = derivatives(rows).collect()
+    assert [r["problem"] for r in got if r["page_id"] == 1] == [None, None] and any(r["problem"] for r in got if r["page_id"] == 2)
+    files = write_warc(derivatives(rows).where("page_id = 2 and problem is not null"), f"file://{tmp_path}/out").collect()
+    assert sum(f["records"] for f in files) == 0
+    (tmp_path / "broken.warc").write_bytes(spoil(good))
+    back = read_warc(spark, f"{tmp_path}/broken.warc").collect()
+    assert back[-1]["problem"] and back[-1]["record"] is None
+
+
+@pytest.mark.parametrize("unit", [b"<a ", b"<title", b"<a href=x>", b"<a href='", b"<p><table>"])
+def test_hostile_pages_take_time_by_their_length(unit):
+    def took(n):
+        best, record = 9.0, http(unit * n)
+        for _ in range(3):
+            start = time.perf_counter()
+            derive(record)
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    assert took(40_000) < 2.5 * took(20_000) + 0.05
+
+
+def test_long_folded_headers_take_little_time():
+    start = time.perf_counter()
+    assert len(parse_headers(b"A: b\r\n" + b" c\r\n" * 300_000)[0][1]) == 600_001
+    assert time.perf_counter() - start < 5
+
+
+def test_ids_and_digests_by_definition(spark):
+    """Against plain definitions: name-based ids, SHA-1 in base 32, links and titles by the standard library's parser."""
+    import base64
+    import hashlib
+    import uuid
+    from html.parser import HTMLParser
+
+    from strandloom.llm.warc import _SPACE
+
+    from ..conftest import DATA
+
+    class Links(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.links, self.title, self.inside = [], [], False
+
+        def handle_starttag(self, tag, attrs):
+            self.inside = tag == "title" and not self.title
+            self.links += [v or "" for k, v in attrs if k == "href"][:1] if tag == "a" else []
+
+        def handle_endtag(self, tag):
+            self.inside = False
+
+        def handle_data(self, data):
+            if self.inside:
+                self.title.append(data)
+
+    sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    got = op10_warc(spark, DATA).collect()
+    assert len(got) == 2 * len(pages)
+    for r in got:
+        page = pages[r["page_id"]]
+        body = page["html"].encode()
+        source = f"<urn:uuid:{uuid.uuid5(_SPACE, '|'.join(('response', str(r['page_id']), page['url'], sha(body))))}>"
+        assert (r["refers_to"], r["target_uri"], r["source_payload_digest"], r["problem"]) == (source, page["url"], sha(body), None)
+        assert r["record_id"] == f"<urn:uuid:{uuid.uuid5(_SPACE, r['record_type'] + '|' + source)}>"
+        block = bytes(r["record"]).split(b"\r\n\r\n", 1)[1][:-4]
+        assert (r["content_length"], r["block_digest"]) == (len(block), sha(block))
+        if r["record_type"] == "metadata":
+            about, seen = parse_headers(block), Links()
+            seen.feed(page["html"])
+            assert [v for k, v in about if k == "outlink"] == [" ".join(x.split()) if "\n" in x else x.strip() for x in seen.links]
+            assert field(about, "title") == " ".join("".join(seen.title).split())
