@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.layout import plan_bytes, spread
 
-__all__ = ["CLEANUP", "ROWS_PER_SALT", "Scratch", "let", "plan_bytes", "prefix_sums", "salted_rank", "shared_dir", "spread"]
+__all__ = ["CLEANUP", "ROWS_PER_SALT", "Scratch", "let", "plan_bytes", "prefix_sums", "running", "salted_rank", "shared_dir", "spread"]
 
 #: Spark's switch that drops a query's shuffle files as soon as the query is over.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -19,12 +19,14 @@ ROWS_PER_SALT = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) an own one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else an own one where all run on this machine (tests)."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     own = spark.conf.get("spark.strandloom.scratch", None)
     if not own:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = "file://" + tempfile.mkdtemp(prefix="strandloom-")
         spark.conf.set("spark.strandloom.scratch", own)
     return own
@@ -65,22 +67,30 @@ def let(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def prefix_sums(values: Column, block: int = 256) -> Column:
-    """Exclusive prefix sums of an array of long, in work near its length."""
+def running(values: Column, join, block: int = 256) -> Column:
+    """join of all values before each of an array of long, from 0, in work near the array's length.
+
+    join: an associative function of two columns with zero 0, such as a sum or (of values from 0 on) a maximum.
+    """
     zero = F.array(F.lit(0).cast("long"))
-    step = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+    step = lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x)))
 
     def joined(parts: Column) -> Column:
         offsets = F.aggregate(F.transform(parts, lambda p: F.element_at(p, -1)), zero, step)
         pairs = F.arrays_zip(parts.alias("p"), F.slice(offsets, F.lit(1), F.size(parts)).alias("o"))
-        return F.flatten(F.transform(pairs, lambda z: F.transform(F.slice(z["p"], F.lit(1), F.size(z["p"]) - 1), lambda v: v + z["o"])))
+        return F.flatten(F.transform(pairs, lambda z: F.transform(F.slice(z["p"], F.lit(1), F.size(z["p"]) - 1), lambda v: join(z["o"], v))))
 
-    def sums(v: Column) -> Column:
+    def scan(v: Column) -> Column:
         starts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int"))
         parts = F.transform(starts, lambda b: F.aggregate(F.slice(v, b * block + 1, F.lit(block)), zero, step))
         return F.when(F.size(v) > 0, let(parts, joined)).otherwise(F.array().cast("array<bigint>"))
 
-    return let(values, sums)
+    return let(values, scan)
+
+
+def prefix_sums(values: Column) -> Column:
+    """Exclusive prefix sums of an array of long."""
+    return running(values, lambda a, b: a + b)
 
 
 def salted_rank(df: DataFrame, group: list[str], salts: Column, key: list[str], out: str) -> DataFrame:

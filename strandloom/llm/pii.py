@@ -6,11 +6,12 @@ DataFrame functions only.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, prefix_sums, spread
+from .common import let, prefix_sums, running, spread
 
 # The patterns of the base kinds. Those in FAST match the same spans, as a run of a class
 # is entered at its start only and is not given back, so that their work stays near the text's length.
@@ -40,6 +41,8 @@ WORDS = {
 }
 SCORES = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
 CONTEXT, BONUS, LEAST = 40, 0.3, 0.5
+#: Matches before a span that reach over its context: none is shorter than two characters.
+NEAR = CONTEXT // 2
 
 
 def digits_of(match: Column) -> Column:
@@ -80,39 +83,45 @@ def valid(kind: str, match: Column) -> Column:
     return mod97(match) if kind == "iban" else F.lit(True)
 
 
-def found(kind: str, text: Column) -> Column:
-    """Spans of a kind: kind, start, end (code points), score, in order of start."""
+def found(kind: str, text: Column, size=F.length) -> Column:
+    """Spans of a kind: kind, start, end (by size: code points, or bytes with octet_length), score, in order of start.
+
+    Work is near the text's length, however many spans it has: starts are sums of what stands between matches, and a
+    span's context is put together from the tails of the NEAR pieces before it.
+    """
     pattern = FAST.get(kind, PATTERNS[kind])
-    def scored(m: Column) -> Column:
-        near = F.lower(F.substring(text, F.greatest(m["start"] - CONTEXT, F.lit(0)) + 1, F.least(m["start"], F.lit(CONTEXT))))
-        end = m["start"] + F.length(m["hit"])
 
-        def told(n: Column) -> Column:
-            helped = F.lit(False)
-            for w in WORDS[kind]:
-                helped = helped | n.contains(w)
-            score = F.lit(SCORES[kind]) + F.when(helped, BONUS).otherwise(0.0)
-            return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
+    def scored(m: Column) -> Column:
+        helped = reduce(lambda a, w: a | m["near"].contains(w), WORDS[kind], F.lit(False))
+        score = F.lit(SCORES[kind]) + F.when(helped, BONUS).otherwise(0.0)
+        return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), (m["start"] + size(m["hit"])).cast("long").alias("end"), F.least(score, F.lit(1.0)).alias("score"))
 
-        return let(near, told)
+    def tail(c: Column) -> Column:
+        return F.substring(c, -CONTEXT, CONTEXT)
 
     def spans_in(both: Column) -> Column:
-        ends = prefix_sums(F.transform(both, lambda z: (F.length(z["gap"]) + F.length(z["hit"])).cast("long")))
-        placed = F.transform(
-            F.arrays_zip(both.alias("z"), ends.alias("at")),
-            lambda x: F.struct((x["at"] + F.length(x["z"]["gap"])).alias("start"), x["z"]["hit"].alias("hit")),
-        )
-        spans = F.transform(F.filter(placed, lambda m: valid(kind, m["hit"])), scored)
+        ends = prefix_sums(F.transform(both, lambda z: (size(z["gap"]) + size(z["hit"])).cast("long")))
+
+        def placed(tails: Column) -> Column:
+            def at(x: Column, i: Column) -> Column:
+                before = F.array_join(F.slice(tails, F.greatest(i - NEAR + 1, F.lit(1)), F.least(i, F.lit(NEAR))), "")
+                near = F.lower(tail(F.concat(before, tail(x["z"]["gap"]))))
+                return F.struct((x["at"] + size(x["z"]["gap"])).alias("start"), x["z"]["hit"].alias("hit"), near.alias("near"))
+
+            return F.transform(F.arrays_zip(both.alias("z"), ends.alias("at")), at)
+
+        every = let(F.transform(both, lambda z: tail(F.concat(z["gap"], z["hit"]))), placed)
+        spans = F.transform(F.filter(every, lambda m: valid(kind, m["hit"])), scored)
         return spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= LEAST)
 
     gaps = F.split(text, pattern, -1)
     spans = let(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda hits: let(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit")), spans_in),
+        lambda hits: F.when(F.size(hits) > 0, let(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit")), spans_in)),
     )
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>")
     looks = text.contains(NEEDS[kind]) if kind in NEEDS else F.lit(True)
-    return F.when(looks & text.rlike("@" if kind == "email" else "[0-9]"), spans).otherwise(empty)
+    return F.coalesce(F.when(looks & text.rlike("@" if kind == "email" else "[0-9]"), spans), empty)
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", prefix: str = "pii_") -> DataFrame:
@@ -136,33 +145,45 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null text stays null. Rows and all other columns are kept.
     """
     names, own = docs.columns, f"_{uuid.uuid4().hex}_"
-    found_ = find_pii(docs, text_col, own)
     text = F.col(text_col)
-    spans = F.array_sort(F.transform(spans_of(PATTERNS, own), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    given = F.coalesce(text, F.lit(""))
+    # bytes are cut where they stand, so places are of bytes here
+    spans = F.array_sort(F.concat(*[F.transform(found(k, given, F.octet_length), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))) for k in PATTERNS]))
+
+    def cut(raw: Column, a: Column, n: Column) -> Column:
+        return F.substring(raw, (a + 1).cast("int"), n.cast("int")).cast("string")
+
+    def replaced(raw: Column) -> Column:
+        def by(reached: Column) -> Column:
+            rows = F.arrays_zip(F.col(own).alias("s"), reached.alias("at"))
+            fresh = F.filter(rows, lambda r: r["s"]["start"] >= r["at"])
+            parts = F.transform(fresh, lambda r: F.concat(cut(raw, r["at"], r["s"]["start"] - r["at"]), F.lit("["), F.upper(r["s"]["kind"]), F.lit("]")))
+            last = F.greatest(F.element_at(F.col(own), -1)["end"], F.element_at(reached, -1))
+            return F.concat(F.array_join(parts, ""), cut(raw, last, F.octet_length(raw) - last))
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        fresh = F.concat(acc["out"], F.array(F.concat(before, F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+        return let(running(F.transform(F.col(own), lambda s: s["end"]), lambda a, b: F.greatest(a, b)), by)
 
-    done = F.aggregate(F.col(own), state, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
-    out = found_.withColumn(own, spans)
-    return out.withColumn(text_col, F.when(F.size(own) > 0, done).otherwise(text)).select(*names)
+    out = docs.withColumn(own, spans)
+    return out.withColumn(text_col, F.when(F.size(own) > 0, let(text.cast("binary"), replaced)).otherwise(text)).select(*names)
 
 
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def percents(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and spans of personal data in every document."""
+    """Counts and spans of personal data in every document; scores: each span's score in percent, in the order of spans."""
     out = find_pii(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))).drop("text")
     return out.select(
         "doc_id",
         *[F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(joined(spans_of(BASE)).cast("binary"), 256).alias("base_sha256"),
         joined(spans_of(PATTERNS)).alias("spans"),
+        percents(spans_of(PATTERNS)).alias("scores"),
     )
 
 
@@ -182,16 +203,19 @@ def _sql() -> str:
     parts, cols = [], []
     for k, pattern in PATTERNS.items():
         near = f"lower(substring(t, greatest(start - {CONTEXT}, 0) + 1, least(start, {CONTEXT})))"
-        helped = "" if k in BASE else " AND (" + " OR ".join(f"contains({near}, '{w}')" for w in WORDS[k]) + f" OR {SCORES[k]} >= {LEAST})"
+        told = " OR ".join(f"contains({near}, '{w}')" for w in WORDS[k])
+        helped = "" if k in BASE else f" AND ({told} OR {SCORES[k]} >= {LEAST})"
+        score = f"CAST(round(100 * least(1.0, {SCORES[k]} + CASE WHEN {told} THEN {BONUS} ELSE 0 END)) AS INT)"
         parts.append(f"""m_{k} AS (SELECT doc_id, r, t, unnest(regexp_extract_all(t, '{pattern}', 0)) hit, unnest(list_slice(string_split_regex(t, '{pattern}'), 1, len(regexp_extract_all(t, '{pattern}', 0)))) gap, unnest(range(len(regexp_extract_all(t, '{pattern}', 0)))) i FROM d),
 p_{k} AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY r ORDER BY i) - length(hit) AS BIGINT) start FROM m_{k}),
-a_{k} AS (SELECT r, count(*) n, string_agg('{k}:' || start || ':' || (start + length(hit)), ',' ORDER BY start) s FROM p_{k} WHERE {checks[k]}{helped} GROUP BY r)""")
+a_{k} AS (SELECT r, count(*) n, string_agg('{k}:' || start || ':' || (start + length(hit)), ',' ORDER BY start) s, string_agg(CAST({score} AS VARCHAR), ',' ORDER BY start) c FROM p_{k} WHERE {checks[k]}{helped} GROUP BY r)""")
         cols.append(k)
     base = "concat_ws(',', " + ", ".join(f"a_{k}.s" for k in BASE) + ")"
     every = "concat_ws(',', " + ", ".join(f"a_{k}.s" for k in PATTERNS) + ")"
+    scores = "concat_ws(',', " + ", ".join(f"a_{k}.c" for k in PATTERNS) + ")"
     counts = ", ".join(f"coalesce(a_{k}.n, 0) n_{k}" for k in BASE)
     joins = " ".join(f"LEFT JOIN a_{k} USING (r)" for k in cols)
-    return f"WITH d AS (SELECT doc_id, coalesce(text, '') t, row_number() OVER () r FROM documents),\n{',\n'.join(parts)}\nSELECT doc_id, {counts}, sha256({base}) base_sha256, {every} spans FROM d {joins}"
+    return f"WITH d AS (SELECT doc_id, coalesce(text, '') t, row_number() OVER () r FROM documents),\n{',\n'.join(parts)}\nSELECT doc_id, {counts}, sha256({base}) base_sha256, {every} spans, {scores} scores FROM d {joins}"
 
 
 QUERIES = {"op8_pii": op8_pii}

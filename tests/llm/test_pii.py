@@ -1,15 +1,13 @@
 import hashlib
 import random
 import re
+import time
 
-
-
-from strandloom.llm.pii import BASE, PATTERNS, find_pii, joined, op8_pii, redact, spans_of
+from strandloom.llm.pii import BASE, BONUS, CONTEXT, LEAST, PATTERNS, SCORES, WORDS, find_pii, joined, op8_pii, redact, spans_of
 
 from .cases import EDGES, documents, ids
 
 
-
 def luhn(d: str) -> bool:
     return sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for k, c in enumerate(reversed(d))) % 10 == 0
 
@@ -93,3 +91,41 @@ def test_digest_columns(spark, tmp_path):
     assert (r[2]["n_email"], r[2]["spans"], r[2]["base_sha256"]) == (0, "", hashlib.sha256(b"").hexdigest())
 
 
+
+
+def test_scores_and_redaction_against_plain_search(spark):
+    rng = random.Random(5)
+    words = ["card", "call", "ip", "mail", "tel", "ssn", "123-45-6789", "GB82WEST12345698765432", "12", "7"]
+    texts = [noise(rng, rng.randint(0, 12)) + " ".join(rng.choice([*words, noise(rng, 2)]) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = {r["doc_id"]: r for r in find_pii(df).select("doc_id", spans_of(PATTERNS).alias("s")).collect()}
+    clean = {r["doc_id"]: r["text"] for r in redact(df).collect()}
+    for i, t in enumerate(texts):
+        spans = every[i]["s"]
+        for s in spans:
+            near = t[max(0, s["start"] - CONTEXT) : s["start"]].lower()
+            told = any(w in near for w in WORDS[s["kind"]])
+            assert abs(s["score"] - min(1.0, SCORES[s["kind"]] + BONUS * told)) < 1e-9 and (s["kind"] in BASE or s["score"] >= LEAST)
+        want, at = [], 0
+        for a, b, k in sorted((s["start"], s["end"], s["kind"]) for s in spans):
+            if a >= at:
+                want += [t[at:a], f"[{k.upper()}]"]
+            at = max(at, b)
+        assert clean[i] == "".join(want) + t[at:], repr(t)
+
+
+def test_long_texts_with_many_spans_take_time_by_their_length(spark):
+    def took(n: int) -> float:
+        df = spark.createDataFrame([(1, "mail a@b.co or 1.2.3.4 " * n)], "doc_id long, text string")
+        best = 99.0
+        for _ in range(2):
+            start = time.perf_counter()
+            r = find_pii(df).selectExpr("size(pii_email) e", "size(pii_ip) i").first()
+            assert (r["e"], r["i"]) == (n, n)
+            assert redact(df).selectExpr("length(text) n").first()["n"] == n * len("mail [EMAIL] or [IP] ")
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    took(100)
+    half, whole = took(25_000), took(50_000)  # 0.6 and 1.1 MB, 50 000 and 100 000 spans
+    assert whole < 2.5 * half + 0.5 and whole < 30
