@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.layout import plan_bytes, spread
 
-__all__ = ["CLEANUP", "ROWS_PER_SALT", "Scratch", "let", "plan_bytes", "prefix_sums", "running", "salted_rank", "shared_dir", "spread"]
+__all__ = ["CLEANUP", "ROWS_PER_SALT", "Scratch", "let", "offsets", "plan_bytes", "prefix_sums", "running", "salted_join", "salted_rank", "shared_dir", "spread"]
 
 #: Spark's switch that drops a query's shuffle files as soon as the query is over.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows that one sub-group of a salted rank holds on average.
-ROWS_PER_SALT = 20_000
+ROWS_PER_SALT = 2_000
+#: Salts that a window over sub-groups' counts holds at most.
+FAN = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -93,6 +96,26 @@ def prefix_sums(values: Column) -> Column:
     return running(values, lambda a, b: a + b)
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left joined with right on keys of which nulls are equal; right's keys are dropped."""
+    other = right.withColumnsRenamed({c: f"_of_{c}" for c in keys})
+    return left.join(other, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys])).drop(*[f"_of_{c}" for c in keys])
+
+
+def offsets(counts: DataFrame, group: list[str]) -> DataFrame:
+    """counts (group, _salt, _n) with _before: the sum of _n over the group's smaller salts.
+
+    Sums go by ranges of FAN salts, so that a window holds FAN rows, or a row for each range.
+    """
+    wide = counts.withColumn("_range", F.floor(F.col("_salt") / FAN))
+    sums = wide.groupBy(*group, "_range").agg(F.sum("_n").alias("_s"))
+    to_here = Window.unboundedPreceding, -1
+    before = F.coalesce(F.sum("_s").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(*to_here)), F.lit(0))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy(*group, "_range").orderBy("_salt").rowsBetween(*to_here)), F.lit(0))
+    joined = _null_safe(wide, sums.withColumn("_base", before).drop("_s"), [*group, "_range"])
+    return joined.withColumn("_before", F.col("_base") + inside).drop("_base", "_range")
+
+
 def salted_rank(df: DataFrame, group: list[str], salts: Column, key: list[str], out: str) -> DataFrame:
     """Adds out: a gapless rank from 0 within group, by sub-groups so that no task holds a whole group.
 
@@ -102,10 +125,17 @@ def salted_rank(df: DataFrame, group: list[str], salts: Column, key: list[str],
     salted = df.withColumn("_salt", F.expr(f"pmod(xxhash64({', '.join(key)}), 1000000007)") % salts)
     whole = [*group, "_salt"]
     counts = salted.groupBy(*whole).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    offsets = offsets.withColumnsRenamed({c: f"_of_{c}" for c in whole})
-    pairs = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group] + [F.col("_salt") == F.col("_of__salt")]
-    joined = salted.join(offsets, pairs).drop(*[f"_of_{c}" for c in whole])
+    joined = _null_safe(salted, offsets(counts, group).drop("_n"), whole)
     place = Window.partitionBy(F.hash(*whole), *whole).orderBy(*key)
     return joined.withColumn(out, F.col("_before") + F.row_number().over(place) - 1).drop("_salt", "_before")
+
+
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], by: list[str], salts: int = 64, how: str = "inner") -> DataFrame:
+    """rows joined with table, which has one row for a key at most, so that a key's rows are dealt to `salts` tasks.
+
+    by: columns of rows that tell a key's rows apart. table's row of a key goes to the sub-groups that exist,
+    `salts` at most, and each of these is joined by itself. how: inner or left. Null keys match nothing.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)))
+    told = dealt.select(*keys, "_salt").distinct().join(table, keys)
+    return dealt.join(told, [*keys, "_salt"], how).drop("_salt")

@@ -8,25 +8,36 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
+#: Sub-groups that a node's edges are dealt to.
+SALTS = 64
+
+
+def _known_least(edges: DataFrame) -> DataFrame:
+    """edges (u, v) with m, the least v of u: least by sub-groups first, and told to sub-groups, so that the edges of a
+    node with very many neighbours never meet in one task."""
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    parts = dealt.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m"))
+    return dealt.join(parts.select("u", "salt").join(least, "u"), ["u", "salt"]).drop("salt")
+
+
 def _large(edges: DataFrame) -> DataFrame:
     """Every node hands its larger neighbours to the least node that it knows."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    known = _known_least(both).withColumn("m", F.least("u", "m"))
+    return known.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Every node hands its smaller neighbours and itself to the least of them (edges: u > v)."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    moved = F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u"))
+    return _known_least(edges).select(moved.alias("u"), F.col("m").alias("v")).distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) for each node of edges (u, v): component is the least node reachable.
 
-    Work of a node is spread by joins and partial minima, so a node with very many neighbours is no
-    group held in one task. Loops and repeated edges do no harm; edges with a null end are left out.
+    A node's edges are dealt to sub-groups, so a node with very many neighbours is no group held in one task. Loops and repeated edges do no harm; edges with a null end are left out.
     """
     nodes = edges.where("u is not null and v is not null")
     now = scratch.table(nodes.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")

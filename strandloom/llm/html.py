@@ -47,6 +47,7 @@ IMPLIED = {
 # An end tag looks no further up than these.
 SCOPE = frozenset("table td th caption html template button object".split())
 INLINE_SCOPE = SCOPE - {"button"}
+MARKED = frozenset("a style title".split())
 FORMATS = frozenset("b i em strong span font u a small code tt".split())
 FORMAT_SCOPE = INLINE_SCOPE | BLOCK
 HEAD_ONLY = frozenset("html head title base link meta style script noscript template".split())
@@ -76,6 +77,16 @@ class Node:
         return None
 
 
+class Root(Node):
+    """The root of a page's tree; marked: its anchors, titles and styles, in the order of the page."""
+
+    __slots__ = ("marked",)
+
+    def __init__(self):
+        super().__init__("html")
+        self.marked: list[Node] = []
+
+
 class Open:
     """The open elements, and where each tag stands among them, so that a look up the stack costs the same at any depth."""
 
@@ -112,9 +123,9 @@ class Open:
         return min(found, default=None)
 
 
-def parse(text: str) -> Node:
+def parse(text: str) -> Root:
     """The tree of a page. Tags left out are implied; what is broken still gives a tree with all text."""
-    root = Node("html")
+    root = Root()
     opened, at, size = Open(root), 0, len(text)
     stack = opened.nodes
     stops: dict[str, re.Pattern] = {}
@@ -203,6 +214,8 @@ def parse(text: str) -> Node:
         stack[-1].kids.append(node)
         if tag in VOID:
             continue
+        if tag in MARKED:
+            root.marked.append(node)
         if tag in RAW or tag in TEXT_ONLY or tag == "plaintext":
             if tag not in stops:
                 stops[tag] = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I)
@@ -217,15 +230,6 @@ def parse(text: str) -> Node:
     return root
 
 
-def elements(root: Node):
-    """All elements of a tree, in the order of the page."""
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        yield node
-        stack.extend(k for k in reversed(node.kids) if type(k) is not str)
-
-
 def declared(style: str) -> dict[str, tuple[bool, str]]:
     """What declarations say of display and visibility: whether with `!important`, and the value."""
     out: dict[str, tuple[bool, str]] = {}
@@ -242,10 +246,10 @@ class Sheet:
     Rules within at-rules, and selectors that look at other elements, attributes or states, are left out.
     """
 
-    def __init__(self, root: Node):
+    def __init__(self, root: Root):
         self.rules: dict[str, list] = {}
         self.n = 0
-        for node in elements(root):
+        for node in root.marked:
             if node.tag == "style" and node.kids and (node.get("media") or "all").strip().lower() in ("all", "screen", ""):
                 self.add(_COMMENT.sub(" ", "".join(k for k in node.kids if type(k) is str)))
 
@@ -439,13 +443,20 @@ def _render(kids: list, page: Page, at: Place, sheet: Sheet):
                 here = Place(True, here.lists, here.tables, here.seen)
                 if inside and type(inside[0]) is str and inside[0][:1] == "\n":
                     inside = [inside[0][1:], *inside[1:]]
-            yield _render(inside, page, here, sheet)
+            if len(inside) == 1 and type(inside[0]) is str:
+                if here.seen:
+                    page.text(inside[0], here.pre)
+            else:
+                yield _render(inside, page, here, sheet)
             page.block(tag in SPACED)
             page.prefix = keep
         elif tag in ("td", "th", "tr", "tbody", "thead", "tfoot"):
             page.text(" ", False)
             yield _render(kid.kids, page, here, sheet)
             page.text(" ", False)
+        elif len(kid.kids) == 1 and type(kid.kids[0]) is str:
+            if here.seen:
+                page.text(kid.kids[0], here.pre)
         else:
             yield _render(kid.kids, page, here, sheet)
 
@@ -584,7 +595,7 @@ def clean(text: str) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "")
 
 
-def render_tree(root: Node) -> str:
+def render_tree(root: Root) -> str:
     page = Page()
     _run(_render(root.kids, page, Place(), Sheet(root)))
     page.line()
@@ -596,10 +607,10 @@ def render(text: str | None) -> str | None:
     return None if text is None else render_tree(parse(clean(text)))
 
 
-def title_and_links(root: Node) -> tuple[str, list[str]]:
+def title_and_links(root: Root) -> tuple[str, list[str]]:
     """The first title, on one line, and the addresses that anchors name."""
     title, links = None, []
-    for node in elements(root):
+    for node in root.marked:
         if node.tag == "title" and title is None:
             title = _SPACES.sub(" ", "".join(k for k in node.kids if type(k) is str)).strip()
         elif node.tag == "a" and (href := node.get("href")) is not None:

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, spread
+from .common import Scratch, salted_join, spread
 
 #: An image has rows of WIDTH pixels of three 8-bit samples, so a payload is a multiple of 192 bytes.
 WIDTH, CHANNELS = 64, 3
@@ -162,21 +162,37 @@ def _batched(rows, names, types, most: int = 5000):
 def _headers(folder: str):
     def run(batches):
         rows = ((d, *png_header(f.read_at(min(HEADER_BYTES, length), offset))) for d, f, offset, length in _entries(batches, folder))
-        yield from _batched(rows, ["digest", "width", "height", "bit_depth", "channels", "source_bytes"], [pa.binary(), *[pa.int64()] * 5])
+        yield from _batched(rows, ["digest", *_HEADER], [pa.binary(), *[pa.int64()] * 5])
 
     return run
 
 
+_HEADER = ["width", "height", "bit_depth", "channels", "source_bytes"]
+_CONTENT = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+
+
+def _content(image: bytes) -> tuple:
+    payload = from_png(image)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload)
+
+
 def _contents(folder: str):
     def run(batches):
-        def rows():
+        rows = ((d, *_content(f.read_at(length, offset))) for d, f, offset, length in _entries(batches, folder))
+        yield from _batched(rows, ["digest", *_CONTENT], [pa.binary(), *_CONTENT.values()], 500)
+
+    return run
+
+
+def _everything(folder: str):
+    """Header metadata by a range read of the header, then the contents' columns, shard by shard."""
+
+    def run(batches):
+        def both():
             for d, f, offset, length in _entries(batches, folder):
-                image = f.read_at(length, offset)
-                payload = from_png(image)
-                yield d, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload)
+                yield d, *png_header(f.read_at(min(HEADER_BYTES, length), offset)), *_content(f.read_at(length, offset))
 
-        names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        yield from _batched(rows(), names, [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()], 500)
+        yield from _batched(both(), ["digest", *_HEADER, *_CONTENT], [pa.binary(), *[pa.int64()] * 5, *_CONTENT.values()], 500)
 
     return run
 
@@ -200,18 +216,32 @@ class MediaTable:
 
     @property
     def rows(self) -> DataFrame:
-        return self.stored.select("doc_id", "n_bytes", "digest").join(self.places, "digest")
+        return self._with(self.places)
+
+    def _with(self, table: DataFrame) -> DataFrame:
+        """The rows with a table's row of their digest, of which one may be that of very many rows."""
+        return salted_join(self.stored.select("doc_id", "n_bytes", "digest"), table, ["digest"], ["doc_id"])
 
     def _by_shard(self) -> DataFrame:
         return self.places.repartition("shard").sortWithinPartitions("shard", "offset")
 
     def metadata(self) -> DataFrame:
         """digest, width, height, bit_depth, channels, source_bytes: from a range read of each header alone."""
-        return self._by_shard().mapInArrow(_headers(self.folder), "digest binary, width long, height long, bit_depth long, channels long, source_bytes long")
+        return self._by_shard().mapInArrow(_headers(self.folder), f"digest binary, {_ddl(_HEADER)}")
 
     def contents(self) -> DataFrame:
         """digest and what is computed from the stored bytes, read back: sizes, digests, checksum, feature."""
-        return self._by_shard().mapInArrow(_contents(self.folder), "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+        return self._by_shard().mapInArrow(_contents(self.folder), f"digest binary, {_ddl(_CONTENT)}")
+
+    def columns(self, places: bool = True) -> DataFrame:
+        """Each row with its header's and contents' columns and (places) where its image lies."""
+        known = self._by_shard().mapInArrow(_everything(self.folder), f"digest binary, {_ddl(_HEADER)}, {_ddl(_CONTENT)}")
+        known = self.scratch.table(known, "known")
+        return self._with(known.join(self.places, "digest") if places else known)
+
+
+def _ddl(names) -> str:
+    return ", ".join(f"{c} {'string' if c in ('payload_sha256', 'media_sha256', 'feature') else 'long'}" for c in names)
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,9 +250,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null text is stored as empty: one row of spaces. Repeated rows share a place. A null id stays null.
     Other columns are ignored. An empty table gives an empty result.
     """
-    table = MediaTable(docs, id_col, text_col)
-    known = table.scratch.table(table.metadata().join(table.contents(), "digest"), "known")
-    return table.rows.join(known, "digest")
+    return MediaTable(docs, id_col, text_col).columns()
 
 
 def read_image(folder: str, shard: str, offset: int, length: int) -> bytes:
@@ -240,7 +268,7 @@ def members(data: bytes) -> list[tuple[str, int, int]]:
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text as stored samples, read back."""
-    out = media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = MediaTable(spark.read.parquet(f"{sf_dir}/documents.parquet")).columns(places=False)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
 
 

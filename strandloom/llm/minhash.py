@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, plan_bytes, spread
+from .common import Scratch, plan_bytes, salted_join, spread
 from .graph import components
 from .shingles import mix, shingle_sets
 
@@ -245,9 +245,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     links = work.groupBy("unit").applyInArrow(_verify(width, percent), "u long, v long")
     joined = scratch.table(components(scratch.table(links, "links"), scratch), "components")
 
-    own = described.select("doc_id", "n_shingles", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left")
-    out = own.join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    told = classes.select("k1", "k2", "rep").join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    told = told.select("k1", "k2", F.coalesce("component", "rep").alias("component"))
+    rows = described.select("doc_id", "n_shingles", "k1", "k2")
+    linked = salted_join(rows.where("k1 is not null"), told, ["k1", "k2"], ["doc_id"], how="left").select("doc_id", "n_shingles", "component")
+    out = linked.unionByName(rows.where("k1 is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component")))
+    component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 

@@ -374,9 +374,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scored = reduce(DataFrame.unionByName, parts)
 
     smooth = lambda nll: (F.col(nll) + SMOOTH * F.col("mean")) / (F.col("n_bytes") + SMOOTH)
+    # means and limits have a row for each language that has a model
     sample = scored.where("unseen is not null and n_bytes > 0")
     means = sample.groupBy("model").agg((F.sum("unseen") / F.sum("n_bytes")).alias("mean"))
-    limits = sample.join(means, "model").withColumn("score", smooth("unseen")).groupBy("model").agg(F.percentile_approx("score", list(TAILS), 100_000).alias("q"), F.first("mean").alias("mean"))
+    limits = sample.join(F.broadcast(means), "model").withColumn("score", smooth("unseen")).groupBy("model").agg(F.percentile_approx("score", list(TAILS), 100_000).alias("q"), F.first("mean").alias("mean"))
     limits = scratch.table(limits.select("model", "mean", (F.col("q")[0] - ROOM).alias("low"), (F.col("q")[1] + ROOM).alias("high")), "limits")
     out = scored.join(F.broadcast(limits), "model", "left")  # a row for each language that has a model
     told = (F.col("n_bytes") > 0) & F.col("mean").isNotNull()

@@ -26,6 +26,8 @@ ALPHA = 0.5
 BLOCK_CHARS, KEPT_WORDS = 1 << 20, 250_000
 #: Characters of a lattice that is built in one go; more words take more goes.
 BUILD_CHARS = 1 << 17
+#: Characters of a word from which on an edge's place no longer fits into one number.
+PACKED = 1 << 22
 #: Values that a draw may take; probabilities are rounded to that many parts.
 DRAWS = 1 << 24
 _WORD = re.compile(" *[^ ]+| +")
@@ -149,7 +151,8 @@ class Sampler:
             weight[bare] = self.v.byte_logp * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
             piece[bare] = -1 - c
         depth = node - (ends - sizes + np.arange(len(words)))[word]
-        by = np.argsort((depth << 32 | node) << 8 | size)  # one order for a word, wherever it stands
+        # one order for a word, wherever it stands
+        by = np.argsort((depth << 32 | node) << 8 | size) if sizes.max(initial=0) < PACKED else np.lexsort((size, node, depth))
         start, size, piece, node, weight, depth = (x[by] for x in (start, size, piece, node, weight, depth))
         source = node - size
         alpha = np.zeros(len(chars) + len(words))
@@ -300,7 +303,11 @@ def _decode(path: str):
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id and text for each row of doc_id and ids; null ids give null."""
+    """doc_id and text for each row of doc_id and ids.
+
+    Null ids give null, no ids empty text. Repeated rows and null doc_ids are kept. Other columns, whatever their names,
+    are ignored. An empty table gives an empty result.
+    """
     return encoded.select("doc_id", "ids").mapInArrow(_decode(model), "doc_id long, text string")
 
 

@@ -5,37 +5,94 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROWS_PER_SALT, Scratch, salted_rank, spread
+from .common import ROWS_PER_SALT, Scratch, offsets, salted_join, salted_rank, spread
 
 LAW = "rows"
 
 
-def allowances(demand: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[int, int], int]:
-    """How many rows each (from, to) pair may move: swaps that keep both loads, then room that is left.
+def allowances(demand: DataFrame, room: DataFrame) -> DataFrame:
+    """(s, t, allowed): how many rows may move from s to t, of demand (s, t, k, n) and room (t, free).
 
-    The matrix has at most shards squared entries, however large the input.
+    k is the size class of the wishes, which larger classes come before. Swaps keep both loads, so of two opposite
+    demands the smaller number is granted both ways; what is left goes into the target's free room, class by class,
+    the largest demands first. At most shards squared rows for each class.
     """
-    allowed = {p: 0 for p in demand}
-    for (s, t), n in sorted(demand.items()):
-        if s < t and (back := demand.get((t, s))):
-            allowed[s, t] = allowed[t, s] = min(n, back)
-    left = list(free)
-    for (s, t), n in sorted(demand.items(), key=lambda x: (-x[1], x[0])):
-        more = min(n - allowed[s, t], max(left[t], 0))
-        allowed[s, t] += more
-        left[t] -= more
-    return allowed
-
-
-def shard(docs: DataFrame, shards: int = 40, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    upto = Window.unboundedPreceding, -1
+    pairs = demand.groupBy("s", "t").agg(F.sum("n").alias("whole"))
+    back = F.broadcast(pairs.select(F.col("t").alias("s"), F.col("s").alias("t"), F.col("whole").alias("back")))
+    swaps = demand.join(F.broadcast(pairs.join(back, ["s", "t"], "left").withColumn("swap", F.least("whole", F.coalesce("back", F.lit(0))))), ["s", "t"])
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("s", "t").orderBy(F.desc("k")).rowsBetween(*upto)), F.lit(0))
+    swaps = swaps.withColumn("swap", F.greatest(F.lit(0), F.least("n", F.col("swap") - ahead))).withColumn("rest", F.col("n") - F.col("swap"))
+    before = F.coalesce(F.sum("rest").over(Window.partitionBy("t").orderBy(F.desc("k"), F.desc("n"), "s").rowsBetween(*upto)), F.lit(0))
+    more = F.greatest(F.lit(0), F.least(F.col("rest"), F.col("free") - before))
+    granted = swaps.join(F.broadcast(room), "t").withColumn("more", more)
+    return granted.groupBy("s", "t").agg(F.sum(F.col("swap") + F.col("more")).alias("allowed")).where("allowed > 0")
+
+
+def propagate(cells: DataFrame, quota: list[int], scratch: Scratch, history: list[int] | None = None) -> DataFrame:
+    """cells (g, s, n: rows of group g in shard s) after rounds of label propagation, until no move is granted.
+
+    In a round each group's label, the shard where most of its rows lie (of equal ones that with the most room), is
+    joined to the cells elsewhere, which ask to move there; wishes are summed by pairs of shards, granted as far as
+    quotas allow, and the grants joined back. Groups of the largest sizes go first; smaller ones join in when those
+    are granted nothing. Within a pair wishes of many rows come first; sums go by ranges of wishes, so no task holds
+    all of a pair's. Every move takes rows to their group's largest cell, so the cut falls in each round and rounds
+    end. history gets the number of rows outside of their group's largest cell, before each round and at the end.
+    """
+    spark = cells.sparkSession
+    active = 64
+    while True:
+        load = {r["s"]: r["n"] for r in cells.groupBy("s").agg(F.sum("n").alias("n")).collect()}  # a row for each shard
+        room = spark.createDataFrame([(s, q - load.get(s, 0)) for s, q in enumerate(quota)], "s int, free long")
+        best = F.max_by("s", F.struct("n", "free", F.xxhash64("g", "s"))).alias("t")
+        labels = cells.join(F.broadcast(room), "s").groupBy("g").agg(best, F.floor(F.log2(F.sum("n")) / 3).alias("k"))
+        wishes = scratch.table(cells.join(labels, "g").where("s <> t"), "wishes")
+        classes = {r["k"]: r["n"] for r in wishes.groupBy("k").agg(F.sum("n").alias("n")).collect()}  # 22 rows at most
+        if history is not None:
+            history.append(sum(classes.values()))
+        for active in sorted((k for k in classes if k <= active), reverse=True):  # noqa: B020
+            moved = scratch.table(_granted(wishes.where(F.col("k") >= active), room, scratch), "moved")
+            if not moved.isEmpty():
+                break
+        else:
+            return cells
+        changes = moved.select("g", "s", (-F.col("moved")).alias("n")).unionByName(moved.select("g", F.col("t").alias("s"), F.col("moved").alias("n")))
+        last, cells = cells, scratch.table(cells.unionByName(changes).groupBy("g", "s").agg(F.sum("n").alias("n")).where("n > 0"), "cells")
+        for t in (last, wishes, moved):
+            scratch.drop(t)
+
+
+def _granted(wishes: DataFrame, room: DataFrame, scratch: Scratch) -> DataFrame:
+    """(g, s, t, moved) of wishes (g, s, n, t, k) that are granted, in whole or in part."""
+    demand = wishes.groupBy("s", "t", "k").agg(F.sum("n").alias("n"))
+    allowed = scratch.table(allowances(demand, room.withColumnRenamed("s", "t")), "allowed")  # shards squared rows at most
+    # larger classes first, then larger cells: salts go down with both
+    salted = wishes.join(F.broadcast(allowed), ["s", "t"])
+    salted = salted.withColumn("_salt", ((31 - F.col("k")) * 64 + 63 - F.floor(F.log2("n"))) * 64 + F.pmod(F.xxhash64("g"), F.lit(64)))
+    counts = salted.groupBy("s", "t", "_salt").agg(F.sum("n").alias("_n"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("s", "t", "_salt").orderBy(F.desc("n"), "g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    asked = salted.join(offsets(counts, ["s", "t"]).drop("_n"), ["s", "t", "_salt"]).withColumn("before", F.col("_before") + inside)
+    return asked.select("g", "s", "t", F.least(F.col("n"), F.col("allowed") - F.col("before")).alias("moved")).where("moved > 0")
+
+
+def deal(groups: DataFrame, linked: int, shards: int) -> DataFrame:
+    """cells of groups (g, n) whose rows are dealt round robin, one group after the other."""
+    salted = groups.withColumn("_salt", F.pmod(F.xxhash64("g"), F.lit(linked // ROWS_PER_SALT + 1)))
+    before = offsets(salted.groupBy("_salt").agg(F.sum("n").alias("_n")), []).drop("_n")
+    inside = Window.partitionBy("_salt").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    first = salted.join(before, "_salt").withColumn("first", F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    dealt = first.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    lag = F.pmod(F.col("s") - F.col("first"), F.lit(shards))
+    return dealt.select("g", "s", F.when(lag < F.col("n"), F.floor((F.col("n") - 1 - lag) / shards) + 1).otherwise(0).cast("long").alias("n")).where("n > 0")
+
+
+def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", history: list[int] | None = None) -> DataFrame:
     """Assigns every row to a shard; row counts of shards differ by one at most.
 
-    Links join rows of equal text. A group's rows are held as cells (group, shard, count), at most
-    `shards` to a group, so a group of any size stays small. At first linked rows are dealt round robin.
-    In each round a group's cells ask to move to the shard that holds most of the group; requests are
-    granted by size, in whole or in part, as far as swaps and the shards' free capacity allow. Rows
-    without links fill what is left, exactly. At the end, ranks within groups and shards are taken by
-    salted sub-groups.
+    Links join rows of equal text: a class link from each row to its group. A group's rows are held as cells
+    (group, shard, count), at most `shards` to a group, so a group of any size stays small. Linked rows are dealt
+    round robin, then move by label propagation under quotas (propagate). Rows without links fill what is left,
+    exactly. At the end, ranks within groups and shards are taken by salted sub-groups.
 
     Returns id, size, text_crc32, shard, slot. Null text: size 16, CRC 0, no link. Empty text is a text
     as any other. Repeated rows are kept, each with its own slot. Other columns are ignored. An empty
@@ -57,53 +114,24 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 6, id_col: str = "doc
     groups = scratch.table(slim.where("g is not null").groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "groups")
     linked = groups.agg(F.sum("n")).first()[0] or 0
     quota = [total // shards + (s < total % shards) for s in range(shards)]
-
-    ranked = groups.withColumn("_b", F.pmod(F.xxhash64("g"), F.lit(linked // ROWS_PER_SALT + 1)))
-    sums = ranked.groupBy("_b").agg(F.sum("n").alias("_n"))
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = Window.partitionBy("_b").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    first = ranked.join(sums, "_b").withColumn("first", F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    dealt = first.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    lag = F.pmod(F.col("s") - F.col("first"), F.lit(shards))
-    cells = dealt.select("g", "s", F.when(lag < F.col("n"), F.floor((F.col("n") - 1 - lag) / shards) + 1).otherwise(0).cast("long").alias("n")).where("n > 0")
-    cells = scratch.table(cells, "cells")
-
-    for _ in range(rounds):
-        load = {r["s"]: r["n"] for r in cells.groupBy("s").agg(F.sum("n").alias("n")).collect()}
-        free = [quota[s] - load.get(s, 0) for s in range(shards)]
-        whole = Window.partitionBy("g").orderBy(F.desc("n"), F.xxhash64("g", "s"))
-        wish = cells.withColumn("t", F.first("s").over(whole))
-        demand = {(r["s"], r["t"]): r["n"] for r in wish.where("s <> t").groupBy("s", "t").agg(F.sum("n").alias("n")).collect()}
-        allowed = allowances(demand, free)
-        if not any(allowed.values()):
-            break
-        grant = F.element_at(F.array(*[F.lit(allowed.get((s, t), 0)).cast("long") for s in range(shards) for t in range(shards)]), F.col("s") * shards + F.col("t") + 1)
-        asked = Window.partitionBy("s", "t").orderBy(F.desc("n"), "g").rowsBetween(Window.unboundedPreceding, 0)
-        moved = wish.where("s <> t").withColumn("moved", F.greatest(F.lit(0), F.least(F.col("n"), grant - (F.sum("n").over(asked) - F.col("n")))))
-        after = wish.where("s = t").select("g", "s", "n").unionByName(moved.select("g", F.explode(F.array(F.struct(F.col("s"), (F.col("n") - F.col("moved")).alias("n")), F.struct(F.col("t").alias("s"), F.col("moved").alias("n")))).alias("c")).select("g", "c.s", "c.n"))
-        last, cells = cells, scratch.table(after.groupBy("g", "s").agg(F.sum("n").alias("n")).where("n > 0"), "cells")
-        scratch.drop(last)
+    cells = propagate(scratch.table(deal(groups, linked, shards), "cells"), quota, scratch, history)
 
     load = {r["s"]: r["n"] for r in cells.groupBy("s").agg(F.sum("n").alias("n")).collect()}
-    places = cells.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("s", "n"))).alias("places"), F.sum("n").alias("n"))
-    joined = slim.join(places, "g", "left")
-    alone = F.col("places").isNull()
-    # rows without links are one group, dealt to as many sub-groups as their count asks for
-    known = joined.select("doc_id", "size", "text_crc32", F.when(alone, F.lit(None)).otherwise(F.col("g")).alias("g"), "places", (F.coalesce(F.col("n"), F.lit(total - linked)) / ROWS_PER_SALT).cast("long").alias("_k"))
-    known = scratch.table(known.drop("places"), "linked")
-    ranked = salted_rank(known, ["g"], F.col("_k") + 1, ["doc_id", "size", "text_crc32"], "rank")
     bounds, at = [], 0
     for s in range(shards):
         at += quota[s] - load.get(s, 0)
         bounds.append(at)
+    ends = cells.withColumn("hi", F.sum("n").over(Window.partitionBy("g").orderBy("s")))  # a row for each shard
+    ends = ends.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("s", "hi"))).alias("ends"), F.sum("n").alias("n"))
+    known = salted_join(slim, ends, ["g"], ["doc_id", "size"], how="left")
+    # rows without links are one group, dealt to as many sub-groups as their count asks for
+    known = known.withColumn("g", F.when(F.col("ends").isNotNull(), F.col("g"))).withColumn("_k", (F.coalesce("n", F.lit(total - linked)) / ROWS_PER_SALT).cast("long"))
+    known = scratch.table(known.select("doc_id", "size", "text_crc32", "g", "ends", "_k"), "linked")
+    ranked = salted_rank(known, ["g"], F.col("_k") + 1, ["doc_id", "size", "text_crc32"], "rank")
     fill = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("rank")))
-    ends = cells.withColumn("hi", F.sum("n").over(Window.partitionBy("g").orderBy("s")))
-    ends = ends.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("s", "hi"))).alias("ends"))
     own = F.element_at(F.filter("ends", lambda c: c["hi"] > F.col("rank")), 1)["s"]
-    singles = ranked.where("g is null").withColumn("shard", fill.cast("int"))
-    members = ranked.where("g is not null").join(ends, "g").withColumn("shard", own.cast("int"))
-    cols = ["doc_id", "size", "text_crc32", "shard"]
-    placed = scratch.table(singles.select(*cols).unionByName(members.select(*cols)), "placed")
+    placed = ranked.select("doc_id", "size", "text_crc32", F.when(F.col("g").isNull(), fill).otherwise(own).cast("int").alias("shard"))
+    placed = scratch.table(placed, "placed")
     out = salted_rank(placed, ["shard"], F.lit(total // shards // ROWS_PER_SALT + 1), ["doc_id", "size", "text_crc32"], "slot")
     return out.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
 

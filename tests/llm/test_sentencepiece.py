@@ -97,3 +97,21 @@ def test_ids_are_those_of_the_library(sampler):
     t = "Some words, naïve 日本語 😀 and 12.5 numbers"
     (got,) = sampler.sample([t], [1])
     assert sp.decode(got.tolist()) == t
+
+
+def test_orders_of_edges_are_one(monkeypatch):
+    """Words too long for packed places are ordered by columns; both orders give the same segmentations."""
+    from strandloom.llm import sentencepiece as m
+
+    texts = ["a" * 40_000 + "bcd" * 5000, "the quick brown fox", "日本語" * 900, "x" * 3 + " y"]
+    a = m.Sampler().sample(texts, [1, 2, 3, 4])
+    monkeypatch.setattr(m, "PACKED", 0)
+    assert all(np.array_equal(x, y) for x, y in zip(a, m.Sampler().sample(texts, [1, 2, 3, 4]), strict=True))
+    assert (m.PACKED or 1 << 22) << 41 > 0 and ((1 << 22) << 32 | 1 << 31) << 8 < 1 << 63
+
+
+def test_a_word_of_a_million_characters(sampler):
+    t = "ab" * 500_000
+    (got,) = sampler.sample([t], [5])
+    assert sampler.decode(got.tolist()) == t
+    sampler.clear()
