@@ -69,13 +69,16 @@ class Mapping:
         """Chains with the alignment of those whose band is narrow enough."""
         return alignment.align(alignment.with_templates(self.chains(), self.refs, self.reads, everything=True), self.d, self.options.bisulfite)
 
-    def mappings(self, candidates: DataFrame | None = None) -> DataFrame:
-        """The alignments that stay."""
+    def decided(self, candidates: DataFrame | None = None) -> DataFrame:
+        """Candidates with what becomes of each in scan order."""
         o = self.options
         sizes = self.reads.select("read_id", F.length("seq").alias("size"))
-        given = candidates if candidates is not None else self.candidates()
-        written = selection.select_in_order(given, sizes, self.mask.span, self.d, o.max_mappings, o.top_percent)
-        return selection.final_filter(written, o.max_mappings, o.top_percent)
+        return selection.decide(candidates if candidates is not None else self.candidates(), sizes, self.mask.span, self.d, o.max_mappings, o.top_percent)
+
+    def mappings(self, candidates: DataFrame | None = None) -> DataFrame:
+        """The alignments that stay."""
+        written = self.decided(candidates).where(F.col("outcome") == selection.WRITTEN).drop("outcome")
+        return selection.final_filter(written, self.options.max_mappings, self.options.top_percent)
 
     def with_templates(self, mappings: DataFrame) -> DataFrame:
         return alignment.with_templates(mappings, self.refs, self.reads)
@@ -83,11 +86,27 @@ class Mapping:
     def sam(self, mappings: DataFrame | None = None) -> DataFrame:
         return sam.to_sam(mappings if mappings is not None else self.mappings(), self.reads, self.refs, self.options.bisulfite)
 
-    def counters(self, candidates: DataFrame) -> DataFrame:
-        """One row of totals: groups that were chained, candidates that were aligned, and poor anchorings among these."""
-        poor = F.when(4 * F.col("anchor_mismatch") > F.col("anchor_match"), 1)
-        groups = F.when(F.col("run") <= 0, 1)
-        return candidates.agg(F.count(groups).alias("chained_groups"), F.count("sw_score").alias("alignments"), F.count(poor).alias("poor_anchorings"))
+    def counters(self, candidates: DataFrame | None = None) -> DataFrame:
+        """One row of totals of the scan: groups that were chained; candidates that were aligned, and of these those under
+        the best score's share, with those whose skeleton told so; chains that mismatch too much; skeletons under the
+        best one's share."""
+        seen = self.decided(candidates)
+        count = lambda *o: F.count(F.when(F.col("outcome").isin(*o), 1))
+        s = selection
+        return seen.agg(
+            F.count(F.when(F.col("run") <= 0, 1)).alias("anchorings"),
+            count(s.PREDICTED, s.FAILED, s.NEAR, s.SHORT, s.WRITTEN).alias("alignments"),
+            count(s.PREDICTED, s.FAILED).alias("failed_alignments"),
+            count(s.POOR).alias("poor_anchorings"),
+            count(s.PREDICTED).alias("predicted_by_skeleton"),
+            count(s.SKELETON).alias("under_skeleton"),
+        )
+
+    def seeds_per_read(self) -> DataFrame:
+        """(read_id, seeds): the seeds of each read that the ignore list leaves, before pruning; 0 for reads without any."""
+        o = self.options
+        own = seeds.read_seeds(self.reads, self.mask, o.sensitivity, o.bisulfite, self.ignore).groupBy("read_id").agg(F.count("*").alias("seeds"))
+        return self.reads.select("read_id").join(own, "read_id", "left").select("read_id", F.coalesce("seeds", F.lit(0)).cast("long").alias("seeds"))
 
 
 def map_reads(reads: DataFrame, refs: DataFrame, options: Options = Options(), ignore: DataFrame | None = None) -> DataFrame:  # noqa: B008

@@ -12,6 +12,7 @@ from ..functions import bases as B
 from ..functions.masks import STRIDES, Mask, parse_mask
 from ..operators import alignment, frequency, pairs, seeds, variants
 from ..sources.sequences import split_fastq
+from . import engine_sql
 from .mapper import Mapping, Options
 
 MASK = parse_mask("12from18")
@@ -106,12 +107,18 @@ def candidate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.candidate_pairs(m.pairs(), m.d).groupBy("read_id", "strand", "ref_idx", "window").agg(F.max("n_pairs").alias("n_pairs"))
 
 
+def _spelled(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns of blocks as text, v:h:size of each."""
+    spell = lambda b: F.concat_ws(":", b["v"].cast("string"), b["h"].cast("string"), b["size"].cast("string"))
+    return df.withColumns({c: F.when(F.size(c) > 0, F.array_join(F.transform(c, spell), ",")) for c in columns})
+
+
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapping(spark, sf_dir).chains()
+    return _spelled(mapping(spark, sf_dir).chains(), "blocks")
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapping(spark, sf_dir).candidates()
+    return _spelled(mapping(spark, sf_dir).candidates(), "blocks", "ablocks")
 
 
 def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,35 +149,18 @@ def contig_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mapping(spark, sf_dir)
-    return m.counters(m.candidates())
+    return mapping(spark, sf_dir).counters()
 
 
-def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of each item's first sampled bases, decoded again, and functions of single bases and bits."""
-    own = reads_of(spark, sf_dir).where(f"length(seq) >= {MASK.span}").withColumn("kmer", B.sampled("seq", MASK)).withColumn("key", B.kmer_key("kmer"))
-    return own.select(
-        F.col("read_id").alias("item_id"),
-        "kmer",
-        "key",
-        B.key_kmer("key", MASK.weight).alias("decoded"),
-        B.base_at("key", 2).alias("third"),
-        B.with_base_at("key", 2, "C").alias("with_third_c"),
-        B.binary("key", 24).alias("bits"),
-        B.base_number(F.substring("seq", 1, 1)).alias("first_number"),
-        B.complement(F.substring("seq", 1, 4)).alias("complement4"),
-    )
-
-
-def reverse_complements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both kinds of reverse complement, of letters that are no bases among them."""
-    raw = F.substring(F.col("text"), 1, 60)
-    ascii_only = F.regexp_replace(raw, "[^ -~]", "-")
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", B.reverse_complement(ascii_only).alias("strict"), B.reverse_complement_loose(ascii_only).alias("loose"))
+def seeds_per_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each read's seeds, and those of all reads."""
+    own = mapping(spark, sf_dir).seeds_per_read()
+    total = F.broadcast(own.agg(F.sum("seeds").alias("all_seeds")))  # one row
+    return own.crossJoin(total)
 
 
-def scalar_functions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As scalar_functions, of each of an item's windows; pos is where it starts."""
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the sampled bases of each of an item's windows, decoded again, and functions of single bases and bits; pos is where a window starts."""
     starts = F.explode(F.sequence(F.lit(0), F.length("seq") - MASK.span)).alias("pos")
     windows = reads_of(spark, sf_dir).where(f"length(seq) >= {MASK.span}").select("read_id", "seq", starts).withColumn("window", F.substr("seq", F.col("pos") + 1, F.lit(MASK.span)))
     own = windows.withColumn("kmer", B.sampled("window", MASK)).withColumn("key", B.kmer_key("kmer"))
@@ -187,8 +177,8 @@ def scalar_functions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def reverse_complements_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As reverse_complements, of whole texts, and the complement of each item's whole sequence."""
+def reverse_complements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both kinds of reverse complement of whole texts, of letters that are no bases among them, and the complement of each item's sequence."""
     ascii_only = F.regexp_replace("text", "[^ -~]", "-")
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
         "item_id", B.reverse_complement(ascii_only).alias("strict"), B.reverse_complement_loose(ascii_only).alias("loose"), B.complement(B.dna("text")).alias("complement")
@@ -255,6 +245,14 @@ allowed AS (SELECT *, row_number() OVER (PARTITION BY read_id, strand, ref_idx,
 pairs AS (SELECT read_id, strand, ref_idx, w, voff, hoff, hoff - voff diagonal, d FROM allowed WHERE i = 1 OR hoff >= voff)"""
 
 
+_STEPS = "list_filter([" + ", ".join(f"CASE WHEN (key >> {2 * i}) & 3 = 1 THEN {2 << 2 * i} END" for i in range(MASK.weight)) + "], lambda x: x IS NOT NULL)"
+BISULFITE_SEEDS = f"""{SEEDS}, steps AS (SELECT *, {_STEPS} st FROM seeds WHERE strand = 0),
+picks AS (SELECT read_id, strand, voff, key, st, unnest(list_distinct(range(least(CAST(2 ** len(st) AS BIGINT), 512)) || [CAST(2 ** len(st) AS BIGINT) - 1])) pick FROM steps),
+expanded AS (SELECT read_id, strand, voff, CAST(key + coalesce(list_sum([CASE WHEN (pick >> (len(st) - j)) & 1 = 0 THEN st[j] ELSE 0 END FOR j IN range(1, len(st) + 1)]), 0) AS BIGINT) key FROM picks)"""
+DOUBLED = f"{REFS.replace('g AS', 'one AS', 1)}, g AS (SELECT 2 * ref_idx - 1 ref_idx, seq FROM one UNION ALL SELECT 2 * ref_idx, reverse(translate(seq, 'ACGT', 'TGCA')) FROM one)"
+BISULFITE_PAIRS = BISULFITE_SEEDS + PAIRS[len(SEEDS) :].replace("FROM seeds", "FROM expanded").replace(REFS, DOUBLED)
+
+
 def _freq(mask: Mask) -> str:
     back = " + ".join(f"lead(xor(c, 1), {mask.span - 1 - o}) OVER w * {4**i}" for i, o in enumerate(mask.offsets))
     return f"{REFS}, {_keys('f', 'g', 'ref_idx', 'ref_idx', mask, f', CAST({back} AS BIGINT) back')}, freq AS (SELECT key, count(*) freq FROM (SELECT key FROM f UNION ALL SELECT back FROM f) GROUP BY key)"
@@ -263,19 +261,14 @@ def _freq(mask: Mask) -> str:
 _HITS = f"{SEEDS}, {REFS}, {_keys('p', 'g', 'ref_idx', 'ref_idx', MASK)}, hits AS (SELECT read_id item_id, ref_idx doc_id, pos - voff diagonal, count(*) n_seeds FROM p JOIN seeds USING (key) WHERE strand = 0 AND p.key <> 0 GROUP BY ALL HAVING count(*) >= 4)"
 _DECODE = " || ".join(f"substr('ATGC', CAST((key >> {2 * i}) & 3 AS INT) + 1, 1)" for i in range(MASK.weight))
 _DECODE_SMALL = " || ".join(f"substr('ATGC', CAST((key >> {2 * i}) & 3 AS INT) + 1, 1)" for i in range(SMALL.weight))
-_SAMPLED = " || ".join(f"substr(seq, {o + 1}, 1)" for o in MASK.offsets)
-_STEPS = "list_filter([" + ", ".join(f"CASE WHEN (key >> {2 * i}) & 3 = 1 THEN {2 << 2 * i} END" for i in range(MASK.weight)) + "], lambda x: x IS NOT NULL)"
 _WINDOW_SAMPLED = " || ".join(f"substr(seq, pos + {o + 1}, 1)" for o in MASK.offsets)
 _WHOLE = "regexp_replace(text, '[^ -~]', '-', 'g')"
-_ASCII = "regexp_replace(substring(text, 1, 60), '[^ -~]', '-', 'g')"
 
 SQL = {
     "seed_hits": f"WITH {_HITS} SELECT * FROM hits",
     "unique_hits": f"WITH {_HITS}, t AS (SELECT *, max(n_seeds) OVER (PARTITION BY item_id) b FROM hits), u AS (SELECT *, count(*) OVER (PARTITION BY item_id) k FROM t WHERE n_seeds >= b * CAST(0.99 AS DOUBLE)) SELECT item_id, doc_id, diagonal, n_seeds FROM u WHERE k <= 3",
     "read_seeds": f"WITH {SEEDS} SELECT * FROM seeds",
-    "bisulfite_seeds": f"""WITH {SEEDS}, t AS (SELECT *, {_STEPS} st FROM seeds WHERE strand = 0),
-u AS (SELECT read_id, strand, voff, key, st, unnest(list_distinct(range(least(CAST(2 ** len(st) AS BIGINT), 512)) || [CAST(2 ** len(st) AS BIGINT) - 1])) pick FROM t)
-SELECT read_id, strand, voff, CAST(key + coalesce(list_sum([CASE WHEN (pick >> (len(st) - j)) & 1 = 0 THEN st[j] ELSE 0 END FOR j IN range(1, len(st) + 1)]), 0) AS BIGINT) key FROM u""",
+    "bisulfite_seeds": f"WITH {BISULFITE_SEEDS} SELECT * FROM expanded",
     "seed_threshold": f"WITH {THRESHOLD} SELECT (SELECT count(*) FROM counts) distinct_keys, CAST((SELECT sum(n) FROM counts) AS BIGINT) total, (SELECT max(n) FROM counts) max_count, threshold FROM limits",
     "pruned_seeds": f"WITH {PRUNED} SELECT read_id, strand, voff, key, CAST(is_first AS INT) is_first FROM pruned",
     "kmer_frequencies": f"WITH {_freq(SMALL)} SELECT key, {_DECODE_SMALL} kmer, freq FROM freq",
@@ -287,14 +280,19 @@ SELECT read_id, strand, voff, CAST(key + coalesce(list_sum([CASE WHEN (pick >> (
     "filtered_seeds": f"WITH {SEEDS}, {_freq(MASK)} SELECT * FROM seeds WHERE key NOT IN (SELECT key FROM freq WHERE freq > 12)",
     "window_pairs": f'WITH {PAIRS} SELECT read_id, strand, ref_idx, w AS "window", voff, hoff, diagonal FROM pairs',
     "candidate_groups": f'WITH {PAIRS} SELECT read_id, strand, ref_idx, w AS "window", count(*) n_pairs FROM pairs GROUP BY ALL HAVING count(*) > 1 AND count(*) < any_value(d) // 6 * 5',
-    "scalar_functions": f"""WITH {READS}, s AS (SELECT read_id item_id, seq, {_SAMPLED} kmer FROM r WHERE length(seq) >= {MASK.span}),
-t AS (SELECT *, CAST({" + ".join(f"(strpos('ATGC', substr(kmer, {i + 1}, 1)) - 1) * {4**i}" for i in range(MASK.weight))} AS BIGINT) key FROM s)
-SELECT item_id, kmer, key, {_DECODE} decoded, substr('ATGC', CAST((key >> 4) & 3 AS INT) + 1, 1) third, key | 48 with_third_c, lpad(bin(key), 24, '0') bits, strpos('ATGC', substr(seq, 1, 1)) - 1 first_number, translate(substr(seq, 1, 4), 'ACGT', 'TGCA') complement4 FROM t""",
-    "reverse_complements": f"SELECT item_id, reverse(translate(regexp_replace(upper({_ASCII}), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) strict, reverse(translate({_ASCII}, 'AaCcGgTtn', 'TTGGCCAAN')) loose FROM benchmark",
-    "scalar_functions_whole": f"""WITH {READS}, w AS (SELECT read_id item_id, seq, CAST(unnest(range(length(seq) - {MASK.span - 1})) AS INT) pos FROM r WHERE length(seq) >= {MASK.span}), s AS (SELECT *, {_WINDOW_SAMPLED} kmer FROM w),
+    "scalar_functions": f"""WITH {READS}, w AS (SELECT read_id item_id, seq, CAST(unnest(range(length(seq) - {MASK.span - 1})) AS INT) pos FROM r WHERE length(seq) >= {MASK.span}), s AS (SELECT *, {_WINDOW_SAMPLED} kmer FROM w),
 t AS (SELECT *, CAST({" + ".join(f"(strpos('ATGC', substr(kmer, {i + 1}, 1)) - 1) * {4**i}" for i in range(MASK.weight))} AS BIGINT) key FROM s)
 SELECT item_id, pos, kmer, key, {_DECODE} decoded, substr('ATGC', CAST((key >> 4) & 3 AS INT) + 1, 1) third, key | 48 with_third_c, lpad(bin(key), 24, '0') bits, strpos('ATGC', substr(seq, pos + 1, 1)) - 1 first_number FROM t""",
-    "reverse_complements_whole": f"SELECT item_id, reverse(translate(regexp_replace(upper({_WHOLE}), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) strict, reverse(translate({_WHOLE}, 'AaCcGgTtn', 'TTGGCCAAN')) loose, translate({_dna()}, 'ACGT', 'TGCA') complement FROM benchmark",
+    "reverse_complements": f"SELECT item_id, reverse(translate(regexp_replace(upper({_WHOLE}), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) strict, reverse(translate({_WHOLE}, 'AaCcGgTtn', 'TTGGCCAAN')) loose, translate({_dna()}, 'ACGT', 'TGCA') complement FROM benchmark",
+    "chains": f"WITH RECURSIVE {engine_sql.chains(PAIRS, MASK)} SELECT {engine_sql.CHAIN_COLUMNS} FROM chain LEFT JOIN blocks USING ({engine_sql.KEYS}, run)",
+    "alignments": f"WITH RECURSIVE {engine_sql.candidates(PAIRS, MASK, False)} SELECT {engine_sql.ALIGNMENT_COLUMNS} FROM cand LEFT JOIN blocks USING ({engine_sql.KEYS}, run) LEFT JOIN ablocks USING (id)",
+    "mappings": engine_sql.sam(PAIRS, MASK, False, MAX_MAPPINGS),
+    "bisulfite_mappings": engine_sql.sam(BISULFITE_PAIRS, MASK, True, MAX_MAPPINGS),
+    "variant_calls": engine_sql.calls(PAIRS, MASK, False, MAX_MAPPINGS),
+    "methylation_calls": engine_sql.calls(BISULFITE_PAIRS, MASK, True, MAX_MAPPINGS),
+    "contig_coverage": f"WITH RECURSIVE {engine_sql.mappings(PAIRS, MASK, False, MAX_MAPPINGS)} SELECT ref_idx, count(DISTINCT id) mappings, CAST(sum(size) AS BIGINT) bases FROM (SELECT id, ref_idx FROM mapping) JOIN (SELECT id, size FROM ablock) USING (id) GROUP BY ref_idx",
+    "run_counters": f"WITH RECURSIVE {engine_sql.outcomes(PAIRS, MASK, False, MAX_MAPPINGS)} SELECT {engine_sql.COUNTERS} FROM outcome",
+    "seeds_per_read": f"WITH {SEEDS}, own AS (SELECT r.read_id, count(seeds.key) seeds FROM r LEFT JOIN seeds USING (read_id) WHERE length(r.seq) <= 2000 GROUP BY ALL) SELECT read_id, seeds, CAST(sum(seeds) OVER () AS BIGINT) all_seeds FROM own",
     "strides": f"WITH {READS} SELECT read_id item_id, length(seq) len, {', '.join(f'{_stride("length(seq)", s)} AS {s}' for s in STRIDES)} FROM r",
     "sequence_windows": f"WITH {READS}, {REFS}, d AS (SELECT greatest(100, max(length(seq))) d FROM r WHERE length(seq) <= 2000) SELECT ref_idx doc_id, length(seq) len, CASE WHEN length(seq) > 0 THEN (length(seq) - 1) // d + 1 ELSE 0 END windows FROM g, d",
     "doubled_reference": f"WITH {REFS}, t AS (SELECT 2 * ref_idx - 1 ref_idx, 'doc' || ref_idx AS name, seq FROM g UNION ALL SELECT 2 * ref_idx, '{B.RC_PREFIX}doc' || ref_idx, reverse(translate(seq, 'AaCcGgTtn', 'TTGGCCAAN')) FROM g) SELECT ref_idx, name, length(seq) len, md5(seq) md5 FROM t",
@@ -305,7 +303,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         seed_hits, unique_hits, read_seeds, bisulfite_seeds, seed_threshold, pruned_seeds, filtered_seeds, kmer_frequencies, kmer_statistics, ignore_keys, ignore_bitmap, unpacked_bitmap, ignore_share,
-        window_pairs, candidate_groups, chains, alignments, mappings, bisulfite_mappings, variant_calls, methylation_calls, contig_coverage, run_counters,
-        scalar_functions, scalar_functions_whole, reverse_complements, reverse_complements_whole, strides, sequence_windows, doubled_reference, split_reads,
+        window_pairs, candidate_groups, chains, alignments, mappings, bisulfite_mappings, variant_calls, methylation_calls, contig_coverage, run_counters, seeds_per_read,
+        scalar_functions, reverse_complements, strides, sequence_windows, doubled_reference, split_reads,
     )
 }

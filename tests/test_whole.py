@@ -19,7 +19,7 @@ def dna(text: str) -> str:
 
 
 def test_reverse_complements_of_whole_texts(spark):
-    got = {r["item_id"]: r for r in registry.queries()["reverse_complements_whole"](spark, DATA).collect()}
+    got = {r["item_id"]: r for r in registry.queries()["reverse_complements"](spark, DATA).collect()}
     texts = items(spark)
     assert set(got) == set(texts) and max(map(len, texts.values())) > 60
     for i, text in texts.items():
@@ -30,7 +30,7 @@ def test_reverse_complements_of_whole_texts(spark):
 
 
 def test_keys_of_every_window(spark):
-    rows = registry.queries()["scalar_functions_whole"](spark, DATA).collect()
+    rows = registry.queries()["scalar_functions"](spark, DATA).collect()
     want = {}
     for i, text in items(spark).items():
         seq = dna(text)
