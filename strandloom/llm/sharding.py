@@ -43,7 +43,8 @@ def propagate(cells: DataFrame, quota: list[int], scratch: Scratch, history: lis
     active = 64
     while True:
         load = {r["s"]: r["n"] for r in cells.groupBy("s").agg(F.sum("n").alias("n")).collect()}  # a row for each shard
-        room = spark.createDataFrame([(s, q - load.get(s, 0)) for s, q in enumerate(quota)], "s int, free long")
+        room = [F.struct(F.lit(s).alias("s"), F.lit(q - load.get(s, 0)).cast("long").alias("free")) for s, q in enumerate(quota)]
+        room = spark.range(1).select(F.inline(F.array(*room)))
         best = F.max_by("s", F.struct("n", "free", F.xxhash64("g", "s"))).alias("t")
         labels = cells.join(F.broadcast(room), "s").groupBy("g").agg(best, F.floor(F.log2(F.sum("n")) / 3).alias("k"))
         wishes = scratch.table(cells.join(labels, "g").where("s <> t"), "wishes")
