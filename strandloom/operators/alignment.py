@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.bases import reverse_complement
+from .reference import begin_of, chunk_at, chunked
 
 MATCH, MISMATCH, GAP = 1, -2, -3
 #: Half a band beyond the chain's diagonals; wider bands than BAND are not aligned.
 MARGIN, BAND = 1, 20
-#: Bases of a stretch of reference that is joined to candidates, and by how much stretches overlap.
-STRETCH, OVERLAP = 1 << 14, 1 << 12
 #: Cells of score matrices that are held at once.
 CELLS = 4 << 20
 
@@ -45,42 +44,51 @@ def score_matrices(reads: np.ndarray, sizes: np.ndarray, refs: np.ndarray, band:
     return scores, same
 
 
-def trace(scores: np.ndarray, same: np.ndarray, row: int, place: int) -> dict:
-    """The alignment that ends in a cell: counts, ends and blocks (v, h, size) from first to last.
+def traces(scores: np.ndarray, same: np.ndarray, rows: np.ndarray, places: np.ndarray) -> list[dict]:
+    """The alignments that end in a cell of each candidate: counts, ends and blocks (v, h, size) from first to last.
 
-    At each cell a step along the diagonal comes before a gap in the read, and that before one in the
-    reference; the diagonal step from a score of 0 is the first.
+    All candidates go one step at a time. At each cell a step along the diagonal comes before a gap in the read, and
+    that before one in the reference; the diagonal step from a score of 0 is the first.
     """
-    out = {"n_match": 0, "n_mismatch": 0, "n_gap": 0, "v_stop": row, "h_stop": row + place - 1}
-    blocks, stop = [], row
-    in_block = True
-    while row >= 0:
-        here, up = scores[row + 1, place], scores[row, place]
-        hit = same[row, place - 1]
-        if up + (MATCH if hit else MISMATCH) == here:
-            out["n_match" if hit else "n_mismatch"] += 1
-            if not in_block:
-                in_block, stop = True, row
-            if up == 0:
-                blocks.append((row, row + place - 1, stop - row + 1))
-                out |= {"v_start": row, "h_start": row + place - 1, "blocks": blocks[::-1]}
-                return out
-            row -= 1
-            continue
-        out["n_gap"] += 1
-        if in_block:
-            in_block = False
-            blocks.append((row + 1, row + place, stop - row))
-        if scores[row + 1, place - 1] + GAP == here:
-            place -= 1
-        else:
-            row, place = row - 1, place + 1
-    raise AssertionError("a local alignment starts at a score of 0")
+    n = len(rows)
+    row, place, stop = rows.astype(np.int64), places.astype(np.int64), rows.astype(np.int64)
+    counts = np.zeros((3, n), np.int64)  # matches, mismatches, gaps
+    in_block, now = np.ones(n, bool), np.arange(n)
+    ended: list[tuple[np.ndarray, ...]] = []
+    while len(now):
+        r, p = row[now], place[now]
+        if (r < 0).any():
+            raise AssertionError("a local alignment starts at a score of 0")
+        here, up, hit = scores[now, r + 1, p], scores[now, r, p], same[now, r, p - 1]
+        diagonal = up + np.where(hit, MATCH, MISMATCH) == here
+        first = diagonal & (up == 0)
+        counts[0, now] += diagonal & hit
+        counts[1, now] += diagonal & ~hit
+        counts[2, now] += ~diagonal
+        opening, closing = diagonal & ~in_block[now], ~diagonal & in_block[now]
+        stop[now[opening]] = r[opening]
+        for which, shift in ((closing, 1), (first, 0)):
+            own = now[which]
+            ended.append((own, row[own] + shift, row[own] + place[own] - 1 + shift, stop[own] - row[own] + 1 - shift))
+        in_block[now] = diagonal
+        side = ~diagonal & (scores[now, r + 1, p - 1] + GAP == here)
+        row[now] -= (~side & ~first).astype(np.int64)
+        place[now] += np.where(diagonal, 0, np.where(side, -1, 1))
+        now = now[~first]
+    owner, v, h, size = [np.concatenate(x)[::-1] for x in zip(*ended, strict=True)] if ended else [np.zeros(0, np.int64)] * 4
+    order = np.argsort(owner, kind="stable")  # blocks were met from last to first
+    bounds = np.searchsorted(owner[order], np.arange(n + 1))
+    blocks = np.stack((v, h, size), axis=1)[order].tolist()
+    out = []
+    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        own = [tuple(x) for x in blocks[a:b]]
+        out.append({"n_match": int(counts[0, i]), "n_mismatch": int(counts[1, i]), "n_gap": int(counts[2, i]), "v_start": own[0][0], "h_start": own[0][1], "v_stop": int(rows[i]), "h_stop": int(rows[i] + places[i] - 1), "blocks": own})
+    return out
 
 
 def aligned(reads: list[bytes], refs: list[bytes], band: int, bisulfite: bool) -> list[tuple[int, dict | None]]:
     """Best score and alignment of each read against its stretch, which begins at the band's first diagonal."""
-    out = []
+    out: list[tuple[int, dict | None]] = []
     length = max(map(len, reads), default=0)
     step = max(1, CELLS // max(1, (length + 1) * (band + 2)))
     for a in range(0, len(reads), step):
@@ -91,16 +99,13 @@ def aligned(reads: list[bytes], refs: list[bytes], band: int, bisulfite: bool) -
         t = np.frombuffer(b"".join(r[: long + band - 1].ljust(long + band - 1, b"@") for r in refs[a : a + step]), np.uint8).reshape(len(part), long + band - 1)
         scores, same = score_matrices(q, sizes, t, band, bisulfite)
         inner = scores[:, 1:, 1:-1].reshape(len(part), -1)
-        best = inner.argmax(1)
-        for i, cell in enumerate(best):
-            top = int(inner[i, cell])
-            if top <= 0:
-                out.append((0, None))
-                continue
-            found = trace(scores[i], same[i], int(cell) // band, int(cell) % band + 1)
-            if not bisulfite and not identical_enough(found, len(part[i])):
-                top = 0
-            out.append((top, found))
+        best = inner.argmax(1) if inner.shape[1] else np.zeros(len(part), np.int64)
+        top = inner[np.arange(len(part)), best] if inner.shape[1] else np.zeros(len(part), np.int64)
+        some = np.flatnonzero(top > 0)
+        found = dict(zip(some.tolist(), traces(scores[some], same[some], best[some] // band, best[some] % band + 1), strict=True))
+        for i, size in enumerate(sizes.tolist()):
+            good = i in found and (bisulfite or identical_enough(found[i], size))
+            out.append((int(top[i]) if good else 0, found.get(i)))
     return out
 
 
@@ -120,25 +125,25 @@ def placed(chains: DataFrame, d: int) -> DataFrame:
     return chains.withColumn("band", band.cast("int")).withColumn("a_start", F.when(F.col("run") >= 0, F.col("window") * d + F.least(first, last) - MARGIN))
 
 
-def stretches(refs: DataFrame) -> DataFrame:
-    """(ref_idx, stretch, template): overlapping pieces of the reference, so that no candidate carries a contig."""
-    n = F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / STRETCH).cast("int")
-    parts = refs.select("ref_idx", "seq", F.explode(F.sequence(F.lit(0), n)).alias("stretch"))
-    return parts.select("ref_idx", "stretch", F.upper(F.col("seq").substr(F.col("stretch") * STRETCH + 1, F.lit(STRETCH + OVERLAP))).alias("template"))
-
-
 def with_templates(chains: DataFrame, refs: DataFrame, reads: DataFrame, everything: bool = False) -> DataFrame:
     """Candidates with the read as it was matched (revcomp for strand 1) and the reference below its band, @ beyond its ends.
 
-    everything: chains that are not aligned, for want of a second pair or for too wide a band, stay with nulls.
+    refs: contigs or their chunks, of which a candidate is joined with one. everything: chains that are not aligned,
+    for want of a second pair or for too wide a band, stay with nulls.
     """
-    begin = F.greatest(F.col("a_start"), F.lit(0))
-    good = (F.col("run") >= 0) & (F.col("band") < BAND)
-    some = chains.withColumn("stretch", F.when(good, F.floor(begin / STRETCH).cast("int")))
+    begin, good = F.greatest(F.col("a_start"), F.lit(0)), (F.col("run") >= 0) & (F.col("band") < BAND)
+    pieces = chunked(refs)
     own = reads.select(F.col("read_id").cast("long").alias("read_id"), F.upper("seq").alias("seq"))
-    pieces = stretches(refs)
-    got = some.join(own, "read_id").join(pieces, ["ref_idx", "stretch"], "left") if everything else some.where(good).join(own, "read_id").join(pieces, ["ref_idx", "stretch"])
-    cut = F.col("template").substr((begin - F.col("stretch") * STRETCH + 1).cast("int"), (F.length("seq") + F.col("band") + F.least(F.col("a_start"), F.lit(0))).cast("int"))
+    got = (chains if everything else chains.where(good)).join(own, "read_id")
+    need = F.length("seq") + F.col("band") + F.least(F.col("a_start"), F.lit(0))
+    sides = pieces.where("stretch = 0").select("ref_idx", F.col("len").alias("_len"), "back")
+    got = got.join(sides, "ref_idx").withColumn("stretch", F.when(good, chunk_at(begin, need, F.col("_len"), F.col("back"))))
+    pieces = pieces.select("ref_idx", "stretch", F.upper("seq").alias("template"))
+    got = got.join(pieces, ["ref_idx", "stretch"], "left" if everything else "inner")
+    first = begin_of(F.col("stretch"), F.col("back"), F.col("_len"), F.length("template"))
+    at = (begin - first).cast("int")
+    # a chunk that is read from its contig's end may begin after the template does, if the contig ends before it
+    cut = F.col("template").substr(F.greatest(at, F.lit(0)) + 1, (need + F.least(at, F.lit(0))).cast("int"))
     lead = F.repeat(F.lit("@"), F.greatest(-F.col("a_start"), F.lit(0)).cast("int"))
     query = F.when(F.col("strand") == 1, reverse_complement("seq")).otherwise(F.col("seq"))
     return got.withColumn("template", F.concat(lead, cut)).withColumn("query", query).select(*chains.columns, "query", "template")

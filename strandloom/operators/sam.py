@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bases import RC_PREFIX, plain_name, reverse_complement
+from .reference import contigs
 
 COLUMNS = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
 
@@ -72,8 +73,7 @@ def to_sam(mappings: DataFrame, reads: DataFrame, refs: DataFrame, bisulfite: bo
     they were made from, and the strand is theirs.
     """
     own = reads.select(F.col("read_id").cast("long").alias("read_id"), F.col("name").alias("qname"), F.upper("seq").alias("seq"), "qual")
-    contigs = refs.select(F.col("ref_idx").cast("long").alias("ref_idx"), F.element_at(F.split("name", r"\s+"), 1).alias("contig"), F.length("seq").alias("len"))
-    m = mappings.join(own, "read_id").join(contigs, "ref_idx")
+    m = mappings.join(own, "read_id").join(contigs(refs).withColumnRenamed("name", "contig"), "ref_idx")
     flip = F.col("contig").startswith(RC_PREFIX) if bisulfite else F.lit(False)
     minus = flip if bisulfite else F.col("strand") == 1
     plain = F.col("a_start") + 1 + F.col("ah_start")
@@ -104,6 +104,5 @@ def sam_header(refs: DataFrame, version: str = "1.0") -> DataFrame:
     """Header lines in order (n, value): format, program, and a line for each contig that is no reverse complement."""
     spark = refs.sparkSession
     top = spark.createDataFrame([(-2, "@HD\tVN:1.0"), (-1, f"@PG\tID:strandloom\tPN:strandloom\tVN:{version}")], "n long, value string")
-    name = F.element_at(F.split("name", r"\s+"), 1)
-    own = refs.where(~name.startswith(RC_PREFIX)).select(F.col("ref_idx").cast("long").alias("n"), F.concat(F.lit("@SQ\tSN:"), name, F.lit("\tLN:"), F.length("seq").cast("string")).alias("value"))
+    own = contigs(refs).where(~F.col("name").startswith(RC_PREFIX)).select(F.col("ref_idx").alias("n"), F.concat(F.lit("@SQ\tSN:"), F.col("name"), F.lit("\tLN:"), F.col("len").cast("string")).alias("value"))
     return top.unionByName(own)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.bases import bisulfite_keys
 from ..functions.masks import Mask, stride
 from .layout import spread
+from .reference import CHUNK, is_chunked
 
 MAX_READ = 2000
 #: Bits of the presence map that a scan may hold: 4^12 keys take 2 MB.
@@ -73,21 +76,30 @@ def read_seeds(reads: DataFrame, mask: Mask, sensitivity: str = "medium", bisulf
     return out
 
 
-def _scan(mask: Mask, id_col: str, step: int, presence: bytes | None, skip_zero: bool):
+def _scan(mask: Mask, id_col: str, step: int, presence: bytes | None, skip_zero: bool, in_chunks: bool):
+    def bounds(size: int, stretch: int, length: int, back: bool) -> tuple[int, int, int]:
+        """A chunk's first place in its contig, and which of its windows it owns: from, to."""
+        last = size - mask.span + 1
+        if back:
+            return length - stretch * CHUNK - size, max(0, last - CHUNK), last
+        return stretch * CHUNK, 0, min(CHUNK, last)
+
     def run(batches):
         have = np.frombuffer(presence, np.uint8) if presence is not None else None
         for batch in batches:
-            for i, s in zip(batch.column(id_col).to_pylist(), batch.column("seq").to_pylist(), strict=True):
+            chunk = zip(*[batch.column(c).to_pylist() for c in ("stretch", "len", "back")], strict=True) if in_chunks else repeat((None,) * 3)
+            for i, s, (stretch, length, back) in zip(batch.column(id_col).to_pylist(), batch.column("seq").to_pylist(), chunk, strict=False):
                 raw = (s or "").upper().encode("ascii", "replace")
-                for a in range(0, len(raw) - mask.span + 1, TILE):
+                begin, first, last = bounds(len(raw), stretch, length, back) if in_chunks else (0, 0, len(raw) - mask.span + 1)
+                for a in range(first, last, TILE):
                     code = codes(raw[a : a + TILE + mask.span - 1])
-                    places = np.arange(-a % step, min(TILE, len(code) - mask.span + 1), step)
+                    places = np.arange(-(begin + a) % step, min(TILE, last - a), step)
                     key = keys_at(code, mask.offsets, places)
                     keep = key != 0 if skip_zero else np.ones(len(key), bool)
                     if have is not None:
                         keep &= (have[key >> 3] >> (key & 7).astype(np.uint8)) & 1 > 0
                     if keep.any():
-                        places = places[keep] + a
+                        places = places[keep] + begin + a
                         yield pa.record_batch([pa.array(np.full(len(places), i)), pa.array(places), pa.array(key[keep])], names=[id_col, "pos", "key"])
 
     return run
@@ -96,10 +108,12 @@ def _scan(mask: Mask, id_col: str, step: int, presence: bytes | None, skip_zero:
 def position_keys(seqs: DataFrame, mask: Mask, id_col: str = "ref_idx", presence: bytes | None = None, skip_zero: bool = True, step: int = 1) -> DataFrame:
     """(id, pos, key) for each place of each sequence. Key 0, which poly-A and N have, is left out (skip_zero).
 
-    presence: a bit for each key that is looked for; other places are dropped inside the scan.
+    seqs: whole sequences (id, seq), or chunks of them. presence: a bit for each key that is looked for; other
+    places are dropped inside the scan.
     """
-    given = spread(seqs.select(F.col(id_col).cast("long").alias(id_col), "seq"))
-    return given.mapInArrow(_scan(mask, id_col, step, presence, skip_zero), f"{id_col} long, pos long, key long")
+    in_chunks = is_chunked(seqs)
+    given = spread(seqs.select(F.col(id_col).cast("long").alias(id_col), "seq", *["stretch", "len", "back"] * in_chunks))
+    return given.mapInArrow(_scan(mask, id_col, step, presence, skip_zero, in_chunks), f"{id_col} long, pos long, key long")
 
 
 def presence_map(keys: DataFrame, mask: Mask) -> bytes | None:

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.masks import Mask, parse_mask
-from ..operators import alignment, chains, pairs, sam, seeds, selection
-from ..operators.variants import doubled
+from ..operators import alignment, chains, pairs, reference, sam, seeds, selection
 
 
 @dataclass(frozen=True)
@@ -33,16 +32,20 @@ class Options:
 
 
 class Mapping:
-    """Steps of one mapping as DataFrames; each is planned when asked for."""
+    """Steps of one mapping as DataFrames; each is planned when asked for.
 
-    def __init__(self, reads: DataFrame, refs: DataFrame, options: Options = Options(), ignore: DataFrame | None = None):  # noqa: B008
+    refs: contigs (ref_idx, name, seq), or their chunks (operators.reference). places: stored places of these chunks,
+    of both strands' contigs in bisulfite mode, in place of a scan.
+    """
+
+    def __init__(self, reads: DataFrame, refs: DataFrame, options: Options = Options(), ignore: DataFrame | None = None, places: DataFrame | None = None):  # noqa: B008
         from ..shipping import ship
 
         ship(reads.sparkSession)
         self.options, self.mask = options, options.mask
         self.reads = reads.where("length(seq) <= 2000").select(F.col("read_id").cast("long").alias("read_id"), "name", "seq", "qual")
-        self.refs = doubled(refs) if options.bisulfite else refs.select(F.col("ref_idx").cast("long").alias("ref_idx"), "name", "seq")
-        self.ignore = ignore
+        self.refs = reference.doubled(reference.chunked(refs)) if options.bisulfite else reference.chunked(refs)
+        self.ignore, self.places = ignore, places
         self.d = int(pairs.diagonals(self.reads).first()["d"])
 
     def _seeds(self) -> tuple[DataFrame, DataFrame]:
@@ -56,11 +59,10 @@ class Mapping:
 
     def pairs(self) -> DataFrame:
         own, kept = self._seeds()
-        places = seeds.position_keys(self.refs, self.mask, presence=seeds.presence_map(kept, self.mask))
+        places = self.places if self.places is not None else seeds.position_keys(self.refs, self.mask, presence=seeds.presence_map(kept, self.mask))
         if self.ignore is not None and self.options.bisulfite:  # expanded keys may be ignored ones
             places = places.join(self.ignore.select("key"), "key", "left_anti")
-        lengths = self.refs.select("ref_idx", F.length("seq").cast("long").alias("len"))
-        return pairs.window_pairs(pairs.seed_matches(seeds.prune_seeds(own, kept), places), lengths, self.d, self.mask)
+        return pairs.window_pairs(pairs.seed_matches(seeds.prune_seeds(own, kept), places), reference.contigs(self.refs), self.d, self.mask)
 
     def chains(self) -> DataFrame:
         return alignment.placed(chains.chain_pairs(pairs.candidate_pairs(self.pairs(), self.d), self.mask), self.d)

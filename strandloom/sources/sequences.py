@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.reference import CHUNK, OVERLAP
+
 MAX_READ = 2000
 #: Lines that share a window when lines of a file are numbered.
 LINES_PER_GROUP = 100_000
@@ -56,31 +58,69 @@ def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return placed.select(F.col("read_id").cast("long").alias("read_id"), name.alias("name"), F.upper("seq").alias("seq"), "qual")
 
 
-def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(ref_idx, name, description, seq, len) of records; .fof files name further files.
+def _records(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of FASTA files: records (ref_idx, description, len), and lines of bases (ref_idx, offset, value).
 
-    Blanks before a line, empty lines and lines after `;` are skipped. The name is a defline's first word,
-    the description all of it. Indexes count from 1 over all files. A record without bases is an error,
-    raised when its row is computed.
+    Blanks before a line, empty lines and lines after `;` are skipped. Indexes count from 1 over all files. Lines are
+    numbered and their offsets added up by groups of LINES_PER_GROUP, so no task holds a file or a record.
     """
     lines = _lines(spark, expand_lists(spark, paths)).withColumn("value", F.regexp_replace("value", "^[ \t]+", "")).where("value <> '' and not startswith(value, ';')")
     lines = lines.withColumn("g", F.floor(F.col("line") / LINES_PER_GROUP)).withColumn("head", F.startswith(F.col("value"), F.lit(">")).cast("int"))
+    lines = lines.withColumn("value", F.when(F.col("head") == 1, F.col("value")).otherwise(F.upper(F.regexp_replace("value", r"\s", ""))))
     sums = lines.groupBy("file", "g").agg(F.sum("head").alias("n"))
     before = Window.orderBy("file", "g").rowsBetween(Window.unboundedPreceding, -1)  # a row for each 100 000 lines
     starts = sums.select(F.col("file").alias("_f"), F.col("g").alias("_g"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("file", "g").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    placed = lines.join(starts, (F.col("file") == F.col("_f")) & (F.col("g") == F.col("_g"))).withColumn("ref_idx", F.col("start") + F.sum("head").over(inside)).where("ref_idx > 0")
-    defline = F.max(F.when(F.col("head") == 1, F.substr("value", F.lit(2))))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("head") == 0, F.struct("file", "line", "value")))), lambda x: x["value"]), "")
-    records = placed.groupBy("ref_idx").agg(defline.alias("description"), F.upper(F.regexp_replace(body, r"\s", "")).alias("seq"))
+    placed = lines.join(starts, (F.col("file") == F.col("_f")) & (F.col("g") == F.col("_g"))).withColumn("ref_idx", (F.col("start") + F.sum("head").over(inside)).cast("long")).where("ref_idx > 0")
+    heads = placed.where("head = 1").select("ref_idx", F.substr("value", F.lit(2)).alias("description"))
+    body = placed.where("head = 0").select("ref_idx", "file", "g", "line", "value", F.length("value").cast("long").alias("n"))
+    parts = body.groupBy("ref_idx", "file", "g").agg(F.sum("n").alias("n"))
+    ahead = Window.partitionBy("ref_idx").orderBy("file", "g").rowsBetween(Window.unboundedPreceding, -1)  # as above, of one record
+    parts = parts.select(F.col("ref_idx").alias("_r"), F.col("file").alias("_f"), F.col("g").alias("_g"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    within = Window.partitionBy("ref_idx", "file", "g").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    joined = body.join(parts, (F.col("ref_idx") == F.col("_r")) & (F.col("file") == F.col("_f")) & (F.col("g") == F.col("_g")))
+    placed_lines = joined.select("ref_idx", (F.col("base") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("offset"), "value")
+    sizes = body.groupBy("ref_idx").agg(F.sum("n").alias("len"))
+    return heads.join(sizes, "ref_idx", "left").select("ref_idx", "description", F.coalesce("len", F.lit(0)).alias("len")), placed_lines
+
+
+def _named(records: DataFrame) -> DataFrame:
+    """records with the name, a defline's first word; one without bases is an error, raised when its row is computed."""
     empty = F.raise_error(F.concat(F.lit("a record without bases: "), F.col("description")))
-    return records.select(
-        F.col("ref_idx").cast("long").alias("ref_idx"),
-        F.element_at(F.split(F.trim("description"), r"\s+"), 1).alias("name"),
-        "description",
-        F.when(F.length("seq") == 0, empty.cast("string")).otherwise(F.col("seq")).alias("seq"),
-        F.length("seq").cast("long").alias("len"),
-    )
+    name = F.when(F.col("len") == 0, empty.cast("string")).otherwise(F.element_at(F.split(F.trim("description"), r"\s+"), 1))
+    return records.withColumn("name", name)
+
+
+def _joined(parts: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(parts)), lambda x: x["value"]), "")
+
+
+def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(ref_idx, name, description, seq, len) of records, a record as one row; .fof files name further files.
+
+    Blanks before a line, empty lines and lines after `;` are skipped. The name is a defline's first word,
+    the description all of it. Indexes count from 1 over all files. A record without bases is an error,
+    raised when its row is computed. For contigs that are large for a row, see read_fasta_chunks.
+    """
+    records, lines = _records(spark, paths)
+    bodies = lines.groupBy("ref_idx").agg(_joined(F.struct("offset", "value")).alias("seq"))
+    return _named(records).join(bodies, "ref_idx", "left").select("ref_idx", "name", "description", "seq", "len")
+
+
+def read_fasta_chunks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Chunks (operators.reference) of the records that read_fasta gives, put together from lines, never from a whole record."""
+    records, lines = _records(spark, paths)
+    # a line goes to each chunk that has some of its bases; long lines are cut as bytes, in work by their length
+    stop = F.col("offset") + F.length("value") - 1
+    least = F.greatest(F.floor((F.col("offset") - CHUNK - OVERLAP) / CHUNK) + 1, F.lit(0))
+    pieces = lines.where("value <> ''").withColumn("raw", F.col("value").cast("binary")).withColumn("stretch", F.explode(F.sequence(least, F.floor(stop / CHUNK))))
+    skip = F.greatest(F.col("stretch") * CHUNK - F.col("offset"), F.lit(0))
+    upto = F.least(F.length("value").cast("long"), (F.col("stretch") + 1) * CHUNK + OVERLAP - F.col("offset"))
+    piece = F.substring("raw", (skip + 1).cast("int"), (upto - skip).cast("int")).cast("string")
+    ascii_line = F.octet_length("value") == F.length("value")  # others are not bases; they are cut by characters
+    piece = F.when(ascii_line, piece).otherwise(F.substring("value", (skip + 1).cast("int"), (upto - skip).cast("int")))
+    chunks = pieces.select("ref_idx", F.col("stretch").cast("int").alias("stretch"), "offset", piece.alias("value")).groupBy("ref_idx", "stretch").agg(_joined(F.struct("offset", "value")).alias("seq"))
+    return chunks.join(_named(records).select("ref_idx", "name", "len"), "ref_idx", "right").select("ref_idx", "name", "len", F.coalesce("stretch", F.lit(0)).alias("stretch"), F.lit(False).alias("back"), F.coalesce("seq", F.lit("")).alias("seq"))
 
 
 def write_fasta(refs: DataFrame, path: str) -> None:

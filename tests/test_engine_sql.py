@@ -5,6 +5,7 @@ import random
 import duckdb
 import pytest
 
+from strandloom.operators.reference import CHUNK, OVERLAP
 from strandloom.plans import registry
 
 NAMES = ["window_pairs", "candidate_groups", "chains", "alignments", "mappings", "bisulfite_mappings", "variant_calls", "methylation_calls", "contig_coverage", "run_counters", "seeds_per_read"]
@@ -49,6 +50,11 @@ def folder(spark, tmp_path_factory, request):
             s = "".join("T" if b == "C" and rng.random() < 0.7 else b for b in s)
         reads.append(s)
     reads += ["", "ACGT", "A" * 80, bases(rng, 60), unit + unit]
+    long = bases(rng, 2 * CHUNK + 900)  # of three chunks; reads lie where these meet, and at its ends
+    contigs.append(long)
+    for at in (0, CHUNK - 300, CHUNK - 90, CHUNK - 1, CHUNK, 2 * CHUNK - 60, CHUNK + OVERLAP - 50, len(long) - 130, 900 - 60, 900):
+        s = spoiled(rng, long[at : at + rng.choice([60, 130])], rng.choice([0, 1, 3]))
+        reads += [s, s[::-1].translate(str.maketrans("ACGT", "TGCA")), s.replace("C", "T")]
     docs = [(i + 1, c.translate(AS_TEXT)) for i, c in enumerate(contigs)]
     spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{top}/documents.parquet")
     spark.createDataFrame([(i, r.translate(AS_TEXT)) for i, r in enumerate(reads)], "item_id long, text string").coalesce(1).write.parquet(f"{top}/benchmark.parquet")
