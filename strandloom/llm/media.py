@@ -22,6 +22,8 @@ WIDTH, CHANNELS = 64, 3
 ROW = WIDTH * CHANNELS
 #: Bytes after which a task begins its next shard, and that a header read fetches.
 SHARD_BYTES, HEADER_BYTES = 64 << 20, 96
+#: How hard images are compressed; of text, 6 stores a seventh less than 1 in twice the time.
+LEVEL = 6
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -41,7 +43,7 @@ def to_png(payload: bytes, n_bytes: int) -> bytes:
     lines[:, 1:] = np.frombuffer(payload, np.uint8).reshape(height, ROW)
     head = struct.pack(">IIBBBBB", WIDTH, height, 8, 2, 0, 0, 0)
     note = b"Source bytes\0" + str(n_bytes).encode()
-    return _SIGNATURE + _part(b"IHDR", head) + _part(b"tEXt", note) + _part(b"IDAT", zlib.compress(lines.tobytes(), 1)) + _part(b"IEND", b"")
+    return _SIGNATURE + _part(b"IHDR", head) + _part(b"tEXt", note) + _part(b"IDAT", zlib.compress(lines.tobytes(), LEVEL)) + _part(b"IEND", b"")
 
 
 def png_header(head: bytes) -> tuple[int, int, int, int, int]:
@@ -236,7 +238,6 @@ class MediaTable:
     def columns(self, places: bool = True) -> DataFrame:
         """Each row with its header's and contents' columns and (places) where its image lies."""
         known = self._by_shard().mapInArrow(_everything(self.folder), f"digest binary, {_ddl(_HEADER)}, {_ddl(_CONTENT)}")
-        known = self.scratch.table(known, "known")
         return self._with(known.join(self.places, "digest") if places else known)
 
 
