@@ -3,7 +3,9 @@
 Counts, model and queries are dealt to shards by language and the two last bytes of the context. All
 longer contexts of a byte, their continuation counts and backed-off orders are then in one shard; what
 shards share (orders one and two, discounts) is a table of at most 65 536 entries a language. A chunk of
-texts asks for each of its distinct n-grams once, and gets a log-probability back for it.
+texts asks for each of its distinct n-grams once, and gets a log-probability back for it. Counts are added
+up, and questions answered, for a bounded number of chunks at a time: a shard of frequent n-grams is in no
+task whole but as its model, whose distinct n-grams no longer grow with the input.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ TILE = 1 << 18
 CHUNK_BYTES = 8 << 20
 #: Bytes of text for each shard of n-grams.
 SHARD_BYTES = 32 << 20
+#: Chunks whose counts of a shard one task adds up, and that it answers.
+FAN, ASKING = 64, 512
 #: One trusted row in HELD_OUT sets thresholds and trains nothing.
 HELD_OUT = 5
 #: Held-out rows that are enough to set a language's thresholds. With fewer, all its trusted rows do, each scored by a
@@ -134,8 +138,17 @@ def _trusted(ids: np.ndarray, known: np.ndarray, table) -> np.ndarray:
     return np.isin(ids, np.array(good[0], np.int64)) & (known > 0) if good else np.zeros(len(ids), bool)
 
 
-def _grams(names: dict[bytes, int], kinds: np.ndarray, shards: int):
-    """Of a chunk, for each shard: its distinct n-grams with counts over trusted training rows."""
+def _by_shard(keys: np.ndarray, shards: int):
+    """Of distinct keys in order, for each shard: its number and which keys are its own."""
+    shard = (_spread(keys) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cut = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
+    for x, y in zip(cut[:-1], cut[1:], strict=True):
+        yield int(shard[order[x]]), order[x:y]
+
+
+def _grams(names: dict[bytes, int], kinds: np.ndarray, shards: int, counts: bool):
+    """Of a chunk, for each shard: its distinct n-grams; with counts, those of trusted training rows and how often they are met."""
 
     def run(key, table):
         lean_memory()
@@ -143,23 +156,20 @@ def _grams(names: dict[bytes, int], kinds: np.ndarray, shards: int):
         blobs = [b for b in table.column("blob").to_pylist() if b is not None]
         if blobs:
             ids, known, lengths, data, a, b = unpack(blobs[0])
-            asked, train, counted = [], [], []
+            found: list[np.ndarray] = []
+            times: list[np.ndarray] = []
             for texts, sizes, lang, trains, _ in passes(ids, lengths, data, _languages(a, b, names), _trusted(ids, known, table), kinds):
-                for keys, doc in key_tiles(texts, sizes, lang):
-                    asked.append(np.unique(keys))
-                    k, n = np.unique(keys[trains[doc]], return_counts=True)
-                    train.append(k)
-                    counted.append(n)
-            distinct = np.unique(np.concatenate(asked)) if asked else np.zeros(0, np.uint64)
-            count = np.zeros(len(distinct), np.uint32)
-            for k, n in zip(train, counted, strict=True):
-                count[np.searchsorted(distinct, k)] += n.astype(np.uint32)
-            shard = (_spread(distinct) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cut = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
-            for x, y in zip(cut[:-1], cut[1:], strict=True):
-                own = order[x:y]
-                out.append((int(shard[own[0]]), key[0].as_py(), pack(gaps(distinct[own]), count[own])))
+                if counts:  # texts that train nothing are left out at once
+                    texts, sizes, lang = texts[np.repeat(trains, sizes)], sizes[trains], lang[trains]
+                for keys, _ in key_tiles(texts, sizes, lang):
+                    k, n = np.unique(keys, return_counts=True)
+                    found.append(k)
+                    times.append(n)
+            if found:
+                distinct, back = np.unique(np.concatenate(found), return_inverse=True)
+                total = np.bincount(back, np.concatenate(times), minlength=len(distinct)).astype(np.uint32) if counts else None
+                for shard, own in _by_shard(distinct, shards):
+                    out.append((shard, key[0].as_py(), pack(gaps(distinct[own]), total[own]) if counts else pack(gaps(distinct[own]))))
         return pa.table({"shard": pa.array([x[0] for x in out], pa.int64()), "chunk": pa.array([x[1] for x in out], pa.int64()), "value": pa.array([x[2] for x in out], pa.binary())})
 
     return run
@@ -183,34 +193,32 @@ def adjusted(keys: np.ndarray, counts: np.ndarray):
     return out
 
 
-def _merge(key, table):
-    """Of a shard: all n-grams with summed counts, what each chunk asks for, and what shards have to share."""
+def _fold(key, table):
+    """Of some of a shard's counts: their sums."""
     lean_memory()
     parts = [unpack(v) for v in table.column("value").to_pylist()]
-    asked = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
-    every = np.concatenate(asked)
-    distinct, back = np.unique(every, return_inverse=True)
-    counts = np.bincount(back, np.concatenate([p[1] for p in parts]), minlength=len(distinct)).astype(np.int64)
-    levels = adjusted(distinct, counts)
-    ks, ns = [], []
-    for n, (g, a) in levels.items():  # (language, order, count up to 4) of counts
-        few = a <= 4
-        code = ((g[few] >> np.uint64(8 * ORDER)) << np.uint64(8)) | np.uint64(n << 4) | a[few].astype(np.uint64)
-        k, c = np.unique(code, return_counts=True)
-        ks.append(k.astype(np.int64))
-        ns.append(c)
-    k, c = np.unique(suffix(levels[3][0], 2), return_counts=True)  # bytes seen before each pair
-    ks.append(((k >> np.uint64(8 * ORDER)) << np.uint64(16) | (k & _LOW[2])).astype(np.int64) + (1 << 40))
-    ns.append(c)
-    value = pack(gaps(distinct), counts.astype(np.uint32), np.array(table.column("chunk").to_pylist(), np.int64), np.array([len(x) for x in asked], np.int64), gaps(back.astype(np.uint32)))
-    return pa.table({"value": pa.array([value], pa.binary()), "shared": pa.array([pack(np.concatenate(ks), np.concatenate(ns).astype(np.int64))], pa.binary())})
-
-
-def _shared_rows(batches):
+    keys, back = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), return_inverse=True)
+    counts = np.bincount(back, np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
+    return pa.table({"shard": [key[0].as_py()], "part": [key[1].as_py()], "value": pa.array([pack(gaps(keys), counts)], pa.binary())})
+
+
+def _shared(batches):
+    """What shards have to share: counts of counts (language, order, count up to 4), and bytes seen before each pair."""
     for batch in batches:
-        for v in batch.column("shared").to_pylist():
-            k, n = unpack(v)
-            yield pa.record_batch([pa.array(k), pa.array(n)], names=["k", "n"])
+        for v in batch.column("value").to_pylist():
+            keys, counts = unpack(v)
+            levels = adjusted(np.cumsum(keys, dtype=np.uint64), counts)
+            ks, ns = [], []
+            for n, (g, a) in levels.items():
+                few = a <= 4
+                code = ((g[few] >> np.uint64(8 * ORDER)) << np.uint64(8)) | np.uint64(n << 4) | a[few].astype(np.uint64)
+                k, c = np.unique(code, return_counts=True)
+                ks.append(k.astype(np.int64))
+                ns.append(c)
+            k, c = np.unique(suffix(levels[3][0], 2), return_counts=True)
+            ks.append(((k >> np.uint64(8 * ORDER)) << np.uint64(16) | (k & _LOW[2])).astype(np.int64) + (1 << 40))
+            ns.append(c)
+            yield pa.record_batch([pa.array(np.concatenate(ks)), pa.array(np.concatenate(ns).astype(np.int64))], names=["k", "n"])
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -248,10 +256,12 @@ def low_orders(rows: list, languages: int):
     return p2, d
 
 
-def probabilities(keys: np.ndarray, counts: np.ndarray, p2: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """The model's probability of each n-gram's last byte; counts: training counts of the n-grams themselves."""
-    lang = (keys >> np.uint64(8 * ORDER)).astype(np.int64)
-    p = p2[lang, (keys >> np.uint64(8) & np.uint64(255)).astype(np.int64), (keys & np.uint64(255)).astype(np.int64)].astype(np.float64)
+def probabilities(keys: np.ndarray, counts: np.ndarray, p2: np.ndarray, d: np.ndarray, asked: np.ndarray | None = None) -> np.ndarray:
+    """The model's probability of the last byte of each n-gram that is asked (keys, if none are given); counts: training
+    counts of keys, which hold all n-grams that were seen with the asked ones' last two bytes of context."""
+    asked = keys if asked is None else asked
+    lang = (asked >> np.uint64(8 * ORDER)).astype(np.int64)
+    p = p2[lang, (asked >> np.uint64(8) & np.uint64(255)).astype(np.int64), (asked & np.uint64(255)).astype(np.int64)].astype(np.float64)
     levels = adjusted(keys, counts)
     for n in range(3, ORDER + 1):
         g, a = levels[n]
@@ -261,7 +271,7 @@ def probabilities(keys: np.ndarray, counts: np.ndarray, p2: np.ndarray, d: np.nd
         first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
         off = d[(g >> np.uint64(8 * ORDER)).astype(np.int64), n, np.minimum(a, 3)]
         total, free = np.add.reduceat(a, first), np.add.reduceat(off, first)
-        mine = suffix(keys, n)
+        mine = suffix(asked, n)
         at = np.minimum(np.searchsorted(g, mine), len(g) - 1)
         kept = np.where(g[at] == mine, a[at] - off[at], 0.0)
         c = np.minimum(np.searchsorted(context[first], mine >> np.uint64(8)), len(first) - 1)
@@ -271,18 +281,23 @@ def probabilities(keys: np.ndarray, counts: np.ndarray, p2: np.ndarray, d: np.nd
 
 
 def _answer(p2: np.ndarray, d: np.ndarray):
-    def run(batches):
-        for batch in batches:
-            for v in batch.column("value").to_pylist():
-                keys, counts, owner, sizes, index = unpack(v)
-                keys, index = np.cumsum(keys, dtype=np.uint64), np.cumsum(index, dtype=np.uint32)
-                cost = np.minimum(np.round(-np.log(probabilities(keys, counts, p2, d)) * UNIT), 65535).astype(np.uint16)
-                at, out = 0, []
-                for n in sizes:
-                    own = index[at : at + n]
-                    at += n
-                    out.append(pack(gaps(keys[own]), cost[own]))
-                yield pa.record_batch([pa.array(owner), pa.array(out, pa.binary())], names=["chunk", "value"])
+    """Of a shard's model and what some chunks ask of it: to each chunk the costs of its n-grams."""
+
+    def run(key, table):
+        lean_memory()
+        owners, values = table.column("chunk").to_pylist(), [unpack(v) for v in table.column("value").to_pylist()]
+        model = [v for o, v in zip(owners, values, strict=True) if o is None]
+        keys, counts = (np.cumsum(model[0][0], dtype=np.uint64), model[0][1]) if model else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        asking = [(o, np.cumsum(v[0], dtype=np.uint64)) for o, v in zip(owners, values, strict=True) if o is not None]
+        out = []
+        if asking:
+            asked, back = np.unique(np.concatenate([x for _, x in asking]), return_inverse=True)
+            cost = np.minimum(np.round(-np.log(probabilities(keys, counts, p2, d, asked)) * UNIT), 65535).astype(np.uint16)[back]
+            at = 0
+            for o, x in asking:
+                out.append((o, pack(gaps(x), cost[at : at + len(x)])))
+                at += len(x)
+        return pa.table({"chunk": pa.array([o for o, _ in out], pa.int64()), "value": pa.array([v for _, v in out], pa.binary())})
 
     return run
 
@@ -332,15 +347,33 @@ def _scored(scratch: Scratch, given: DataFrame, good: DataFrame, languages: list
     trusted = scratch.table(trusted, "trusted")
     blobs = stored.select("chunk", "blob", F.lit(None).cast("array<bigint>").alias("good"))
     work = blobs.unionByName(trusted.select("chunk", F.lit(None).cast("binary").alias("blob"), "good"))
-    grams = work.groupBy("chunk").applyInArrow(_grams(names, kinds, shards), "shard long, chunk long, value binary")
-    merged = scratch.table(grams.groupBy("shard").applyInArrow(_merge, "value binary, shared binary"), "shards", "uncompressed")
+    n = stored.count()
+
+    def part(of: str, most: int, n: int):
+        return F.pmod(F.xxhash64(of), F.lit(-(-n // most))).cast("long").alias("part")
+
+    # counts are added up FAN at a time, so that no task holds all chunks' counts of a shard, however frequent its n-grams
+    counts = work.groupBy("chunk").applyInArrow(_grams(names, kinds, shards, True), "shard long, chunk long, value binary").select("shard", part("chunk", FAN, max(1, n)), "value")
+    left = max(1, -(-n // FAN))
+    while True:
+        counts = counts.groupBy("shard", "part").applyInArrow(_fold, "shard long, part long, value binary")
+        if left == 1:
+            break
+        counts = counts.select("shard", part("part", FAN, left), "value")
+        left = -(-left // FAN)
+    model = scratch.table(counts.select("shard", "value"), "model", "uncompressed")
     # at most 65 536 pairs and 20 counts of counts a language, of MODELS models at most
-    shared = merged.select("shared").mapInArrow(_shared_rows, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    shared = model.mapInArrow(_shared, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     p2, d = low_orders([(r["k"], r["n"]) for r in shared.collect()], len(kinds))
-    answers = merged.select("value").mapInArrow(_answer(p2, d), "chunk long, value binary")
+    # a shard answers ASKING chunks in a task, and as many tasks get its model as its chunks need
+    asked = work.groupBy("chunk").applyInArrow(_grams(names, kinds, shards, False), "shard long, chunk long, value binary")
+    asked = asked.select("shard", part("chunk", ASKING, max(1, n)), "chunk", "value")
+    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, -(-n // ASKING)) - 1).cast("long")))
+    told = model.select("shard", everywhere.alias("part"), F.lit(None).cast("long").alias("chunk"), "value")
+    answers = asked.unionByName(told).groupBy("shard", "part").applyInArrow(_answer(p2, d), "chunk long, value binary")
     again = work.withColumn("value", F.lit(None).cast("binary")).unionByName(answers, allowMissingColumns=True)
     out = scratch.table(again.groupBy("chunk").applyInArrow(_score(names, kinds), "doc_id long, model string, n_bytes long, nll double, unseen double"), "scored")
-    scratch.drop(merged)
+    scratch.drop(model)
     return out
 
 

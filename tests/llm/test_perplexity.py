@@ -157,3 +157,16 @@ def test_held_out_accuracy(spark):
     n = {(r["quality"], r["keep"]): r["n"] for r in out.groupBy("quality", "keep").agg(F.count("*").alias("n")).collect()}
     assert n.get((1, True), 0) >= 0.98 * (n.get((1, True), 0) + n.get((1, False), 0))
     assert n.get((0, False), 0) >= 0.7 * (n.get((0, True), 0) + n.get((0, False), 0))
+
+
+def test_counts_and_answers_by_few_chunks_at_a_time(spark, monkeypatch):
+    """However few chunks a task adds up or answers, scores are the same."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    # one language has folds, which are asked of too
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 11 == 0, "rare").otherwise(F.col("lang")))
+    scores = lambda: sorted(map(tuple, classify(docs, labels).select("doc_id", "model", "nll", "low", "keep").collect()))
+    monkeypatch.setattr(perplexity, "CHUNK_BYTES", 40_000)
+    want = scores()
+    monkeypatch.setattr(perplexity, "FAN", 2)
+    monkeypatch.setattr(perplexity, "ASKING", 3)
+    assert scores() == want and len(want) > 100
