@@ -16,6 +16,9 @@ from .shingles import mix, shingle_sets
 BANDS, ROWS = 32, 6
 #: Share of equal minima under which a pair's full sets are not compared; five standard deviations under 0.85.
 SLACK = 0.15
+#: Bits of each minimum in the signature that candidates are held against, and how many standard deviations a pair may
+#: stay under what the bound gives: one in three million pairs at the bound does.
+SIGNATURE_BITS, DEVIATIONS = 4, 5
 #: Texts and bytes that a unit of verification holds at most, on each of its two sides.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 12 << 20
 #: Bytes of a table of bits that full sets of a block are compared by.
@@ -63,24 +66,88 @@ def set_key(s: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(mix(s))) - (1 << 63)
 
 
+def signature(m: np.ndarray) -> np.ndarray:
+    """The low bits of each minimum, two to a byte."""
+    low = (m & np.uint32((1 << SIGNATURE_BITS) - 1)).astype(np.uint8)
+    return low[:, 0::2] << SIGNATURE_BITS | low[:, 1::2]
+
+
+def equal_minima(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many minima agree in rows of two signatures."""
+    x = a ^ b
+    return ((x >> SIGNATURE_BITS) == 0).sum(-1) + ((x & ((1 << SIGNATURE_BITS) - 1)) == 0).sum(-1)
+
+
+def enough(n: int, percent: int) -> float:
+    """Minima out of n that agree in nearly all pairs at the bound, chance agreement of so few bits included."""
+    q = percent / 100 + (1 - percent / 100) / (1 << SIGNATURE_BITS)
+    return n * q - DEVIATIONS * (n * q * (1 - q)) ** 0.5
+
+
 def _describe(width: int, rows: int):
+    names = ["doc_id", "n_shingles", "n_bytes", "k1", "k2", "bands", "signature"]
+
     def run(batches):
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             for a in range(0, len(texts), 1000):
                 sets = shingle_sets(texts[a : a + 1000], width)
                 full = [i for i, s in enumerate(sets) if len(s)]
-                keys = np.zeros((len(sets), BANDS), np.int64)
+                n = len(sets)
+                bands, signatures = [None] * n, [None] * n
                 if full:
-                    keys[full] = band_keys(minima([sets[i] for i in full], rows))
+                    m = minima([sets[i] for i in full], rows)
+                    for i, key, own in zip(full, band_keys(m), signature(m), strict=True):
+                        bands[i], signatures[i] = key.tobytes(), own.tobytes()
                 k1 = [set_key(s) if len(s) else None for s in sets]
-                k2 = [int(mix(s + np.uint64(77)).sum()) if len(s) else None for s in sets]
-                bands = [keys[i].tobytes() if len(s) else None for i, s in enumerate(sets)]
-                n = len(sets)
-                yield pa.record_batch(
-                    [batch.column("doc_id").slice(a, n), pa.array([len(s) for s in sets], pa.int64()), pa.array([len(t) for t in texts[a : a + 1000]], pa.int64()), pa.array(k1, pa.int64()), pa.array([None if x is None else x - (1 << 63) for x in k2], pa.int64()), pa.array(bands, pa.binary())],
-                    names=["doc_id", "n_shingles", "n_bytes", "k1", "k2", "bands"],
-                )
+                k2 = [int(mix(s + np.uint64(77)).sum()) - (1 << 63) if len(s) else None for s in sets]
+                cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([len(t) for t in texts[a : a + 1000]], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.binary()), pa.array(signatures, pa.binary())]
+                yield pa.record_batch([batch.column("doc_id").slice(a, n), *cols], names=names)
+
+    return run
+
+
+def _matrix(column) -> np.ndarray:
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+
+
+def _judge(percent: int):
+    """Pairs (u, v) with both signatures: whether they may reach the bound."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = _matrix(batch.column("su")), _matrix(batch.column("sv"))
+                near = equal_minima(a, b) >= enough(2 * a.shape[1], percent)
+                yield pa.record_batch([batch.column("u"), batch.column("v"), pa.array(near)], names=["u", "v", "near"])
+
+    return run
+
+
+def likely(sigs: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join what all pairs of signatures that may reach the bound join; sides as in linked."""
+    forest, out, least = Forest(len(sigs)), [], enough(2 * sigs.shape[1], percent)
+    for i in range(len(sigs) - 1):
+        js = np.arange(i + 1, len(sigs))
+        js = js[(side[js] != side[i]) | (side[js] == 2)]
+        if len(js) > 64:
+            js = js[forest.roots()[js] != forest.root(i)]
+        for j in js[equal_minima(sigs[js], sigs[i]) >= least].tolist():
+            if (r := forest.root(j)) != (s := forest.root(i)):
+                forest.up[max(r, s)] = min(r, s)
+                out.append((i, j))
+    return out
+
+
+def _likely(percent: int):
+    def run(key, table):
+        ids, bucket, side = (table.column(c).to_numpy() for c in ("doc_id", "key", "side"))
+        sigs = _matrix(table.column("signature"))
+        order = np.argsort(bucket, kind="stable")
+        bounds = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]))
+        pairs = [(ids[rows[i]], ids[rows[j]]) for rows in (order[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)) for i, j in likely(sigs[rows], side[rows], percent)]
+        return pa.table({"u": pa.array([u for u, _ in pairs], pa.int64()), "v": pa.array([v for _, v in pairs], pa.int64())})
 
     return run
 
@@ -197,16 +264,60 @@ def _verify(width: int, percent: int):
     return run
 
 
+def _units(rows: DataFrame, group: str, parts, units: int) -> DataFrame:
+    """rows with unit and side: small groups share `units` units; a group of several parts is dealt to these, of which each two meet."""
+    own = rows.withColumn("_parts", parts.cast("int")).withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int"))
+    small = F.array(F.struct(F.concat(F.lit("f"), F.pmod(F.xxhash64(group), F.lit(units)).cast("string")).alias("unit"), F.lit(2).alias("side")))
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("_parts") - 1),
+        lambda o: F.struct(
+            F.concat_ws(":", F.col(group).cast("string"), F.least("_own", o).cast("string"), F.greatest("_own", o).cast("string")).alias("unit"),
+            F.when(F.col("_own") == o, 2).when(F.col("_own") < o, 0).otherwise(1).alias("side"),
+        ),
+    )
+    return own.withColumn("in", F.when(F.col("_parts") == 1, small).otherwise(meets)).drop("_parts", "_own")
+
+
+def candidates(classes: DataFrame, percent: int, units: int, scratch: Scratch) -> DataFrame:
+    """Links (u, v) between classes (rep, bands, signature) that share a band and whose signatures may reach the bound.
+
+    They join what all such pairs join. In each band's bucket all members are held against the least one; where some
+    fail, the bucket's signatures are compared by themselves, large buckets in blocks of which each two meet. So
+    texts that only meet by a band, as very many do in a large collection, do not end up in one family.
+    """
+    keyed = classes.select("rep", "bands").withColumnRenamed("rep", "doc_id").mapInArrow(_unpack, "key long, doc_id long")
+    keyed = scratch.table(keyed, "keys", "lz4")
+    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    met = scratch.table(salted_join(keyed, shared, ["key"], ["doc_id"]), "met", "lz4")
+    scratch.drop(keyed)
+    pairs = met.where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v")).distinct()
+    known = classes.select(F.col("rep").alias("u"), F.col("signature").alias("su"))
+    both = salted_join(pairs.join(known, "u"), known.withColumnsRenamed({"u": "v", "su": "sv"}), ["v"], ["u"])
+    judged = scratch.table(both.select("u", "v", "su", "sv").mapInArrow(_judge(percent), "u long, v long, near boolean"), "judged")
+    far = judged.where("not near").select(F.col("u").alias("doc_id"), F.col("v").alias("first"))
+    mixed = met.join(far, ["doc_id", "first"]).select("key").distinct()
+    rest = salted_join(met.select("key", "doc_id"), mixed, ["key"], ["doc_id"])
+    rest = scratch.table(rest.join(known.withColumnsRenamed({"u": "doc_id", "su": "signature"}), "doc_id"), "mixed", "lz4")
+    sizes = rest.groupBy("key").agg(F.count("*").alias("n"))
+    dealt = _units(salted_join(rest, sizes, ["key"], ["doc_id"]), "key", F.ceil(F.col("n") / BLOCK_ROWS), units)
+    work = dealt.select("key", "doc_id", "signature", F.explode("in").alias("m")).select("key", "doc_id", "signature", "m.unit", "m.side")
+    links = work.groupBy("unit").applyInArrow(_likely(percent), "u long, v long")
+    out = scratch.table(judged.where("near").select("u", "v").unionByName(links), "candidates")
+    for t in (met, judged, rest):
+        scratch.drop(t)
+    return out
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row.
 
     Words are runs of non-space bytes, A-Z read as a-z; a text's set is its distinct `width`-word
     shingles, the whole for fewer words. Rows link where 100 * shared >= percent * united.
 
-    Rows of equal sets are one class, so copies are compared once. Classes that share a band make up a
-    family (components of stars, not of pairs). Each family is verified by signature, then by full sets;
-    small families share a unit of work, and a family beyond a unit's bounds is dealt to blocks, of which
-    each two meet in a unit: work and memory of a task stay bounded and no link is left out. Verified
+    Rows of equal sets are one class, so copies are compared once. Classes that share a band are candidates if their
+    signatures allow for the bound; candidates make up families (components, not all pairs). Each family is verified
+    on full sets; small families share a unit of work, and a family beyond a unit's bounds is dealt to blocks, of
+    which each two meet in a unit: work and memory of a task stay bounded and no link is left out. Verified
     links go to large-star and small-star again.
 
     Null or wordless text: no shingles, linked with nothing. Rows are nodes: those of one id may lie
@@ -215,31 +326,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     given = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    described = scratch.table(given.mapInArrow(_describe(width, rows_for(percent)), "doc_id long, n_shingles long, n_bytes long, k1 long, k2 long, bands binary"), "described")
+    described = scratch.table(given.mapInArrow(_describe(width, rows_for(percent)), "doc_id long, n_shingles long, n_bytes long, k1 long, k2 long, bands binary, signature binary"), "described")
     named = described.where("doc_id is not null and k1 is not null")
-    classes = scratch.table(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.max("n_bytes").alias("n_bytes")), "classes")
-
-    keyed = classes.select("rep", "bands").withColumnRenamed("rep", "doc_id").mapInArrow(_unpack, "key long, doc_id long")
-    keyed = scratch.table(keyed, "keys", "lz4")
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    stars = keyed.join(shared, "key").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v")).distinct()
-    families = scratch.table(components(stars, scratch), "families")
-    scratch.drop(keyed)
-
-    sized = families.join(classes.select(F.col("rep").alias("id"), "n_bytes", "k1"), "id")
-    totals = sized.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n_bytes").alias("bytes"))
-    parts = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    of_any = [F.first(c).alias(c) for c in ("bands", "signature")]
+    classes = scratch.table(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), *of_any, F.max("n_bytes").alias("n_bytes")), "classes")
     units = max(16, plan_bytes(docs) // UNIT_BYTES)
-    dealt = sized.join(totals.withColumn("parts", parts), "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    small = F.array(F.struct(F.concat(F.lit("f"), F.pmod(F.xxhash64("component"), F.lit(units)).cast("string")).alias("unit"), F.lit(2).alias("side")))
-    meets = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda o: F.struct(
-            F.concat_ws(":", F.col("component").cast("string"), F.least("own", o).cast("string"), F.greatest("own", o).cast("string")).alias("unit"),
-            F.when(F.col("own") == o, 2).when(F.col("own") < o, 0).otherwise(1).alias("side"),
-        ),
-    )
-    members = dealt.select(F.col("id").alias("doc_id"), F.col("component").alias("family"), "k1", F.when(F.col("parts") == 1, small).otherwise(meets).alias("in"))
+    families = scratch.table(components(candidates(classes, percent, units, scratch), scratch), "families")
+
+    sized = families.join(classes.select(F.col("rep").alias("id"), "n_bytes", "k1"), "id").withColumnsRenamed({"id": "doc_id", "component": "family"})
+    totals = sized.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n_bytes").alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES))
+    members = _units(salted_join(sized, totals, ["family"], ["doc_id"]), "family", parts, units).select("doc_id", "family", "k1", "in")
     texts = scratch.table(given.join(members, "doc_id"), "members")
     work = texts.select("doc_id", "family", "k1", "text", F.explode("in").alias("m")).select("doc_id", "family", "k1", "text", "m.unit", "m.side")
     links = work.groupBy("unit").applyInArrow(_verify(width, percent), "u long, v long")

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -140,3 +141,59 @@ def test_components_of_paths_stars_and_loops(spark):
     rng.shuffle(edges)
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {300: 300, 301: 300}
+
+
+@pytest.mark.parametrize(("percent", "rows"), [(85, 6), (80, 5)])
+def test_signatures_keep_pairs_at_the_bound_and_stop_those_that_share_half(percent, rows):
+    rng = np.random.default_rng(9)
+    n = 1000
+
+    def pair(share: float):
+        common = int(n * share)
+        x = rng.integers(0, 1 << 63, 2 * n - common, dtype=np.uint64)
+        return x[:n], x[n - common :] if common else x[n:]
+
+    def passes(jaccard: float, trials: int) -> float:
+        share = 2 * jaccard / (1 + jaccard)
+        sets = [np.unique(s) for _ in range(trials) for s in pair(share)]
+        sigs = minhash.signature(minima(sets, rows))
+        return float((minhash.equal_minima(sigs[0::2], sigs[1::2]) >= minhash.enough(2 * sigs.shape[1], percent)).mean())
+
+    assert passes(percent / 100, 300) == 1.0 and passes(0.95, 100) == 1.0
+    assert passes(0.5, 300) <= 0.02
+
+
+@pytest.mark.parametrize("sides", ["one", "two"])
+def test_likely_spans_what_all_likely_pairs_span(sides):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, (12, 96), dtype=np.uint8)
+    sigs = np.concatenate([np.where(rng.random((9, 96)) < rng.choice([0.02, 0.1, 0.2]), rng.integers(0, 256, (9, 96), dtype=np.uint8), b) for b in base])
+    side = np.full(len(sigs), 2) if sides == "one" else rng.integers(0, 2, len(sigs))
+    up, want = list(range(len(sigs))), list(range(len(sigs)))
+
+    def join(m, i, j):
+        a, b = m[i], m[j]
+        return [min(a, b) if x in (a, b) else x for x in m]
+
+    for i, j in minhash.likely(sigs, side, 85):
+        up = join(up, i, j)
+    for i in range(len(sigs)):
+        for j in range(i):
+            if (side[i] != side[j] or side[i] == 2) and minhash.equal_minima(sigs[i], sigs[j]) >= minhash.enough(192, 85):
+                want = join(want, i, j)
+    assert up == want and len(set(want)) < len(sigs) - 20
+
+
+def test_bands_alone_make_no_family(spark):
+    """Texts that share about half of their shingles meet by some band, and are no candidates."""
+    rng = random.Random(6)
+    half = [f"h{k}" for k in range(70)]
+    rows = [(i, " ".join(half + [f"w{i}x{rng.randrange(10**6)}" for _ in range(35)]), "en", "a", 1) for i in range(300)]
+    sets = shingle_sets([r[1].encode() for r in rows], 3)
+    m = minima(sets)
+    schema = "rep long, bands binary, signature binary"
+    classes = spark.createDataFrame([(r[0], k.tobytes(), s.tobytes()) for r, k, s in zip(rows, minhash.band_keys(m), minhash.signature(m), strict=True)], schema)
+    scratch = Scratch(spark, "t")
+    keys = Counter(int(k) for row in minhash.band_keys(m) for k in row)
+    assert sum(n > 1 for n in keys.values()) > 20
+    assert minhash.candidates(classes, 85, 16, scratch).count() <= 30
