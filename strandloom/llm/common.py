@@ -16,7 +16,7 @@ __all__ = ["CLEANUP", "ROWS_PER_SALT", "Scratch", "let", "offsets", "plan_bytes"
 #: Spark's switch that drops a query's shuffle files as soon as the query is over.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows that one sub-group of a salted rank holds on average.
-ROWS_PER_SALT = 500
+ROWS_PER_SALT = 64
 #: Salts that a window over sub-groups' counts holds at most.
 FAN = 4096
 

@@ -6,8 +6,9 @@ token both times, while about one byte in fourteen starts a token. Tokens whose
 has are dropped first, by hashes alone. The suffixes that are left, with the bytes before them that a
 string may reach back to, are range-partitioned by sampled splitters over the leading gram; every bucket
 sorts by multikey quicksort on eight-byte symbols and compares its strings. Bucket bounds never split a
-gram, so strings on the two sides of a bound differ; a gram of very many documents is dealt by its
-whole strings instead.
+gram, so strings on the two sides of a bound differ. A gram of many documents is dealt by its whole
+strings instead: a chunk asks once for each of these, with its least document, and is told the least of all,
+so occurrences of a frequent string never meet in a task.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ PLACE = 21
 BUCKET_GRAMS, BUCKET_SUFFIXES = 1_000_000, 100_000
 #: Grams that splitters are taken from, at most about.
 SAMPLE = 100_000
+#: Rows that are sorted without parting them first.
+SMALL = 4096
+#: Documents of one gram beyond which its strings are dealt out one by one, and tokens of these that are looked at together.
+HOT, HOT_TOKENS = 4096, 20_000
 
 _rng = np.random.default_rng(99)
 _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,28 +96,49 @@ def symbols(rows: np.ndarray) -> np.ndarray:
     return wide.view(">u8").astype(np.uint64)
 
 
-def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of rows of symbols, and a flag where a row differs from the one before it.
-
-    Rows are parted by one symbol; only those that tie go on to the next.
-    """
-    n = len(rows)
-    order = np.argsort(rows[:, 0], kind="stable")
-    s = rows[order, 0]
+def _by_symbols(rows: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """A few rows in order from symbol k on: sorted by one symbol, then those that tie by the next."""
+    own = own[np.argsort(rows[own, k], kind="stable")]
+    s = rows[own, k]
     new = np.concatenate(([True], s[1:] != s[:-1]))
-    for k in range(1, rows.shape[1]):
+    for j in range(k + 1, rows.shape[1]):
         tied = ~new
         tied[:-1] |= ~new[1:]
         where = np.flatnonzero(tied)
         if not len(where):
             break
         part = np.cumsum(new)[where]
-        own = order[where]
-        sub = np.lexsort((rows[own, k], part))
-        order[where] = own[sub]
-        s, q = rows[order[where], k], part[sub]
+        some = own[where]
+        sub = np.lexsort((rows[some, j], part))
+        own[where] = some[sub]
+        s, q = rows[own[where], j], part[sub]
         new[where] |= np.concatenate(([True], (s[1:] != s[:-1]) | (q[1:] != q[:-1])))
-    return order, new if n else np.zeros(0, bool)
+    return own
+
+
+def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows of symbols, and a flag where a row differs from the one before it; equal rows keep their order.
+
+    Multikey quicksort: rows are parted three ways by one symbol, under, at and over a pivot; those at the pivot go on
+    to the next symbol. Parts of SMALL rows at most are sorted at once.
+    """
+    n, width = rows.shape
+    order = np.arange(n)
+    todo = [(0, n, 0)] if n else []
+    while todo:
+        a, b, k = todo.pop()
+        own = order[a:b]
+        if b - a <= SMALL:
+            order[a:b] = _by_symbols(rows, own, k)
+            continue
+        s = rows[own, k]
+        pivot = np.sort(s[:: len(s) // 63])[32]
+        under, over = s < pivot, s > pivot
+        low, high = a + int(under.sum()), b - int(over.sum())
+        order[a:b] = np.concatenate((own[under], own[~(under | over)], own[over]))
+        todo += [(x, y, j) for x, y, j in ((a, low, k), (low, high, k + 1), (high, b, k)) if y - x > 1 and j < width]
+    done = rows[order]
+    return order, np.concatenate((np.ones(min(n, 1), bool), (done[1:] != done[:-1]).any(1)))
 
 
 def least_of(rows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,12 +206,46 @@ def _shared(hot: int):
             at += len(g)
             if (keep := own > 1).any():
                 sample = text[keep[pick]]
-                out.append((chunk, int(keep.sum()), pack(gaps(g[keep]), (own[keep] > hot).astype(np.uint8)), sample.tobytes()))
-        return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "n": pa.array([x[1] for x in out], pa.int64()), "value": pa.array([x[2] for x in out], pa.binary()), "sample": pa.array([x[3] for x in out], pa.binary())})
+                is_hot = own[keep] > hot
+                out.append((chunk, int(keep.sum()), bool(is_hot.any()), pack(gaps(g[keep]), is_hot.astype(np.uint8)), sample.tobytes()))
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+        return pa.table({c: pa.array([x[i] for x in out], t) for i, (c, t) in enumerate(zip(("chunk", "n", "hot", "value", "sample"), types, strict=True))})
 
     return run
 
 
+def hot_strings(data: np.ndarray, span: int, buckets: int, lo: np.ndarray, hi: np.ndarray, who: np.ndarray):
+    """All strings that tokens of frequent grams own: part, bucket, distinct strings, and of each occurrence the string's
+    number, its place and its document. The same for the same chunk, whenever it is asked for."""
+    for part, a in enumerate(range(0, len(lo), HOT_TOKENS)):
+        low, high = lo[a : a + HOT_TOKENS], hi[a : a + HOT_TOKENS]
+        n = high - low + 1
+        start = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        own = np.repeat(who[a : a + HOT_TOKENS], n)
+        rows = np.lib.stride_tricks.sliding_window_view(data, span)[start]
+        mixed = np.zeros(len(rows), np.uint64)
+        for s in symbols(rows).T:
+            mixed = mix(mixed + s)
+        bucket = (mixed % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            some = order[x:y]
+            o, new = multikey_sort(symbols(rows[some]))
+            member = np.empty(len(some), np.int64)
+            member[o] = np.cumsum(new) - 1
+            yield part, int(bucket[some[0]]), rows[some][o[new]], member, start[some], own[some]
+
+
+def _shared_tokens(data: np.ndarray, bounds: np.ndarray, known: np.ndarray, span: int, grams: np.ndarray):
+    """Tokens of known documents whose grams are among grams (in order): place, first and last owned string, document, and the gram's number."""
+    p, lo, hi, h = tokens(data, bounds, span)
+    at = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
+    doc = np.searchsorted(bounds, p, side="right")
+    keep = (grams[at] == h) & (known[np.minimum(doc, len(known) - 1)] > 0)
+    return p[keep], lo[keep], hi[keep], doc[keep], at[keep]
+
+
 def _suffixes(span: int, splitters: list[bytes], hot_buckets: int):
     """Each chunk's shared tokens as suffixes for the buckets; equal ones of a chunk share their bytes."""
     back = span - GRAM
@@ -203,15 +263,8 @@ def _suffixes(span: int, splitters: list[bytes], hot_buckets: int):
             order = np.argsort(grams)
             grams, is_hot = grams[order], is_hot[order]
             bounds = np.cumsum(lengths)
-            p, lo, hi, h = tokens(data, bounds, span)
-            at = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
-            keep = grams[at] == h
-            hot = is_hot[at][keep]
-            p, lo, hi = p[keep], lo[keep], hi[keep]
-            doc = np.searchsorted(bounds, p, side="right")
-            named = known[doc] > 0
-            p, lo, hi, hot, doc = p[named], lo[named], hi[named], hot[named], doc[named]
-            ids_of = ids[doc]
+            p, lo, hi, doc, at = _shared_tokens(data, bounds, known, span, grams)
+            hot, ids_of = is_hot[at], ids[doc]
             views = np.lib.stride_tricks.sliding_window_view(np.concatenate((np.zeros(back, np.uint8), data, np.zeros(span, np.uint8))), back + span)
 
             def sent(kind, bucket, rows, lens, who, where):
@@ -240,30 +293,34 @@ def _suffixes(span: int, splitters: list[bytes], hot_buckets: int):
                     x = lead[tied]
                     bucket[tied] += (x[:, 0] == k[0]) & ((x[:, 1] > k[1]) | ((x[:, 1] == k[1]) & (x[:, 2] >= k[2])))
                 sent("s", bucket, rows, lens, ids_of[c], p[c])
-            warm = np.flatnonzero(hot)
-            for a in range(0, len(warm), 20_000):
-                c = warm[a : a + 20_000]
-                n = hi[c] - lo[c] + 1
-                start = np.repeat(lo[c], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                rows = np.lib.stride_tricks.sliding_window_view(data, span)[start]
-                mixed = np.zeros(len(rows), np.uint64)
-                for s in symbols(rows).T:
-                    mixed = mix(mixed + s)
-                sent("w", (mixed % np.uint64(hot_buckets)).astype(np.int64), rows, np.zeros((len(rows), 0), np.uint8), np.repeat(ids_of[c], n), start)
+            for part, bucket, rows, member, _, who in hot_strings(data, span, hot_buckets, lo[hot], hi[hot], ids_of[hot]):
+                first = np.full(len(rows), np.iinfo(np.int64).max)
+                np.minimum.at(first, member, who)
+                out.append((f"w{bucket}", key[0].as_py(), pack(np.array([part, bucket]), rows, first)))
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.string()), "chunk": pa.array([x[1] for x in out], pa.int64()), "value": pa.array([x[2] for x in out], pa.binary())})
 
     return run
 
 
+def _tell_least(names: list, parts: list) -> pa.Table:
+    """Of strings of frequent grams, a chunk's once: to each chunk the least document of each."""
+    rows = np.concatenate([x[1] for x in parts])
+    _, least = least_of(rows, np.concatenate([x[2] for x in parts]))
+    ends = np.cumsum([len(x[1]) for x in parts])
+    out = [pack(x[0], least[e - len(x[1]) : e]) for x, e in zip(parts, ends, strict=True)]
+    return pa.table({"chunk": pa.array(names, pa.int64()), "kind": pa.array([3] * len(out), pa.int32()), "value": pa.array(out, pa.binary())})
+
+
 def _compare(span: int):
     """Of a bucket: the strings of each chunk that a document of a smaller id has, as places and lengths."""
     back = span - GRAM
 
     def run(key, table):
         lean_memory()
-        whole = key[0].as_py()[0] == "w"
         names = table.column("chunk").to_pylist()
         parts = [unpack(v) for v in table.column("value").to_pylist()]
+        if key[0].as_py()[0] == "w":
+            return _tell_least(names, parts)
         rows = np.concatenate([x[0] for x in parts])
         shift = np.cumsum([0, *[len(x[0]) for x in parts[:-1]]])
         member = np.concatenate([x[1].astype(np.int64) + s for x, s in zip(parts, shift, strict=True)])
@@ -274,54 +331,51 @@ def _compare(span: int):
         np.minimum.at(first, member, who)
         group, least = least_of(rows, first)
         later = who > least[member]
-        if whole:
-            found = [(owner[later], where[later], np.full(later.sum(), span))]
-        else:
-            far, near = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
-            longest, nearest = far[member], near[member]
-            found = [(owner[later], (where - longest)[later], (longest - nearest)[later] + span)]
-            # of the first document of each distinct context, single strings may have an earlier one
-            order, new = multikey_sort(symbols(rows[:, :GRAM]))
-            gram = np.empty(len(rows), np.int64)
-            gram[order] = np.cumsum(new) - 1
-            reps = np.flatnonzero(np.concatenate(([True], np.diff(np.sort(group)) > 0)))
-            rep = np.argsort(group, kind="stable")[reps]
-            many = np.bincount(gram[rep], minlength=gram.max() + 1) > 1
-            rep = rep[many[gram[rep]]]
-            if len(rep):
-                text = np.concatenate((rows[:, span : span + back][:, ::-1], rows[:, :span]), axis=1)
-                slot = np.full(len(rows), -1)
-                slot[group[rep]] = np.arange(len(rep))
-                has = np.zeros((len(rep), back + 1), bool)
-                for j in range(back + 1):
-                    own = np.flatnonzero((far[rep] >= j) & (near[rep] <= j))
-                    if len(own) > 1:
-                        _, early = least_of(text[rep[own], back - j : back - j + span], least[rep[own]])
-                        has[own, j] = early < least[rep[own]]
-                mine = np.flatnonzero(~later & (slot[group[member]] >= 0))
-                mine = mine[has[slot[group[member[mine]]]].any(1)]
-                for j in range(back + 1):
-                    # a run of strings j, j + 1, ... that ends here
-                    h = has[slot[group[member[mine]]]]
-                    end = h[:, j] & ~(h[:, j + 1] if j < back else np.zeros(len(mine), bool))
-                    own = mine[end]
-                    run_ = np.zeros(len(own), np.int64)
-                    alive = np.ones(len(own), bool)
-                    for i in range(j, -1, -1):
-                        alive &= h[end, i]
-                        run_ += alive
-                    found.append((owner[own], where[own] - j, run_ - 1 + span))
+        far, near = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
+        longest, nearest = far[member], near[member]
+        found = [(owner[later], (where - longest)[later], (longest - nearest)[later] + span)]
+        # of the first document of each distinct context, single strings may have an earlier one
+        order, new = multikey_sort(symbols(rows[:, :GRAM]))
+        gram = np.empty(len(rows), np.int64)
+        gram[order] = np.cumsum(new) - 1
+        reps = np.flatnonzero(np.concatenate(([True], np.diff(np.sort(group)) > 0)))
+        rep = np.argsort(group, kind="stable")[reps]
+        many = np.bincount(gram[rep], minlength=gram.max() + 1) > 1
+        rep = rep[many[gram[rep]]]
+        if len(rep):
+            text = np.concatenate((rows[:, span : span + back][:, ::-1], rows[:, :span]), axis=1)
+            slot = np.full(len(rows), -1)
+            slot[group[rep]] = np.arange(len(rep))
+            has = np.zeros((len(rep), back + 1), bool)
+            for j in range(back + 1):
+                own = np.flatnonzero((far[rep] >= j) & (near[rep] <= j))
+                if len(own) > 1:
+                    _, early = least_of(text[rep[own], back - j : back - j + span], least[rep[own]])
+                    has[own, j] = early < least[rep[own]]
+            mine = np.flatnonzero(~later & (slot[group[member]] >= 0))
+            mine = mine[has[slot[group[member[mine]]]].any(1)]
+            for j in range(back + 1):
+                # a run of strings j, j + 1, ... that ends here
+                h = has[slot[group[member[mine]]]]
+                end = h[:, j] & ~(h[:, j + 1] if j < back else np.zeros(len(mine), bool))
+                own = mine[end]
+                run_ = np.zeros(len(own), np.int64)
+                alive = np.ones(len(own), bool)
+                for i in range(j, -1, -1):
+                    alive &= h[end, i]
+                    run_ += alive
+                found.append((owner[own], where[own] - j, run_ - 1 + span))
         c, start, size = [np.concatenate(x) for x in zip(*found, strict=True)]
         order = np.lexsort((start, c))
         c, start, size = c[order], start[order], size[order]
         cut = np.append(np.flatnonzero(np.diff(c, prepend=-1)), len(c))
         out = [(names[c[a]], pack(gaps(start[a:b]), size[a:b].astype(np.uint16))) for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a]
-        return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "value": pa.array([x[1] for x in out], pa.binary())})
+        return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "kind": pa.array([1] * len(out), pa.int32()), "value": pa.array([x[1] for x in out], pa.binary())})
 
     return run
 
 
-def _remove(with_text: bool):
+def _remove(span: int, hot_buckets: int, with_text: bool):
     """Of a chunk: each document without the bytes that were found."""
 
     def run(key, table):
@@ -335,8 +389,17 @@ def _remove(with_text: bool):
                 start = np.cumsum(start)
                 np.add.at(mark, start, 1)
                 np.add.at(mark, start + size, -1)
-        gone = np.cumsum(mark[:-1], dtype=np.int32) > 0
         ends = np.cumsum(lengths)
+        told = {tuple(x[0].tolist()): x[1] for x in (unpack(v) for k, v in zip(kinds, values, strict=True) if k == 3)}
+        if told:  # strings of frequent grams, made again, with what their buckets say
+            shared = [unpack(v) for k, v in zip(kinds, values, strict=True) if k == 2]
+            grams = np.sort(np.concatenate([np.cumsum(x[0], dtype=np.uint64)[x[1] > 0] for x in shared]))
+            _, lo, hi, doc, _ = _shared_tokens(data, ends, known, span, grams)
+            for part, bucket, _, member, start, who in hot_strings(data, span, hot_buckets, lo, hi, ids[doc]):
+                start = start[who > told[part, bucket][member]]
+                np.add.at(mark, start, 1)
+                np.add.at(mark, start + span, -1)
+        gone = np.cumsum(mark[:-1], dtype=np.int32) > 0
         out = []
         for i, (a, b) in enumerate(zip(ends - lengths, ends, strict=True)):
             g = gone[a:b]
@@ -352,7 +415,7 @@ def _remove(with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = False, hot: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = False, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left) for each row.
 
     Removes each byte that a `span`-byte string covers which also starts in a row of a smaller id. Strings
@@ -372,7 +435,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = False, hot
     buckets = int(max(12, grams // BUCKET_GRAMS))
     rate = int(max(1, grams // SAMPLE))
     hashes = stored.mapInArrow(_hashes(span, buckets, rate), "bucket long, chunk long, value binary")
-    shared = scratch.table(hashes.groupBy("bucket").applyInArrow(_shared(hot), "chunk long, n long, value binary, sample binary"), "shared", "uncompressed")
+    shared = scratch.table(hashes.groupBy("bucket").applyInArrow(_shared(hot), "chunk long, n long, hot boolean, value binary, sample binary"), "shared", "uncompressed")
     found = shared.agg(F.sum("n")).first()[0] or 0
     # bounded: about SAMPLE grams of all chunks, fewer as only shared ones are kept
     sample = [s[i : i + GRAM] for (s,) in shared.where("length(sample) > 0").select("sample").collect() for i in range(0, len(s), GRAM)]
@@ -382,11 +445,12 @@ def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = False, hot
     blobs = stored.select("chunk", F.lit(0).alias("kind"), F.col("blob").alias("value"))
     asked = blobs.unionByName(shared.select("chunk", F.lit(1).alias("kind"), "value"))
     suffixes = asked.groupBy("chunk").applyInArrow(_suffixes(span, splitters, parts), "bucket string, chunk long, value binary")
-    spans = scratch.table(suffixes.groupBy("bucket").applyInArrow(_compare(span), "chunk long, value binary"), "spans", "uncompressed")
+    spans = scratch.table(suffixes.groupBy("bucket").applyInArrow(_compare(span), "chunk long, kind int, value binary"), "spans", "uncompressed")
+    frequent = scratch.table(shared.where("hot").select("chunk", F.lit(2).alias("kind"), "value"), "frequent", "uncompressed")
     scratch.drop(shared)
-    work = blobs.unionByName(spans.select("chunk", F.lit(1).alias("kind"), "value"))
+    work = blobs.unionByName(spans).unionByName(frequent)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return work.groupBy("chunk").applyInArrow(_remove(with_text), schema)
+    return work.groupBy("chunk").applyInArrow(_remove(span, parts, with_text), schema)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,3 +126,20 @@ def test_packing():
         assert a.dtype == b.dtype and a.shape == b.shape and (a == b).all()
     x = np.array([3, 9, 9, 40], np.uint64)
     assert (np.cumsum(gaps(x), dtype=np.uint64) == x).all()
+
+
+@pytest.mark.parametrize("kind", ["few", "many", "equal", "runs"])
+def test_multikey_quicksort_of_many_rows(kind):
+    rng = np.random.default_rng(2)
+    n = 3 * suffixes.SMALL + 77
+    rows = {
+        "few": rng.integers(0, 3, (n, 5)),
+        "many": rng.integers(0, 1 << 62, (n, 3)),
+        "equal": np.full((n, 4), 7),
+        "runs": np.repeat(rng.integers(0, 4, (n // 50 + 1, 6)), 50, axis=0)[:n],
+    }[kind].astype(np.uint64)
+    order, new = multikey_sort(rows)
+    want = np.lexsort(rows.T[::-1])
+    assert (order == want).all()
+    assert (new == np.concatenate(([True], (rows[want][1:] != rows[want][:-1]).any(1)))).all()
+    assert multikey_sort(rows[:0])[0].tolist() == []
