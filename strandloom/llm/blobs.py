@@ -50,36 +50,37 @@ def pack_bytes(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([len(v) for v in values], np.int64), np.frombuffer(b"".join(values), np.uint8)
 
 
-CHUNK_SCHEMA = "chunk long, ids array<bigint>, blob binary"
+CHUNK_SCHEMA = "chunk long, blob binary"
 
 
 def chunks(with_lang: bool = False, most: int = CHUNK):
-    """mapInArrow: rows (doc_id, text[, lang]) to chunks of about `most` bytes.
+    """mapInArrow: rows (doc_id, text[, lang, good]) to chunks of about `most` bytes.
 
-    blob packs ids, a flag for ids that are known, lengths, bytes[, lengths and bytes of languages].
+    blob packs ids, a flag for ids that are known, lengths, bytes[, lengths and bytes of languages, flags of good rows].
     """
 
     def run(batches):
         lean_memory()
         base, n = TaskContext.get().partitionId() << 32, 0
-        ids, texts, langs, size = [], [], [], 0
+        ids, texts, langs, flags, size = [], [], [], [], 0
 
         def made():
             known = np.array([i is not None for i in ids], np.uint8)
-            extra = pack_bytes(langs) if with_lang else ()
+            extra = (*pack_bytes(langs), np.array(flags, np.uint8)) if with_lang else ()
             blob = pack(np.array([i or 0 for i in ids], np.int64), known, *pack_bytes(texts), *extra, level=9)
-            return pa.record_batch([pa.array([base + n]), pa.array([ids], pa.list_(pa.int64())), pa.array([blob], pa.binary())], names=["chunk", "ids", "blob"])
+            return pa.record_batch([pa.array([base + n]), pa.array([blob], pa.binary())], names=["chunk", "blob"])
 
         for batch in batches:
-            lang = batch.column("lang").to_pylist() if with_lang else [None] * batch.num_rows
-            for i, t, g in zip(batch.column("doc_id").to_pylist(), batch.column("text"), lang, strict=True):
+            lang, good = (batch.column(c).to_pylist() for c in ("lang", "good")) if with_lang else ([None] * batch.num_rows,) * 2
+            for i, t, g, ok in zip(batch.column("doc_id").to_pylist(), batch.column("text"), lang, good, strict=True):
                 raw = t.as_buffer().to_pybytes() if t.is_valid else b""
                 if texts and size + len(raw) > most:
                     yield made()
-                    ids, texts, langs, size, n = [], [], [], 0, n + 1
+                    ids, texts, langs, flags, size, n = [], [], [], [], 0, n + 1
                 ids.append(i)
                 texts.append(raw)
                 langs.append((g or "").encode())
+                flags.append(bool(ok))
                 size += len(raw)
         if texts:
             yield made()

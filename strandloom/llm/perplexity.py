@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import CHUNK_SCHEMA, chunks, gaps, lean_memory, pack, unpack
-from .common import Scratch, plan_bytes, spread
+from .common import Scratch, plan_bytes, salted_join
 
 ORDER = 5
 #: Models that are made at a time, as their byte pairs pass through the driver; more languages take more rounds.
@@ -133,11 +133,6 @@ def _languages(raw_lengths: np.ndarray, raw: np.ndarray, names: dict[bytes, int]
     return np.array(out, np.int64)
 
 
-def _trusted(ids: np.ndarray, known: np.ndarray, table) -> np.ndarray:
-    good = [x for x in table.column("good").to_pylist() if x is not None]
-    return np.isin(ids, np.array(good[0], np.int64)) & (known > 0) if good else np.zeros(len(ids), bool)
-
-
 def _by_shard(keys: np.ndarray, shards: int):
     """Of distinct keys in order, for each shard: its number and which keys are its own."""
     shard = (_spread(keys) % np.uint64(shards)).astype(np.int64)
@@ -148,29 +143,31 @@ def _by_shard(keys: np.ndarray, shards: int):
 
 
 def _grams(names: dict[bytes, int], kinds: np.ndarray, shards: int, counts: bool):
-    """Of a chunk, for each shard: its distinct n-grams; with counts, those of trusted training rows and how often they are met."""
-
-    def run(key, table):
+    """Of each chunk, for each shard: its distinct n-grams; with counts, those of trusted training rows and how often they are met."""
+
+    def of(blob: bytes):
+        ids, known, lengths, data, a, b, good = unpack(blob)
+        found, times = [], []
+        for texts, sizes, lang, trains, _ in passes(ids, lengths, data, _languages(a, b, names), good > 0, kinds):
+            if counts:  # texts that train nothing are left out at once
+                texts, sizes, lang = texts[np.repeat(trains, sizes)], sizes[trains], lang[trains]
+            for keys, _ in key_tiles(texts, sizes, lang):
+                k, n = np.unique(keys, return_counts=True)
+                found.append(k)
+                times.append(n)
+        if not found:
+            return
+        distinct, back = np.unique(np.concatenate(found), return_inverse=True)
+        total = np.bincount(back, np.concatenate(times), minlength=len(distinct)).astype(np.uint32)
+        for shard, own in _by_shard(distinct, shards):
+            yield shard, pack(gaps(distinct[own]), total[own]) if counts else pack(gaps(distinct[own]))
+
+    def run(batches):
         lean_memory()
-        out = []
-        blobs = [b for b in table.column("blob").to_pylist() if b is not None]
-        if blobs:
-            ids, known, lengths, data, a, b = unpack(blobs[0])
-            found: list[np.ndarray] = []
-            times: list[np.ndarray] = []
-            for texts, sizes, lang, trains, _ in passes(ids, lengths, data, _languages(a, b, names), _trusted(ids, known, table), kinds):
-                if counts:  # texts that train nothing are left out at once
-                    texts, sizes, lang = texts[np.repeat(trains, sizes)], sizes[trains], lang[trains]
-                for keys, _ in key_tiles(texts, sizes, lang):
-                    k, n = np.unique(keys, return_counts=True)
-                    found.append(k)
-                    times.append(n)
-            if found:
-                distinct, back = np.unique(np.concatenate(found), return_inverse=True)
-                total = np.bincount(back, np.concatenate(times), minlength=len(distinct)).astype(np.uint32) if counts else None
-                for shard, own in _by_shard(distinct, shards):
-                    out.append((shard, key[0].as_py(), pack(gaps(distinct[own]), total[own]) if counts else pack(gaps(distinct[own]))))
-        return pa.table({"shard": pa.array([x[0] for x in out], pa.int64()), "chunk": pa.array([x[1] for x in out], pa.int64()), "value": pa.array([x[2] for x in out], pa.binary())})
+        for batch in batches:
+            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if rows := list(of(blob)):
+                    yield pa.record_batch([pa.array([x for x, _ in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()), pa.array([v for _, v in rows], pa.binary())], names=["shard", "chunk", "value"])
 
     return run
 
@@ -308,10 +305,10 @@ def _score(names: dict[bytes, int], kinds: np.ndarray):
     def run(key, table):
         lean_memory()
         values = [unpack(v) for v in table.column("value").to_pylist() if v is not None]
-        ids, known, lengths, data, a, b = unpack(next(x for x in table.column("blob").to_pylist() if x is not None))
+        ids, known, lengths, data, a, b, good = unpack(next(x for x in table.column("blob").to_pylist() if x is not None))
         lang = _languages(a, b, names)
         total, unseen = np.zeros(len(ids)), np.full(len(ids), np.nan)
-        trusted, use = _trusted(ids, known, table), lang >= 0
+        trusted, use = good > 0, lang >= 0
         if values and use.any():
             asked = np.concatenate([np.cumsum(v[0], dtype=np.uint64) for v in values])
             cost = np.concatenate([v[1] for v in values])
@@ -342,18 +339,17 @@ def _score(names: dict[bytes, int], kinds: np.ndarray):
 def _scored(scratch: Scratch, given: DataFrame, good: DataFrame, languages: list[tuple[str, int, int]], shards: int) -> DataFrame:
     """doc_id, model, n_bytes, nll, and unseen (nll by a model that did not see the row, of rows that set thresholds)."""
     names, kinds = slots(languages)
-    stored = scratch.table(spread(given).mapInArrow(chunks(True, CHUNK_BYTES), CHUNK_SCHEMA), "chunks", "uncompressed")
-    trusted = stored.select("chunk", F.explode("ids").alias("doc_id")).join(good, "doc_id", "left_semi").groupBy("chunk").agg(F.collect_list("doc_id").alias("good"))
-    trusted = scratch.table(trusted, "trusted")
-    blobs = stored.select("chunk", "blob", F.lit(None).cast("array<bigint>").alias("good"))
-    work = blobs.unionByName(trusted.select("chunk", F.lit(None).cast("binary").alias("blob"), "good"))
+    # rows of one id, however many, are dealt to sub-groups where they meet their label; rows without id meet none
+    known = salted_join(given.where("doc_id is not null"), good.withColumn("good", F.lit(True)), ["doc_id"], ["text"], how="left")
+    flagged = known.unionByName(given.where("doc_id is null").withColumn("good", F.lit(None).cast("boolean")))
+    stored = scratch.table(flagged.select("doc_id", "text", "lang", "good").mapInArrow(chunks(True, CHUNK_BYTES), CHUNK_SCHEMA), "chunks", "uncompressed")
     n = stored.count()
 
     def part(of: str, most: int, n: int):
         return F.pmod(F.xxhash64(of), F.lit(-(-n // most))).cast("long").alias("part")
 
     # counts are added up FAN at a time, so that no task holds all chunks' counts of a shard, however frequent its n-grams
-    counts = work.groupBy("chunk").applyInArrow(_grams(names, kinds, shards, True), "shard long, chunk long, value binary").select("shard", part("chunk", FAN, max(1, n)), "value")
+    counts = stored.mapInArrow(_grams(names, kinds, shards, True), "shard long, chunk long, value binary").select("shard", part("chunk", FAN, max(1, n)), "value")
     left = max(1, -(-n // FAN))
     while True:
         counts = counts.groupBy("shard", "part").applyInArrow(_fold, "shard long, part long, value binary")
@@ -366,12 +362,12 @@ def _scored(scratch: Scratch, given: DataFrame, good: DataFrame, languages: list
     shared = model.mapInArrow(_shared, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     p2, d = low_orders([(r["k"], r["n"]) for r in shared.collect()], len(kinds))
     # a shard answers ASKING chunks in a task, and as many tasks get its model as its chunks need
-    asked = work.groupBy("chunk").applyInArrow(_grams(names, kinds, shards, False), "shard long, chunk long, value binary")
+    asked = stored.mapInArrow(_grams(names, kinds, shards, False), "shard long, chunk long, value binary")
     asked = asked.select("shard", part("chunk", ASKING, max(1, n)), "chunk", "value")
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, -(-n // ASKING)) - 1).cast("long")))
     told = model.select("shard", everywhere.alias("part"), F.lit(None).cast("long").alias("chunk"), "value")
     answers = asked.unionByName(told).groupBy("shard", "part").applyInArrow(_answer(p2, d), "chunk long, value binary")
-    again = work.withColumn("value", F.lit(None).cast("binary")).unionByName(answers, allowMissingColumns=True)
+    again = stored.withColumn("value", F.lit(None).cast("binary")).unionByName(answers, allowMissingColumns=True)
     out = scratch.table(again.groupBy("chunk").applyInArrow(_score(names, kinds), "doc_id long, model string, n_bytes long, nll double, unseen double"), "scored")
     scratch.drop(model)
     return out

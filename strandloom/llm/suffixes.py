@@ -429,7 +429,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = False, hot
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     given = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    stored = scratch.table(given.mapInArrow(chunks(most=CHUNK_BYTES), CHUNK_SCHEMA).drop("ids"), "chunks", "uncompressed")
+    stored = scratch.table(given.mapInArrow(chunks(most=CHUNK_BYTES), CHUNK_SCHEMA), "chunks", "uncompressed")
     size = 3 * plan_bytes(docs)
     grams = size * 2 // (span - GRAM + 2)
     buckets = int(max(12, grams // BUCKET_GRAMS))
