@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.bases import key_kmer
 from ..functions.masks import Mask
 from .layout import spread
+from .reference import CHUNK, is_chunked
 from .seeds import TILE, _CODE, keys_at
 
 LARGEST = 4294967295
@@ -67,9 +68,11 @@ def kmer_frequencies(seqs: DataFrame, mask: Mask, fold_a: bool = True) -> DataFr
     """(key, kmer, freq): how often each key is met, over every window and its reverse complement.
 
     Windows with other letters than bases count nothing, and none crosses sequences. Counts stop at
-    2^32 - 1. fold_a False: a lower-case a is no base, all other lower-case letters are.
+    2^32 - 1. fold_a False: a lower-case a is no base, all other lower-case letters are. seqs: whole sequences, or
+    chunks of them (operators.reference), each of which counts the windows that it owns.
     """
-    counted = spread(seqs.select("seq")).mapInArrow(_count(mask, fold_a), "key long, n long")
+    seq = F.substring("seq", 1, CHUNK + mask.span - 1).alias("seq") if is_chunked(seqs) else F.col("seq")
+    counted = spread(seqs.select(seq)).mapInArrow(_count(mask, fold_a), "key long, n long")
     freq = counted.groupBy("key").agg(F.least(F.sum("n"), F.lit(LARGEST)).alias("freq"))
     return freq.select("key", key_kmer("key", mask.weight).alias("kmer"), "freq")
 

@@ -116,15 +116,13 @@ def position_keys(seqs: DataFrame, mask: Mask, id_col: str = "ref_idx", presence
     return given.mapInArrow(_scan(mask, id_col, step, presence, skip_zero, in_chunks), f"{id_col} long, pos long, key long")
 
 
-def presence_map(keys: DataFrame, mask: Mask) -> bytes | None:
-    """A bit for each key of keys, or None for patterns whose map would pass 2 MB.
+def bit_map(values: DataFrame, bits: int) -> bytes:
+    """A bit for each number of the one column of values, which are under `bits`.
 
-    Bits are or-ed in Spark by segments; the driver gets 64 KB segments, 32 of them at most.
+    Bits are or-ed in Spark by segments; the driver gets segments of 64 KB, as many as `bits` take.
     """
-    if mask.weight > MAP_WEIGHT:
-        return None
-    size = max(1, 4**mask.weight // 8)
-    words = keys.select((F.col("key") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, CAST(key % 64 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    (col,) = values.columns
+    words = values.select((F.col(col) / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, CAST(`{col}` % 64 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
 
     def fill(key, table):
         out = np.zeros(8192, np.int64)
@@ -133,12 +131,17 @@ def presence_map(keys: DataFrame, mask: Mask) -> bytes | None:
         return pa.table({"s": pa.array([int(w[0] // 8192)]), "bytes": pa.array([out.tobytes()], pa.binary())})
 
     parts = words.withColumn("s", (F.col("w") / 8192).cast("long")).groupBy("s").applyInArrow(fill, "s long, bytes binary").collect()
-    out = bytearray(max(size, 65536) if size < 65536 else size)
+    out = bytearray(max(65536, bits // 8))
     for r in parts:
         out[r["s"] * 65536 : r["s"] * 65536 + 65536] = r["bytes"]
     return bytes(out)
 
 
+def presence_map(keys: DataFrame, mask: Mask) -> bytes | None:
+    """A bit for each key of keys, or None for patterns whose map would pass 2 MB."""
+    return bit_map(keys.select("key"), 4**mask.weight) if mask.weight <= MAP_WEIGHT else None
+
+
 def seed_order() -> Column:
     return F.struct(F.col("read_id"), F.col("strand"), F.col("voff"))
 

@@ -23,13 +23,16 @@ def aligned_bases(mappings: DataFrame) -> DataFrame:
 
     mappings: with query, template, a_start and ablocks.
     """
-    per = mappings.select("read_id", "ref_idx", "a_start", "query", "template", F.explode("ablocks").alias("b"))
-    rows = per.select("read_id", "ref_idx", "a_start", "query", "template", F.explode(F.transform(F.sequence(F.lit(0), F.col("b.size") - 1), lambda i: F.struct((F.col("b.v") + i).alias("v"), (F.col("b.h") + i).alias("h")))).alias("p"))
     at = lambda c, p, n=1: F.substr(F.col(c), p + n, F.lit(1))
-    v, h = F.col("p.v"), F.col("p.h")
-    return rows.select(
-        "read_id", "ref_idx", v.alias("read_pos"), (F.col("a_start") + h).alias("pos"), at("query", v).alias("base"), at("template", h).alias("ref_base"), at("template", h, 2).alias("next1"), at("template", h, 3).alias("next2")
-    )
+
+    def base(v, h):
+        letters = {"base": at("query", v), "ref_base": at("template", h), "next1": at("template", h, 2), "next2": at("template", h, 3)}
+        return F.struct(v.alias("read_pos"), (F.col("a_start") + h).alias("pos"), *[c.alias(n) for n, c in letters.items()])
+
+    # letters are taken before rows are made, so that no row carries sequences
+    letters = F.transform("ablocks", lambda b: F.transform(F.sequence(F.lit(0), b["size"] - 1), lambda i: base(b["v"] + i, b["h"] + i)))
+    rows = mappings.select("read_id", "ref_idx", F.explode(F.flatten(letters)).alias("p"))
+    return rows.select("read_id", "ref_idx", "p.*")
 
 
 def call_variants(mappings: DataFrame, bisulfite: bool = False) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.masks import Mask, parse_mask
 from ..operators import alignment, chains, pairs, reference, sam, seeds, selection
+from ..operators.scratch import Scratch
 
 
 @dataclass(frozen=True)
@@ -48,17 +50,21 @@ class Mapping:
         self.ignore, self.places = ignore, places
         self.d = int(pairs.diagonals(self.reads).first()["d"])
 
+    @cached_property
     def _seeds(self) -> tuple[DataFrame, DataFrame]:
+        """The reads' seeds, and the keys that stay; both are written, as counts, the scan's map and the join read them."""
+        scratch = Scratch(self.reads.sparkSession, "mapping")
         own = seeds.read_seeds(self.reads, self.mask, self.options.sensitivity, self.options.bisulfite, self.ignore)
-        counts = seeds.seed_counts(own)
+        own = scratch.table(own, "seeds")
+        counts = scratch.table(seeds.seed_counts(own), "counts")
         return own, seeds.kept_keys(counts, seeds.frequency_threshold(counts, self.options.kept))
 
     def seeds(self) -> DataFrame:
         """Seeds whose keys are neither ignored nor too frequent."""
-        return seeds.prune_seeds(*self._seeds())
+        return seeds.prune_seeds(*self._seeds)
 
     def pairs(self) -> DataFrame:
-        own, kept = self._seeds()
+        own, kept = self._seeds
         places = self.places if self.places is not None else seeds.position_keys(self.refs, self.mask, presence=seeds.presence_map(kept, self.mask))
         if self.ignore is not None and self.options.bisulfite:  # expanded keys may be ignored ones
             places = places.join(self.ignore.select("key"), "key", "left_anti")

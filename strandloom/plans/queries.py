@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bases as B
 from ..functions.masks import STRIDES, Mask, parse_mask
-from ..operators import alignment, frequency, pairs, seeds, variants
+from ..operators import frequency, pairs, seeds, variants
 from ..sources.sequences import split_fastq
 from . import engine_sql
 from .mapper import Mapping, Options
@@ -130,10 +130,7 @@ def bisulfite_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _called(m: Mapping, bisulfite: bool) -> DataFrame:
-    keys = ["read_id", "strand", "ref_idx", "window", "run"]
-    kept = m.mappings()
-    cut = alignment.with_templates(kept, m.refs, m.reads).select(*keys, "query", "template")
-    return variants.call_variants(kept.join(cut, keys), bisulfite)
+    return variants.call_variants(m.with_templates(m.mappings()), bisulfite)
 
 
 def variant_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

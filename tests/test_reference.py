@@ -5,7 +5,7 @@ import random
 import pytest
 
 from strandloom.functions.masks import parse_mask
-from strandloom.operators import reference, seeds, variants
+from strandloom.operators import frequency, reference, seeds, variants
 from strandloom.operators.sam import sam_header
 from strandloom.sources.sequences import read_fasta, read_fasta_chunks
 
@@ -41,6 +41,11 @@ def test_places_of_chunks_are_those_of_contigs(refs, step):
     assert rows(keys(reference.doubled(reference.chunked(refs)))) == rows(keys(variants.doubled(refs)))
 
 
+def test_frequencies_of_chunks_are_those_of_contigs(refs):
+    rows = lambda df: sorted(tuple(r) for r in frequency.kmer_frequencies(df, MASK).collect())
+    assert rows(reference.chunked(refs)) == rows(refs)
+
+
 def test_fasta_by_chunks(spark, refs, tmp_path):
     rows = [r for r in refs.collect() if r["seq"]]
     with open(tmp_path / "a.fa", "w") as f:
