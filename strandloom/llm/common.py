@@ -2,69 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.layout import plan_bytes, spread
+from ..operators.scratch import CLEANUP, Scratch, shared_dir
 
 __all__ = ["CLEANUP", "ROWS_PER_SALT", "Scratch", "let", "offsets", "plan_bytes", "prefix_sums", "running", "salted_join", "salted_rank", "shared_dir", "spread"]
 
-#: Spark's switch that drops a query's shuffle files as soon as the query is over.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows that one sub-group of a salted rank holds on average.
 ROWS_PER_SALT = 64
 #: Salts that a window over sub-groups' counts holds at most.
 FAN = 4096
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else an own one where all run on this machine (tests)."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    own = spark.conf.get("spark.strandloom.scratch", None)
-    if not own:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        own = "file://" + tempfile.mkdtemp(prefix="strandloom-")
-        spark.conf.set("spark.strandloom.scratch", own)
-    return own
-
-
-class Scratch:
-    """Tables written to the shared folder, so that lineage is cut and lost executors cost nothing."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.top = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def path(self, name: str) -> str:
-        self.n += 1
-        return f"{self.top}/{self.n}-{name}"
-
-    def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """df as a Parquet table; the result keeps its path for drop()."""
-        path = self.path(name)
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
-        try:
-            df.write.option("compression", codec).parquet(path)
-        finally:
-            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def let(value: Column, then) -> Column:
     """then(value), with value computed once however often then names it."""
     return F.transform(F.array(value), then)[0]

@@ -21,6 +21,8 @@ SLACK = 0.15
 SIGNATURE_BITS, DEVIATIONS = 4, 5
 #: Texts and bytes that a unit of verification holds at most, on each of its two sides.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 12 << 20
+#: Signatures of a bucket on each side of a unit.
+SIGNATURE_ROWS = 2048
 #: Bytes of a table of bits that full sets of a block are compared by.
 BITS_BYTES = 48 << 20
 #: Bytes of small families that are verified in one go.
@@ -287,7 +289,7 @@ def candidates(classes: DataFrame, percent: int, units: int, scratch: Scratch) -
     """
     keyed = classes.select("rep", "bands").withColumnRenamed("rep", "doc_id").mapInArrow(_unpack, "key long, doc_id long")
     keyed = scratch.table(keyed, "keys", "lz4")
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
     met = scratch.table(salted_join(keyed, shared, ["key"], ["doc_id"]), "met", "lz4")
     scratch.drop(keyed)
     pairs = met.where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v")).distinct()
@@ -296,10 +298,9 @@ def candidates(classes: DataFrame, percent: int, units: int, scratch: Scratch) -
     judged = scratch.table(both.select("u", "v", "su", "sv").mapInArrow(_judge(percent), "u long, v long, near boolean"), "judged")
     far = judged.where("not near").select(F.col("u").alias("doc_id"), F.col("v").alias("first"))
     mixed = met.join(far, ["doc_id", "first"]).select("key").distinct()
-    rest = salted_join(met.select("key", "doc_id"), mixed, ["key"], ["doc_id"])
+    rest = salted_join(met.select("key", "doc_id", "n"), mixed, ["key"], ["doc_id"])
     rest = scratch.table(rest.join(known.withColumnsRenamed({"u": "doc_id", "su": "signature"}), "doc_id"), "mixed", "lz4")
-    sizes = rest.groupBy("key").agg(F.count("*").alias("n"))
-    dealt = _units(salted_join(rest, sizes, ["key"], ["doc_id"]), "key", F.ceil(F.col("n") / BLOCK_ROWS), units)
+    dealt = _units(rest, "key", F.ceil(F.col("n") / SIGNATURE_ROWS), units)
     work = dealt.select("key", "doc_id", "signature", F.explode("in").alias("m")).select("key", "doc_id", "signature", "m.unit", "m.side")
     links = work.groupBy("unit").applyInArrow(_likely(percent), "u long, v long")
     out = scratch.table(judged.where("near").select("u", "v").unionByName(links), "candidates")

@@ -68,6 +68,7 @@ def test_components_against_all_pairs(spark, width, percent):
 
 def test_families_beyond_a_unit_are_dealt_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(minhash, "SIGNATURE_ROWS", 8)
     rows = family(5, 90, 120)
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(documents(spark, rows), 3, 85).collect()}
     assert got == brute(rows, 3, 85)
