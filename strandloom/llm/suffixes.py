@@ -150,7 +150,7 @@ def least_of(rows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _hashes(span: int, buckets: int, rate: int):
-    """Each chunk's distinct grams by range of hash, with the number of its documents (255 at most), and sampled grams."""
+    """Each chunk's distinct grams by range of hash, with the number of its documents, and sampled grams."""
 
     def run(batches):
         lean_memory()
@@ -170,7 +170,7 @@ def _hashes(span: int, buckets: int, rate: int):
                 fresh = new | np.concatenate(([True], doc[1:] != doc[:-1]))
                 starts = np.flatnonzero(new)
                 grams, first = s[starts], p[order[starts]]
-                n_docs = np.minimum(np.add.reduceat(fresh.astype(np.int64), starts), 255).astype(np.uint8)
+                n_docs = np.add.reduceat(fresh.astype(np.int64), starts).astype(np.uint32)
                 bucket = ((grams >> np.uint64(11)) * np.uint64(buckets) >> np.uint64(53 - PLACE)).astype(np.int64)
                 cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets + 1))
                 rows = []
@@ -429,7 +429,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = False, hot
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     given = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    stored = scratch.table(given.mapInArrow(chunks(most=CHUNK_BYTES), CHUNK_SCHEMA), "chunks", "uncompressed")
+    stored = scratch.table(given.mapInArrow(chunks(most=CHUNK_BYTES), CHUNK_SCHEMA).drop("ids"), "chunks", "uncompressed")
     size = 3 * plan_bytes(docs)
     grams = size * 2 // (span - GRAM + 2)
     buckets = int(max(12, grams // BUCKET_GRAMS))
