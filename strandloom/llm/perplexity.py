@@ -147,30 +147,49 @@ def _by_shard(keys: np.ndarray, shards: int):
         yield int(shard[order[x]]), order[x:y]
 
 
-def _grams(names: dict[bytes, int], kinds: np.ndarray, shards: int, counts: bool):
-    """Of a chunk, for each shard: its distinct n-grams; with counts, those of trusted training rows and how often they are met."""
-
+def _rows(ids, lengths, data, lang, trusted, kinds, shards: int, counts: bool):
+    """Of a chunk, for each shard: its distinct n-grams; with counts, those of training rows and how often they are met."""
+    found, times = [], []
+    for texts, sizes, models, trains, _ in passes(ids, lengths, data, lang, trusted, kinds):
+        if counts:  # texts that train nothing are left out at once
+            texts, sizes, models = texts[np.repeat(trains, sizes)], sizes[trains], models[trains]
+        for keys, _ in key_tiles(texts, sizes, models):
+            k, n = np.unique(keys, return_counts=True)
+            found.append(k)
+            times.append(n)
+    if not found:
+        return []
+    distinct, back = np.unique(np.concatenate(found), return_inverse=True)
+    total = np.bincount(back, np.concatenate(times), minlength=len(distinct)).astype(np.uint32)
+    return [(shard, pack(gaps(distinct[own]), total[own]) if counts else pack(gaps(distinct[own]))) for shard, own in _by_shard(distinct, shards)]
+
+
+def _table(chunk: int, rows: list[tuple[int, bytes]]) -> dict:
+    return {"shard": pa.array([x for x, _ in rows], pa.int64()), "chunk": pa.array([chunk] * len(rows), pa.int64()), "value": pa.array([v for _, v in rows], pa.binary())}
+
+
+def _counted(names: dict[bytes, int], kinds: np.ndarray, shards: int):
     def run(key, table):
         lean_memory()
-        out = []
-        blobs = [b for b in table.column("blob").to_pylist() if b is not None]
-        if blobs:
-            ids, known, lengths, data, a, b = unpack(blobs[0])
-            found: list[np.ndarray] = []
-            times: list[np.ndarray] = []
-            for texts, sizes, lang, trains, _ in passes(ids, lengths, data, _languages(a, b, names), _trusted(ids, known, table), kinds):
-                if counts:  # texts that train nothing are left out at once
-                    texts, sizes, lang = texts[np.repeat(trains, sizes)], sizes[trains], lang[trains]
-                for keys, _ in key_tiles(texts, sizes, lang):
-                    k, n = np.unique(keys, return_counts=True)
-                    found.append(k)
-                    times.append(n)
-            if found:
-                distinct, back = np.unique(np.concatenate(found), return_inverse=True)
-                total = np.bincount(back, np.concatenate(times), minlength=len(distinct)).astype(np.uint32) if counts else None
-                for shard, own in _by_shard(distinct, shards):
-                    out.append((shard, key[0].as_py(), pack(gaps(distinct[own]), total[own]) if counts else pack(gaps(distinct[own]))))
-        return pa.table({"shard": pa.array([x[0] for x in out], pa.int64()), "chunk": pa.array([x[1] for x in out], pa.int64()), "value": pa.array([x[2] for x in out], pa.binary())})
+        rows = []
+        for blob in (b for b in table.column("blob").to_pylist() if b is not None):
+            ids, known, lengths, data, a, b = unpack(blob)
+            rows = _rows(ids, lengths, data, _languages(a, b, names), _trusted(ids, known, table), kinds, shards, True)
+        return pa.table(_table(key[0].as_py(), rows))
+
+    return run
+
+
+def _asked(names: dict[bytes, int], kinds: np.ndarray, shards: int):
+    """What chunks ask. Of languages with folds all rows ask the folds' models, as which are trusted is not known here."""
+
+    def run(batches):
+        lean_memory()
+        for batch in batches:
+            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                ids, known, lengths, data, a, b = unpack(blob)
+                rows = _rows(ids, lengths, data, _languages(a, b, names), np.ones(len(ids), bool), kinds, shards, False)
+                yield pa.RecordBatch.from_pydict(_table(chunk, rows))
 
     return run
 
@@ -353,7 +372,7 @@ def _scored(scratch: Scratch, given: DataFrame, good: DataFrame, languages: list
         return F.pmod(F.xxhash64(of), F.lit(-(-n // most))).cast("long").alias("part")
 
     # counts are added up FAN at a time, so that no task holds all chunks' counts of a shard, however frequent its n-grams
-    counts = work.groupBy("chunk").applyInArrow(_grams(names, kinds, shards, True), "shard long, chunk long, value binary").select("shard", part("chunk", FAN, max(1, n)), "value")
+    counts = work.groupBy("chunk").applyInArrow(_counted(names, kinds, shards), "shard long, chunk long, value binary").select("shard", part("chunk", FAN, max(1, n)), "value")
     left = max(1, -(-n // FAN))
     while True:
         counts = counts.groupBy("shard", "part").applyInArrow(_fold, "shard long, part long, value binary")
@@ -366,7 +385,7 @@ def _scored(scratch: Scratch, given: DataFrame, good: DataFrame, languages: list
     shared = model.mapInArrow(_shared, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     p2, d = low_orders([(r["k"], r["n"]) for r in shared.collect()], len(kinds))
     # a shard answers ASKING chunks in a task, and as many tasks get its model as its chunks need
-    asked = work.groupBy("chunk").applyInArrow(_grams(names, kinds, shards, False), "shard long, chunk long, value binary")
+    asked = stored.select("chunk", "blob").mapInArrow(_asked(names, kinds, shards), "shard long, chunk long, value binary")
     asked = asked.select("shard", part("chunk", ASKING, max(1, n)), "chunk", "value")
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, -(-n // ASKING)) - 1).cast("long")))
     told = model.select("shard", everywhere.alias("part"), F.lit(None).cast("long").alias("chunk"), "value")
