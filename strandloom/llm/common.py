@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.layout import plan_bytes, spread
 from ..operators.scratch import CLEANUP, Scratch, shared_dir
 
-__all__ = ["CLEANUP", "ROWS_PER_SALT", "Scratch", "let", "offsets", "plan_bytes", "prefix_sums", "running", "salted_join", "salted_rank", "shared_dir", "spread"]
+__all__ = ["CLEANUP", "ROWS_PER_SALT", "Scratch", "let", "offsets", "plan_bytes", "prefix_sums", "running", "salted_join", "salted_rank", "shared_dir", "split_join", "spread"]
 
 #: Rows that one sub-group of a salted rank holds on average.
 ROWS_PER_SALT = 64
@@ -84,11 +84,20 @@ def salted_rank(df: DataFrame, group: list[str], salts: Column, key: list[str],
 
 
 def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], by: list[str], salts: int = 64, how: str = "inner") -> DataFrame:
-    """rows joined with table, which has one row for a key at most, so that a key's rows are dealt to `salts` tasks.
+    """rows joined with table, which has few rows for a key, so that a key's rows are dealt to `salts` tasks.
 
-    by: columns of rows that tell a key's rows apart. table's row of a key goes to the sub-groups that exist,
+    by: columns of rows that tell a key's rows apart. table's rows of a key go to the sub-groups that exist,
     `salts` at most, and each of these is joined by itself. how: inner or left. Null keys match nothing.
     """
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)))
     told = dealt.select(*keys, "_salt").distinct().join(table, keys)
     return dealt.join(told, [*keys, "_salt"], how).drop("_salt")
+
+
+def split_join(scratch: Scratch, rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with table, which has one row for a key and is written first.
+
+    Both sides are then shuffled as they stand, so that Spark's own skew join (on by default) splits the rows of a
+    frequent key among tasks: fewer exchanges than salted_join takes, for joins that are made many times.
+    """
+    return rows.join(scratch.table(table, "joined", "lz4"), keys, how)

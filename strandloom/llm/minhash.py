@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, plan_bytes, salted_join, spread
+from .common import Scratch, plan_bytes, split_join, spread
 from .graph import components
 from .shingles import mix, shingle_sets
 
@@ -290,17 +290,17 @@ def candidates(classes: DataFrame, percent: int, units: int, scratch: Scratch) -
     keyed = classes.select("rep", "bands").withColumnRenamed("rep", "doc_id").mapInArrow(_unpack, "key long, doc_id long")
     keyed = scratch.table(keyed, "keys", "lz4")
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
-    met = scratch.table(salted_join(keyed, shared, ["key"], ["doc_id"]), "met", "lz4")
+    met = scratch.table(split_join(scratch, keyed, shared, ["key"]), "met", "lz4")
     scratch.drop(keyed)
     pairs = met.where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v")).distinct()
     known = classes.select(F.col("rep").alias("u"), F.col("signature").alias("su"))
-    both = salted_join(pairs.join(known, "u"), known.withColumnsRenamed({"u": "v", "su": "sv"}), ["v"], ["u"])
+    both = pairs.join(known, "u").join(known.withColumnsRenamed({"u": "v", "su": "sv"}), "v")
     judged = scratch.table(both.select("u", "v", "su", "sv").mapInArrow(_judge(percent), "u long, v long, near boolean"), "judged")
     far = judged.where("not near").select(F.col("u").alias("doc_id"), F.col("v").alias("first"))
     mixed = met.join(far, ["doc_id", "first"]).select("key").distinct()
-    rest = salted_join(met.select("key", "doc_id", "n"), mixed, ["key"], ["doc_id"])
+    rest = split_join(scratch, met.select("key", "doc_id", "n"), mixed, ["key"])
     rest = scratch.table(rest.join(known.withColumnsRenamed({"u": "doc_id", "su": "signature"}), "doc_id"), "mixed", "lz4")
-    dealt = _units(rest, "key", F.ceil(F.col("n") / SIGNATURE_ROWS), units)
+    dealt = _units(rest, "key", F.ceil(F.col("n") / SIGNATURE_ROWS), 16 * units)
     work = dealt.select("key", "doc_id", "signature", F.explode("in").alias("m")).select("key", "doc_id", "signature", "m.unit", "m.side")
     links = work.groupBy("unit").applyInArrow(_likely(percent), "u long, v long")
     out = scratch.table(judged.where("near").select("u", "v").unionByName(links), "candidates")
@@ -335,9 +335,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     families = scratch.table(components(candidates(classes, percent, units, scratch), scratch), "families")
 
     sized = families.join(classes.select(F.col("rep").alias("id"), "n_bytes", "k1"), "id").withColumnsRenamed({"id": "doc_id", "component": "family"})
+    sized = scratch.table(sized, "sized")
     totals = sized.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n_bytes").alias("bytes"))
     parts = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES))
-    members = _units(salted_join(sized, totals, ["family"], ["doc_id"]), "family", parts, units).select("doc_id", "family", "k1", "in")
+    members = _units(split_join(scratch, sized, totals, ["family"]), "family", parts, units).select("doc_id", "family", "k1", "in")
     texts = scratch.table(given.join(members, "doc_id"), "members")
     work = texts.select("doc_id", "family", "k1", "text", F.explode("in").alias("m")).select("doc_id", "family", "k1", "text", "m.unit", "m.side")
     links = work.groupBy("unit").applyInArrow(_verify(width, percent), "u long, v long")
@@ -346,7 +347,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     told = classes.select("k1", "k2", "rep").join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left")
     told = told.select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     rows = described.select("doc_id", "n_shingles", "k1", "k2")
-    linked = salted_join(rows.where("k1 is not null"), told, ["k1", "k2"], ["doc_id"], how="left").select("doc_id", "n_shingles", "component")
+    linked = split_join(scratch, rows.where("k1 is not null"), told, ["k1", "k2"], "left").select("doc_id", "n_shingles", "component")
     out = linked.unionByName(rows.where("k1 is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component")))
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))

@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from strandloom.llm.html import extract_text, parse, render, title_of
+from strandloom.llm.html import HIDDEN, extract_text, parse, render, title_of
 
 CASES = {
     "<p>One<p>two <b>bold</b> x": "One\n\ntwo bold x",
@@ -129,3 +129,42 @@ def took(make, n: int) -> float:
 )
 def test_twice_the_page_takes_no_more_than_about_twice_the_time(make):
     assert took(make, 40_000) < 2.5 * took(make, 20_000) + 0.05
+
+
+def test_words_of_real_pages_by_the_standard_parser(spark):
+    """All words that the standard library's parser meets outside of hidden elements, and no others, list marks aside."""
+    from html.parser import HTMLParser
+
+    from ..conftest import DATA
+
+    class Words(HTMLParser):
+        void = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+
+        def __init__(self):
+            super().__init__()
+            self.stack, self.words = [], []
+
+        def handle_starttag(self, tag, attrs):
+            attrs = dict(attrs)
+            style = (attrs.get("style") or "").replace(" ", "").lower()
+            off = tag in HIDDEN or "hidden" in attrs or "display:none" in style or "visibility:hidden" in style
+            if tag not in self.void:
+                self.stack.append((tag, off))
+
+        def handle_endtag(self, tag):
+            if any(t == tag for t, _ in self.stack):
+                while self.stack.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            if not any(off for _, off in self.stack):
+                self.words += data.split()
+
+    marks = re.compile(r"[-]|[0-9]+\.")
+    pages = [r["html"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+    for page in pages:
+        seen = Words()
+        seen.feed(page)
+        joined = lambda words: sorted("".join(w for w in words if not marks.fullmatch(w)))
+        assert joined(render(page).split()) == joined(seen.words)
+    assert len(pages) > 20
