@@ -22,6 +22,8 @@ ERROR_RATE = 0.08
 LEADS = (1, 2, 3, 4, 5, 6, 8, 11, 16)
 #: Bits of a map of pieces, at most, and bytes of items that share a map.
 MAP_BITS, BLOCK_BYTES = 1 << 27, 64 << 20
+#: Bits of a map for each piece, as long as it is no larger: nearly all texts without a piece then meet none.
+SPARSE = 1 << 14
 #: Items whose pieces a worker keeps.
 KEPT_ITEMS = 20_000
 
@@ -276,7 +278,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, bl
         known = own.agg(F.count("*").alias("n"), F.collect_set("width").alias("widths")).first()  # a width of LEADS
         if not known["n"]:
             continue
-        bits = min(MAP_BITS, max(1 << 19, 1 << (64 * known["n"]).bit_length()))
+        bits = min(MAP_BITS, max(1 << 19, 1 << (SPARSE * known["n"]).bit_length()))
         have = bit_map(own.select(F.col("gram").bitwiseAND(bits - 1).alias("slot")), bits)
         schema = "row long, doc_id long, text string, grams array<long>, spots array<long>"
         suspects = scratch.table(given.mapInArrow(_scan(have, sorted(known["widths"])), schema), "suspects")
