@@ -36,7 +36,7 @@ SAMPLE = 100_000
 #: Rows that are sorted without parting them first.
 SMALL = 4096
 #: Documents of one gram beyond which its strings are dealt out one by one, and tokens of these that are looked at together.
-HOT, HOT_TOKENS = 4096, 20_000
+HOT, HOT_TOKENS = 1024, 20_000
 
 _rng = np.random.default_rng(99)
 _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -440,7 +440,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, with_text: bool = False, hot
     # bounded: about SAMPLE grams of all chunks, fewer as only shared ones are kept
     sample = [s[i : i + GRAM] for (s,) in shared.where("length(sample) > 0").select("sample").collect() for i in range(0, len(s), GRAM)]
     sample.sort()
-    parts = int(max(12, found // BUCKET_SUFFIXES))
+    parts = int(max(64, found // BUCKET_SUFFIXES))
     splitters = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
     blobs = stored.select("chunk", F.lit(0).alias("kind"), F.col("blob").alias("value"))
     asked = blobs.unionByName(shared.select("chunk", F.lit(1).alias("kind"), "value"))
