@@ -336,7 +336,8 @@ class Page:
                 if p:
                     self.now.append(p)
             return
-        words = _SPACES.sub(" ", data)
+        # most texts have single spaces alone
+        words = _SPACES.sub(" ", data) if "\n" in data or "  " in data or "\t" in data or "\f" in data or "\r" in data else data
         if words[:1] == " ":
             self.space = True
             words = words[1:]

@@ -37,7 +37,7 @@ def record_id(*parts: str) -> str:
 
 def clean(value: str) -> str:
     """A header's value on one line."""
-    return re.sub(r"[\r\n\0]+", " ", value).strip()
+    return (re.sub(r"[\r\n\0]+", " ", value) if "\n" in value or "\r" in value or "\0" in value else value).strip()
 
 
 def make(headers: list[tuple[str, str]], block: bytes) -> bytes:
