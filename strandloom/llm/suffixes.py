@@ -36,7 +36,7 @@ SAMPLE = 100_000
 #: Rows that are sorted without parting them first.
 SMALL = 4096
 #: Documents of one gram beyond which its strings are dealt out one by one, and tokens of these that are looked at together.
-HOT, HOT_TOKENS = 1024, 20_000
+HOT, HOT_TOKENS = 4096, 20_000
 
 _rng = np.random.default_rng(99)
 _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,6 +57,14 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix((c[GRAM:] - c[:-GRAM]) * _powers[1][: n - GRAM + 1])
 
 
+def even(h: np.ndarray) -> np.ndarray:
+    """A bijection of the hashes that decide. As the least ones are chosen they are small; spread out, ranges of them are alike."""
+    most = np.uint64((1 << 64 - PLACE) - 1)
+    h = h * np.uint64(0x9E3779B97F4A7C15) & most
+    h = (h ^ (h >> np.uint64(22))) * np.uint64(0xD1342543DE82EF95) & most
+    return h ^ (h >> np.uint64(22))
+
+
 def tokens(data: np.ndarray, bounds: np.ndarray, span: int):
     """Place, first and last owned string, and hash of each token of a chunk; bounds: the ends of its documents."""
     width = span - GRAM + 1
@@ -85,7 +93,7 @@ def tokens(data: np.ndarray, bounds: np.ndarray, span: int):
         return (*[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64))
     p, lo, hi, h = [np.concatenate(x) for x in zip(*found, strict=True)]
     first = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))  # a token may be met from two tiles
-    return p[first], lo[first], hi[np.append(first[1:], len(p)) - 1], h[first]
+    return p[first], lo[first], hi[np.append(first[1:], len(p)) - 1], even(h[first])
 
 
 def symbols(rows: np.ndarray) -> np.ndarray:
