@@ -44,7 +44,12 @@ block AS (SELECT {KEYS}, run, b, arg_min(v, k) bv, arg_min(h, k) bh, CAST(arg_ma
 blocks AS (SELECT {KEYS}, run, string_agg(bv || ':' || bh || ':' || size, ',' ORDER BY b) blocks FROM block GROUP BY {KEYS}, run)"""
 
 
-CHAIN_COLUMNS = 'read_id, strand, ref_idx, w AS "window", run, chain_score, v_start, h_start, v_stop, h_stop, blocks, CAST(band AS INT) band, a_start'
+def _filled(columns: str) -> str:
+    """Columns with -1 for missing numbers."""
+    return ", ".join(f"coalesce({c}, -1) {c}" for c in columns.split())
+
+
+CHAIN_COLUMNS = f"""read_id, strand, ref_idx, w AS "window", run, chain_score, {_filled("v_start h_start v_stop h_stop")}, coalesce(blocks, '') blocks, CAST(coalesce(band, -1) AS INT) band, coalesce(a_start, -1) a_start"""
 
 
 def candidates(pairs: str, mask: Mask, bisulfite: bool) -> str:
@@ -91,7 +96,7 @@ ablock AS (SELECT id, k, made[k][1] v, made[k][2] h, made[k][3] size FROM (SELEC
 ablocks AS (SELECT id, string_agg(v || ':' || h || ':' || size, ',' ORDER BY k) ablocks FROM ablock GROUP BY id)"""
 
 
-ALIGNMENT_COLUMNS = f"{CHAIN_COLUMNS}, anchor_match, anchor_mismatch, sw_score, n_match, n_mismatch, n_gap, av_start, av_stop, ah_start, ah_stop, ablocks"
+ALIGNMENT_COLUMNS = f"{CHAIN_COLUMNS}, {_filled('anchor_match anchor_mismatch sw_score n_match n_mismatch n_gap av_start av_stop ah_start ah_stop')}, coalesce(ablocks, '') ablocks"
 
 
 def outcomes(pairs: str, mask: Mask, bisulfite: bool, most: int) -> str:

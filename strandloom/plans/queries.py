@@ -108,9 +108,9 @@ def candidate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spelled(df: DataFrame, *columns: str) -> DataFrame:
-    """Columns of blocks as text, v:h:size of each."""
+    """Columns of blocks as text, v:h:size of each; -1 and empty text where there is no chain or alignment (run, sw_score)."""
     spell = lambda b: F.concat_ws(":", b["v"].cast("string"), b["h"].cast("string"), b["size"].cast("string"))
-    return df.withColumns({c: F.when(F.size(c) > 0, F.array_join(F.transform(c, spell), ",")) for c in columns})
+    return df.withColumns({c: F.when(F.size(c) > 0, F.array_join(F.transform(c, spell), ",")) for c in columns}).fillna(-1).fillna("")
 
 
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
